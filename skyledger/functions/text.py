@@ -43,7 +43,7 @@ def file_size_text(size: Column) -> Column:
 
 
 def upload_size_text(size: Column) -> Column:
-    return F.format_string("%.1f MB", size / MIB)
+    return F.when(size.isNotNull(), F.format_string("%.1f MB", size / MIB))
 
 
 def gsd_text(gsd: Column) -> Column:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+from operator import or_
 
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+# Thumbnail side and percentiles.
 THUMBNAIL_SIZE = 512
 LOW, HIGH = 0.02, 0.98
 
+BLOCK = 65536
+
 
 def compose_rgb(pixels: DataFrame) -> DataFrame:
     """One row per position with ``r, g, b``; bands are numbered from 1.
@@ -34,16 +40,56 @@ def unpivot_rgb(rgb: DataFrame) -> DataFrame:
     return rgb.unpivot(["image_id", "row", "col"], ["r", "g", "b"], "channel", "value")
 
 
-def percentile_range(pixels: DataFrame, image: str = "image_id", value: str = "value") -> DataFrame:
+def percentile_range(
+    pixels: DataFrame, bits: int = 16, image: str = "image_id", value: str = "value"
+) -> DataFrame:
     """``vmin`` and ``vmax`` per image: exact 2nd and 98th percentiles of its values above zero.
 
-    Values are counted first, so what is shuffled and what one image's last step holds
-    is its distinct values (at most 65,536 for 16-bit rasters), not its pixels. Images
-    without such values are absent; ``stretch`` gives them (0, 1).
+    Values are counted first, so an image contributes its distinct values to the
+    selection, not its pixels: at most 65,536 rows for rasters of up to 16 ``bits``.
+    For wider integers the selection first finds, from totals per block of 65,536
+    values, the blocks that hold the wanted ranks, and only then looks inside them.
+    Images without values above zero are absent; ``stretch`` gives them (0, 1).
     """
     counts = pixels.where(F.col(value) > 0).groupBy(image, value).agg(F.count("*").alias("_n"))
-    ranges = counts.groupBy(image).agg(F.percentile(value, F.array(F.lit(LOW), F.lit(HIGH)), F.col("_n")).alias("_p"))
-    return ranges.select(image, F.get("_p", 0).alias("vmin"), F.get("_p", 1).alias("vmax"))
+    if bits <= 16:
+        ranked = _running(counts, [image], value)
+    else:
+        blocked = counts.withColumn("_block", F.floor(F.col(value) / BLOCK))
+        blocks = _running(blocked.groupBy(image, "_block").agg(F.sum("_n").alias("_n")), [image], "_block")
+        start = F.col("_upto") - F.col("_n")
+        holds = [(start <= rank) & (rank < F.col("_upto")) for rank in _ranks()]
+        wanted = blocks.where(reduce(or_, holds)).select(image, "_block", start.alias("_start"), "_total")
+        inside = _running(blocked.join(wanted, [image, "_block"]).drop("_total"), [image, "_block"], value)
+        ranked = inside.drop("_total").join(wanted.drop("_start"), [image, "_block"]).withColumn(
+            "_upto", F.col("_start") + F.col("_upto")
+        )
+    # The value at a rank is the smallest one with more than that many values up to it.
+    picked = ranked.groupBy(image).agg(
+        *[F.min(F.when(F.col("_upto") > rank, F.col(value))).cast("double").alias(f"_v{i}")
+          for i, rank in enumerate(_ranks())],
+        F.max("_total").alias("_total"),
+    )
+
+    def between(share: float, low: str, high: str) -> Column:
+        place = (F.col("_total") - 1) * share
+        part, step = place - F.floor(place), F.col(high) - F.col(low)
+        return F.when(part >= 0.5, F.col(high) - step * (1 - part)).otherwise(F.col(low) + step * part)
+
+    return picked.select(image, between(LOW, "_v0", "_v1").alias("vmin"), between(HIGH, "_v2", "_v3").alias("vmax"))
+
+
+def _ranks() -> list[Column]:
+    """Zero-based ranks on both sides of the two percentiles, among ``_total`` values."""
+    places = [(F.col("_total") - 1) * share for share in (LOW, HIGH)]
+    return [edge(place) for place in places for edge in (F.floor, F.ceil)]
+
+
+def _running(counts: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Add ``_upto``, the running count in ``order``, and ``_total`` per group."""
+    totals = Window.partitionBy(*group)
+    running = totals.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.withColumns({"_upto": F.sum("_n").over(running), "_total": F.sum("_n").over(totals)})
 
 
 def stretch(pixels: DataFrame, ranges: DataFrame, image: str = "image_id", value: str = "value") -> DataFrame:
@@ -59,9 +105,9 @@ def stretch(pixels: DataFrame, ranges: DataFrame, image: str = "image_id", value
     return joined.withColumn(value, F.when(vmax > vmin, byte).otherwise(0)).drop("vmin", "vmax")
 
 
-def normalise(pixels: DataFrame, eight_bit: bool, image: str = "image_id", value: str = "value") -> DataFrame:
+def normalise(pixels: DataFrame, bits: int, image: str = "image_id", value: str = "value") -> DataFrame:
     """8-bit input stays as it is, anything else is stretched."""
-    return pixels if eight_bit else stretch(pixels, percentile_range(pixels, image, value), image, value)
+    return pixels if bits == 8 else stretch(pixels, percentile_range(pixels, bits, image, value), image, value)
 
 
 def mask_flags(masks: DataFrame) -> DataFrame:
@@ -95,7 +141,7 @@ def thumbnail(pixels: DataFrame, size: int = THUMBNAIL_SIZE, height: str = "heig
     """
     keep = [c for c in pixels.columns if c not in ("row", "col")]
     return (
-        pixels.select("*", F.explode(_targets(F.col("row"), F.col(height), size)).cast("int").alias("_row"))
-        .select("*", F.explode(_targets(F.col("col"), F.col(width), size)).cast("int").alias("_col"))
-        .select(*keep, F.col("_row").alias("row"), F.col("_col").alias("col"))
+        pixels.select("*", F.explode(_targets(F.col("row"), F.col(height), size)).alias("_row"))
+        .select("*", F.explode(_targets(F.col("col"), F.col(width), size)).alias("_col"))
+        .select(*keep, F.col("_row").cast("int").alias("row"), F.col("_col").cast("int").alias("col"))
     )

@@ -871,8 +871,21 @@ rgb AS (SELECT image_id, row, col, b1 AS r, CASE WHEN n >= 3 THEN b2 ELSE b1 END
     max(value) FILTER (WHERE band = 3) AS b3, max(band) AS n FROM banded GROUP BY image_id, row, col) q),
 channels AS (SELECT image_id, row, col, 'r' AS channel, r AS value FROM rgb
   UNION ALL SELECT image_id, row, col, 'g', g FROM rgb UNION ALL SELECT image_id, row, col, 'b', b FROM rgb),
-ranges AS (SELECT image_id, quantile_cont(value, 0.02) AS vmin, quantile_cont(value, 0.98) AS vmax FROM channels
-  WHERE value > 0 GROUP BY image_id)"""
+sorted AS (SELECT image_id, list_sort(list(value)) AS v FROM channels WHERE value > 0 GROUP BY image_id),
+ranges AS (SELECT image_id, {LERP_LOW} AS vmin, {LERP_HIGH} AS vmax FROM sorted)"""
+
+
+def lerp_sql(share: float) -> str:
+    """Linear interpolation between the neighbouring ranks, rounded as NumPy rounds it."""
+    place = f"((len(v) - 1) * CAST({share} AS DOUBLE))"
+    low, high = f"v[CAST(floor{place} AS BIGINT) + 1]", f"v[CAST(ceil{place} AS BIGINT) + 1]"
+    part = f"({place} - floor{place})"
+    return (
+        f"CASE WHEN {part} >= 0.5 THEN {high} - ({high} - {low}) * (1 - {part}) ELSE {low} + ({high} - {low}) * {part} END"
+    )
+
+
+BANDS = BANDS.replace("{LERP_LOW}", lerp_sql(raster.LOW)).replace("{LERP_HIGH}", lerp_sql(raster.HIGH))
 
 
 def banded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -910,7 +923,7 @@ def run_pixel_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("pixels",), BANDS,
 )
 def run_pixel_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.normalise(channels(spark, sf_dir), eight_bit=False)
+    return raster.normalise(channels(spark, sf_dir), bits=16)
 
 
 MASKS = """masks AS (SELECT image_id, row, col, CASE WHEN value > 1000 THEN 0 ELSE 255 END AS mask FROM banded WHERE band = 1)"""
@@ -1013,8 +1026,8 @@ def run_status_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "step_progress",
     f"""SELECT upload_id, CAST(i AS INTEGER) AS position, ({STEP_LIST})[i + 1] AS step,
-      CASE WHEN at > i THEN 'done' WHEN at = i THEN 'active' ELSE 'pending' END AS state
-    FROM (SELECT upload_id, coalesce(list_position({STEP_LIST}, step), 0) - 1 AS at, unnest(range(7)) AS i FROM newest) s""",
+      CASE WHEN reached > i THEN 'done' WHEN reached = i THEN 'active' ELSE 'pending' END AS state
+    FROM (SELECT upload_id, coalesce(list_position({STEP_LIST}, step), 0) - 1 AS reached, unnest(range(7)) AS i FROM newest) s""",
     ("status_events",), LATEST,
 )
 def run_step_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1023,9 +1036,9 @@ def run_step_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "step_funnel",
-    f"""SELECT CAST(i AS INTEGER) AS position, ({STEP_LIST})[i + 1] AS step, count(*) FILTER (WHERE at > i) AS done,
-      count(*) FILTER (WHERE at = i) AS active, count(*) FILTER (WHERE at < i) AS pending
-    FROM (SELECT coalesce(list_position({STEP_LIST}, step), 0) - 1 AS at, unnest(range(7)) AS i FROM newest) s GROUP BY i""",
+    f"""SELECT CAST(i AS INTEGER) AS position, ({STEP_LIST})[i + 1] AS step, count(*) FILTER (WHERE reached > i) AS done,
+      count(*) FILTER (WHERE reached = i) AS active, count(*) FILTER (WHERE reached < i) AS pending
+    FROM (SELECT coalesce(list_position({STEP_LIST}, step), 0) - 1 AS reached, unnest(range(7)) AS i FROM newest) s GROUP BY i""",
     ("status_events",), LATEST,
 )
 def run_step_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:

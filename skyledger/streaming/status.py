@@ -19,7 +19,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LOG_SCHEMA = "upload_id {key}, ts {ts}, step string, status string"
 TIMEOUT_SCHEMA = "upload_id string, started timestamp, status string, error string"
-_STATE_SCHEMA = "started double, ended double, reported boolean"
+# Microseconds since the epoch; ``ended`` is NEVER until a final status was seen.
+_STATE_SCHEMA = "started bigint, ended bigint, reported boolean"
+NEVER = 2**62
 
 
 def write_batch(path: str):
@@ -67,36 +69,34 @@ def poll_timeout_stream(
     def watch(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        started, ended, reported = state.get if state.exists else (float("inf"), float("inf"), False)
+        started, ended, reported = state.get if state.exists else (NEVER, NEVER, False)
         if state.hasTimedOut:
-            settled = reported or ended < float("inf")
-            if settled:
+            if reported or ended < NEVER:
                 state.remove()
                 return
             late = True
         else:
             for batch in batches:
-                seconds = batch["ts"].astype("int64") / 1e9 if str(batch["ts"].dtype).startswith("datetime64[ns") \
-                    else batch["ts"].astype("datetime64[ns]").astype("int64") / 1e9
-                started = min(started, float(seconds.min()))
-                final = seconds[batch["status"].isin(TERMINAL)]
+                micros = batch["ts"].astype("datetime64[us]").astype("int64")
+                started = min(started, int(micros.min()))
+                final = micros[batch["status"].isin(TERMINAL)]
                 if len(final):
-                    ended = min(ended, float(final.min()))
-            late = started + limit_seconds < ended < float("inf")
+                    ended = min(ended, int(final.min()))
+            late = started + limit_seconds * 1_000_000 < ended < NEVER
         if late and not reported:
             reported = True
             yield pd.DataFrame(
                 {
                     "upload_id": [str(key[0])],
-                    "started": [pd.Timestamp(started, unit="s")],
+                    "started": pd.Series([started]).astype("datetime64[us]"),
                     "status": ["error"],
                     "error": [TIMEOUT_MESSAGE],
                 }
             )
         state.update((started, ended, reported))
-        settled = reported or ended < float("inf")
-        due = (started + limit_seconds + (retention_seconds if settled else 0)) * 1000
-        state.setTimeoutTimestamp(max(int(due), state.getCurrentWatermarkMs() + 1))
+        settled = reported or ended < NEVER
+        due = started // 1000 + (limit_seconds + (retention_seconds if settled else 0)) * 1000
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
     return (
         events.withWatermark("ts", delay)
