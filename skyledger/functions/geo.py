@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skyledger.schema import make_bbox
+from skyledger.schema import make_bbox, quoted
 
 # Fixed values.
 EARTH_RADIUS_M = 6_371_000.0
@@ -134,11 +134,6 @@ def explode_tiles(df: DataFrame, zoom: int, bbox: str = "bbox") -> DataFrame:
     )
 
 
-def _grid(value: Column, low: float, high: float, cells: int) -> Column:
-    scaled = F.floor((value - low) * (cells / (high - low))).cast("int")
-    return F.least(F.lit(cells - 1), F.greatest(F.lit(0), scaled))
-
-
 def with_hilbert_key(
     df: DataFrame,
     bbox: str = "bbox",
@@ -156,52 +151,38 @@ def with_hilbert_key(
     which stay in generated code. Every round is a projection of its own, so that no
     expression is repeated.
     """
-    w, s, e, n = frame
-    box = F.col(bbox)
-    keep = list(df.columns)
-
-    def band(a: Column, b: Column) -> Column:
-        return a.bitwiseAND(b)
-
-    def xor(*words: Column) -> Column:
-        total = words[0]
-        for word in words[1:]:
-            total = total.bitwiseXOR(word)
-        return total
-
-    ones = F.lit(0xFFFF)
-    x, y, differ = F.col("_hx"), F.col("_hy"), F.col("_he")
-    step = df.select(
-        *keep,
-        _grid((box["xmin"] + box["xmax"]) / 2, w, e, 1 << 16).alias("_hx"),
-        _grid((box["ymin"] + box["ymax"]) / 2, s, n, 1 << 16).alias("_hy"),
-    ).select("*", xor(x, y).alias("_he"))
+    keep = [quoted(name) for name in df.columns]
+
+    def grid(axis: str, low: float, high: float) -> str:
+        middle = f"({bbox}.{axis}min + {bbox}.{axis}max) / 2"
+        return f"CAST(least(65535, greatest(0, floor(({middle} - ({low!r}D)) * {65536 / (high - low)!r}D))) AS INT)"
+
+    w, s, e, n = (float(v) for v in frame)
+    step = df.selectExpr(*keep, f"{grid('x', w, e)} AS _hx", f"{grid('y', s, n)} AS _hy")
     # Matrix rows (p q), (r t) and offsets u, v of every bit's map.
-    step = step.select(
-        "*",
-        xor(differ, ones).alias("_p"), ones.alias("_q"), xor(y, ones).alias("_u"),
-        differ.alias("_r"), xor(differ, ones).alias("_t"), band(differ, x).alias("_v"),
+    step = step.selectExpr(
+        *keep, "_hx", "_hx ^ _hy AS _he",
+        "_hx ^ _hy ^ 65535 AS _p", "65535 AS _q", "_hy ^ 65535 AS _u",
+        "_hx ^ _hy AS _r", "_hx ^ _hy ^ 65535 AS _t", "(_hx ^ _hy) & _hx AS _v",
     )
-    p, q, u, r, t, v = (F.col(f"_{name}") for name in "pqurtv")
-    for span in (1, 2, 4, 8):
-        hp, hq, hu, hr, ht, hv = (F.shiftright(word, span) for word in (p, q, u, r, t, v))
-        step = step.select(
+    for span in (1, 2, 4):
+        p, q, u, r, t, v = (f"shiftright(_{name}, {span})" for name in "pqurtv")
+        step = step.selectExpr(
             *keep, "_hx", "_he",
-            xor(band(p, hp), band(q, hr)).alias("_p"), xor(band(p, hq), band(q, ht)).alias("_q"),
-            xor(band(p, hu), band(q, hv), u).alias("_u"),
-            xor(band(r, hp), band(t, hr)).alias("_r"), xor(band(r, hq), band(t, ht)).alias("_t"),
-            xor(band(r, hu), band(t, hv), v).alias("_v"),
+            f"(_p & {p}) ^ (_q & {r}) AS _p", f"(_p & {q}) ^ (_q & {t}) AS _q", f"(_p & {u}) ^ (_q & {v}) ^ _u AS _u",
+            f"(_r & {p}) ^ (_t & {r}) AS _r", f"(_r & {q}) ^ (_t & {t}) AS _t", f"(_r & {u}) ^ (_t & {v}) ^ _v AS _v",
         )
-    swap, flip = F.shiftright(u, 1), F.shiftright(v, 1)
-    step = step.select(*keep, "_he", xor(x, band(swap, differ), flip).alias("_hi"))
-    # Interleave: the high bit of every base-4 digit from _hi, the low bit from _he.
-    step = step.select(*keep, F.col("_hi").cast("bigint").alias("_hi"), differ.cast("bigint").alias("_lo"))
+    step = step.selectExpr(
+        *keep, "_hx", "_he",
+        "shiftright((_p & shiftright(_u, 8)) ^ (_q & shiftright(_v, 8)) ^ _u, 1) AS _s",
+        "shiftright((_r & shiftright(_u, 8)) ^ (_t & shiftright(_v, 8)) ^ _v, 1) AS _c",
+    )
+    # Interleave: the high bit of every base-4 digit, then the low one, which is x xor y.
+    step = step.selectExpr(
+        *keep, "CAST(_hx ^ (_s & _he) ^ _c AS BIGINT) AS _hi", "CAST(_he AS BIGINT) AS _lo"
+    )
     for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
-        step = step.select(
-            *keep,
-            *[
-                band(F.col(word).bitwiseOR(F.shiftleft(word, shift)), F.lit(mask).cast("bigint")).alias(word)
-                for word in ("_hi", "_lo")
-            ],
+        step = step.selectExpr(
+            *keep, *[f"({word} | shiftleft({word}, {shift})) & {mask}L AS {word}" for word in ("_hi", "_lo")]
         )
-    return step.select(*keep, F.shiftleft("_hi", 1).bitwiseOR(F.col("_lo")).alias(out))
+    return step.selectExpr(*keep, f"shiftleft(_hi, 1) | _lo AS {quoted(out)}")

@@ -137,7 +137,7 @@ def encode_uri_component(text: Column) -> Column:
 
 def number_text(value: Column) -> Column:
     """Decimal text without exponent or trailing zeros."""
-    return F.regexp_replace(value.cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    return F.regexp_replace(value.cast("decimal(38,28)").cast("string"), r"\.?0+$", "")
 
 
 def id_editor_link(lon: Column, lat: Column) -> Column:

@@ -121,12 +121,9 @@ def search(catalog: DataFrame, params: SearchParams = SearchParams()) -> DataFra
     conditions = predicates(params)
     if conditions:
         catalog = catalog.where(reduce(and_, conditions))
-    found = catalog.select(
+    found = catalog.selectExpr(
         *RESULT_COLUMNS,
-        F.col("bbox.xmin").alias("bbox_west"),
-        F.col("bbox.ymin").alias("bbox_south"),
-        F.col("bbox.xmax").alias("bbox_east"),
-        F.col("bbox.ymax").alias("bbox_north"),
+        "bbox.xmin AS bbox_west", "bbox.ymin AS bbox_south", "bbox.xmax AS bbox_east", "bbox.ymax AS bbox_north",
     )
     if params.limit is None:
         return found

@@ -4,71 +4,90 @@ Every rectangle has a home level: the finest grid whose cells are at least as la
 as the rectangle, where it touches at most a few cells. Two rectangles meet in a cell
 of the coarser of their two home levels. So one side is placed in its home cells and
 the other in the cells it touches at the levels the first side uses, and the join is
-on (level, column, row). Sizes may differ by any factor, with no separate path for
+on the cell number. Sizes may differ by any factor, with no separate path for
 large footprints. A pair that shares several cells is kept only in the cell holding
 the lower-left corner of the overlap, so no distinct is needed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from skyledger.operators.skew import MIN_HOT_ROWS, SHARE, spread_join
+from skyledger.schema import quoted
 
 MAX_LEVEL = 20
-CELL = ["_level", "_cx", "_cy"]
 
 
-def _cell(value: Column, level: Column) -> Column:
-    """Cell number along one axis; non-decreasing in ``value``."""
-    return F.floor((value + 180.0) * (F.pow(F.lit(2.0), level) / 360.0))
+# Expression text instead of column objects: these are long and built for every join.
+
+
+def _cell(x: str, y: str) -> str:
+    """Level, column and row of the cell at ``_level`` packed into one BIGINT join key.
+
+    Five bits for the level and 29 for each axis; numbers outside are moved to the edge,
+    so a cell number never decreases along an axis.
+    """
+    def along(axis: str) -> str:
+        return f"least(268435455, greatest(-268435456, {axis})) + 268435456"
+
+    return f"(shiftleft(CAST(_level AS BIGINT), 58) | shiftleft({along(x)}, 29) | ({along(y)}))"
+
+
+def _step(value: str) -> str:
+    """Cell number of a coordinate along its axis at ``_level``."""
+    return f"floor(({value} + 180D) * (pow(2D, _level) / 360D))"
 
 
 def _boxes(df: DataFrame, box: str, prefix: str, keep: list[str]) -> DataFrame:
     """Key columns and edges of rows with a box, with ordered edges and the home level."""
-    edges = [F.col(f"{box}.{n}").alias(f"{prefix}{n}") for n in ("xmin", "ymin", "xmax", "ymax")]
-    p = {n: F.col(prefix + n) for n in ("xmin", "ymin", "xmax", "ymax")}
-    size = F.greatest(F.abs(p["xmax"] - p["xmin"]), F.abs(p["ymax"] - p["ymin"]), F.lit(1e-9))
-    finest = F.floor(F.log2(360.0 / size)).cast("int")
+    p = {n: f"{prefix}{n}" for n in ("xmin", "ymin", "xmax", "ymax")}
+    size = f"greatest(abs({p['xmax']} - {p['xmin']}), abs({p['ymax']} - {p['ymin']}), 1e-9D)"
     return (
-        df.select(*keep, *edges)
-        .where(p["xmin"].isNotNull() & p["ymin"].isNotNull() & p["xmax"].isNotNull() & p["ymax"].isNotNull())
-        .select(
+        df.selectExpr(*[quoted(k) for k in keep], *[f"{box}.{n} AS {alias}" for n, alias in p.items()])
+        .where(" AND ".join(f"{alias} IS NOT NULL" for alias in p.values()))
+        .selectExpr(
             "*",
-            F.least(p["xmin"], p["xmax"]).alias(prefix + "x0"),
-            F.greatest(p["xmin"], p["xmax"]).alias(prefix + "x1"),
-            F.least(p["ymin"], p["ymax"]).alias(prefix + "y0"),
-            F.greatest(p["ymin"], p["ymax"]).alias(prefix + "y1"),
-            F.least(F.lit(MAX_LEVEL), F.greatest(F.lit(0), finest)).alias(prefix + "home"),
+            f"least({p['xmin']}, {p['xmax']}) AS {prefix}x0",
+            f"greatest({p['xmin']}, {p['xmax']}) AS {prefix}x1",
+            f"least({p['ymin']}, {p['ymax']}) AS {prefix}y0",
+            f"greatest({p['ymin']}, {p['ymax']}) AS {prefix}y1",
+            f"CAST(least({MAX_LEVEL}, greatest(0, floor(log2(360D / {size})))) AS INT) AS {prefix}home",
         )
     )
 
 
-def _place(boxes: DataFrame, prefix: str) -> DataFrame:
-    """One row per cell touched at ``_level``."""
-    level = F.col("_level")
-    across = F.sequence(_cell(F.col(prefix + "x0"), level), _cell(F.col(prefix + "x1"), level))
-    up = F.sequence(_cell(F.col(prefix + "y0"), level), _cell(F.col(prefix + "y1"), level))
-    return boxes.select("*", F.explode(across).alias("_cx")).select("*", F.explode(up).alias("_cy"))
+def _place(boxes: DataFrame, prefix: str, points: bool = False) -> DataFrame:
+    """One row with ``_cell`` per cell touched at ``_level``; a point touches one."""
+    if points:
+        return boxes.selectExpr("*", f"{_cell(_step(prefix + 'x0'), _step(prefix + 'y0'))} AS _cell")
+    across = f"sequence({_step(prefix + 'x0')}, {_step(prefix + 'x1')})"
+    up = f"sequence({_step(prefix + 'y0')}, {_step(prefix + 'y1')})"
+    exploded = boxes.selectExpr("*", f"explode({across}) AS _cx").selectExpr("*", f"explode({up}) AS _cy")
+    return exploded.selectExpr("*", f"{_cell('_cx', '_cy')} AS _cell").drop("_cx", "_cy")
 
 
-def _at_home(boxes: DataFrame, prefix: str) -> DataFrame:
-    return _place(boxes.withColumn("_level", F.col(prefix + "home")), prefix)
+def _at_home(boxes: DataFrame, prefix: str, levels: list[int]) -> DataFrame:
+    """Rows whose own level is one of ``levels``, placed there."""
+    own = boxes.where(F.col(prefix + "home").isin(levels))
+    return _place(own.selectExpr("*", f"{prefix}home AS _level"), prefix)
 
 
-def _at_levels(boxes: DataFrame, prefix: str, levels: list[int], strict: bool) -> DataFrame:
+def _at_levels(boxes: DataFrame, prefix: str, levels: list[int], strict: bool, points: bool = False) -> DataFrame:
     """Rows placed at those of ``levels`` that are coarser than their own (or equal)."""
-    own = F.col(prefix + "home")
-    wanted = F.filter(
-        F.array(*[F.lit(v) for v in levels]), lambda level: level < own if strict else level <= own
-    )
-    return _place(boxes.select("*", F.explode(wanted).alias("_level")), prefix)
+    listed = ", ".join(map(str, levels))
+    leveled = boxes.selectExpr("*", f"explode(CAST(array({listed}) AS ARRAY<INT>)) AS _level")
+    return _place(leveled.where(f"_level {'<' if strict else '<='} {prefix}home"), prefix, points)
 
 
-def _levels(boxes: DataFrame, prefix: str) -> dict[int, int]:
-    """Rows per home level, at most MAX_LEVEL + 1 entries."""
-    rows = boxes.groupBy(F.col(prefix + "home").alias("level")).agg(F.count("*").alias("n")).collect()
-    return {row.level: row.n for row in rows}
+def _levels(a: DataFrame, b: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """Rows per home level of both sides: one job, at most 2 * (MAX_LEVEL + 1) rows."""
+    homes = a.selectExpr("0 AS side", "a_home AS level").unionAll(b.selectExpr("1 AS side", "b_home AS level"))
+    rows = homes.groupBy("side", "level").agg(F.count("*").alias("n")).collect()
+    found: tuple[dict[int, int], dict[int, int]] = ({}, {})
+    for row in rows:
+        found[row.side][row.level] = row.n
+    return found
 
 
 def _meet(
@@ -83,34 +102,30 @@ def _meet(
 ) -> DataFrame:
     # A box touches a cell once, so no cell holds more rows than its side has boxes.
     pairs = spread_join(
-        left, right, CELL, left_keys, right_keys, left_rows, right_rows, share=share, min_rows=min_rows
-    )
-    touch = (
-        (F.col("a_xmax") >= F.col("b_xmin")) & (F.col("a_xmin") <= F.col("b_xmax"))
-        & (F.col("a_ymax") >= F.col("b_ymin")) & (F.col("a_ymin") <= F.col("b_ymax"))
-    )
-    level = F.col("_level")
-    corner = (F.col("_cx") == _cell(F.greatest("a_x0", "b_x0"), level)) & (
-        F.col("_cy") == _cell(F.greatest("a_y0", "b_y0"), level)
+        left, right.drop("_level"), ["_cell"], left_keys, right_keys, left_rows, right_rows,
+        share=share, min_rows=min_rows,
     )
-    return pairs.where(touch & corner).select(*left_keys, *right_keys)
+    touch = "a_xmax >= b_xmin AND a_xmin <= b_xmax AND a_ymax >= b_ymin AND a_ymin <= b_ymax"
+    corner = _cell(_step("greatest(a_x0, b_x0)"), _step("greatest(a_y0, b_y0)"))
+    return pairs.where(f"{touch} AND _cell = {corner}").select(*left_keys, *right_keys)
 
 
 def _pairs(
-    a: DataFrame, b: DataFrame, left_keys: list[str], right_keys: list[str], share: int, min_rows: int
+    a: DataFrame, b: DataFrame, left_keys: list[str], right_keys: list[str], share: int, min_rows: int,
+    points: bool = False,
 ) -> DataFrame:
-    """Two jobs find which levels are in use; the pairs themselves stay lazy."""
-    a_levels, b_levels = _levels(a, "a_"), _levels(b, "b_")
+    """One job finds which levels are in use; the pairs themselves stay lazy."""
+    a_levels, b_levels = _levels(a, b)
     sizes = (sum(a_levels.values()), sum(b_levels.values()), share, min_rows)
     a_home = sorted(level for level in a_levels if level <= max(b_levels, default=-1))
     b_home = sorted(level for level in b_levels if level < max(a_levels, default=-1))
     parts = []
     if a_home or not b_home:
-        placed = _at_home(a.where(F.col("a_home").isin(a_home)), "a_")
-        parts.append(_meet(placed, _at_levels(b, "b_", a_home, False), left_keys, right_keys, *sizes))
+        at_a = _at_levels(b, "b_", a_home, False, points)
+        parts.append(_meet(_at_home(a, "a_", a_home), at_a, left_keys, right_keys, *sizes))
     if b_home:
-        placed = _at_home(b.where(F.col("b_home").isin(b_home)), "b_")
-        parts.append(_meet(_at_levels(a, "a_", b_home, True), placed, left_keys, right_keys, *sizes))
+        at_b = _at_levels(a, "a_", b_home, True)
+        parts.append(_meet(at_b, _at_home(b, "b_", b_home), left_keys, right_keys, *sizes))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -154,7 +169,7 @@ def point_hits(
     # A point is a box of no size at the finest level, so the footprint is the coarser side.
     a = _boxes(catalog, box, "a_", image_keys)
     b = _boxes(spots, "_spot", "b_", point_keys)
-    return _pairs(a, b, image_keys, point_keys, share, min_rows)
+    return _pairs(a, b, image_keys, point_keys, share, min_rows, points=True)
 
 
 def overlap_counts(hits: DataFrame, point_keys: list[str], image_key: str = "id") -> DataFrame:

@@ -45,6 +45,11 @@ SIDECAR_SCHEMA = T.StructType(
 ARTIFACT_COLUMNS = ("rn", "__index_level_0__")
 
 
+def quoted(name: str) -> str:
+    """A column name for use in expression text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def make_bbox(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
     """A bbox struct, NULL when any edge is NULL."""
     parts = [xmin, ymin, xmax, ymax]

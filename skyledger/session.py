@@ -17,6 +17,9 @@ SETTINGS = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.optimizer.nestedSchemaPruning.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Collecting a Python stack trace for every column expression costs more than
+    # planning a short query.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -41,9 +44,8 @@ def scratch_root(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="skyledger-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skyledger-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
