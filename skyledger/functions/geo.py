@@ -140,7 +140,7 @@ def with_hilbert_key(
     out: str = "hilbert",
     frame: tuple[float, float, float, float] = WORLD,
 ) -> DataFrame:
-    """Add the order-16 Hilbert distance of each box's middle within ``frame``.
+    """Add the order-16 Hilbert distance of each box's middle within ``frame``; no box, no key.
 
     Walking the curve bit by bit would be an interpreted fold. Instead, note that
     the orientation below a quadrant is two bits, swapped axes ``s`` and
@@ -185,4 +185,5 @@ def with_hilbert_key(
         step = step.selectExpr(
             *keep, *[f"({word} | shiftleft({word}, {shift})) & {mask}L AS {word}" for word in ("_hi", "_lo")]
         )
-    return step.selectExpr(*keep, f"shiftleft(_hi, 1) | _lo AS {quoted(out)}")
+    known = f"{bbox}.xmin + {bbox}.ymin + {bbox}.xmax + {bbox}.ymax IS NOT NULL"
+    return step.selectExpr(*keep, f"CASE WHEN {known} THEN shiftleft(_hi, 1) | _lo END AS {quoted(out)}")
