@@ -36,27 +36,38 @@ def latest_per_id(df: DataFrame) -> DataFrame:
     return drop_artifacts(ranked.where(F.col("rn") == 1))
 
 
-def backfill_bbox(df: DataFrame) -> DataFrame:
-    """Fill a NULL bbox from the geometry; only those geometries are decoded."""
-    wanted = F.when(F.col("bbox").isNull(), F.col("geometry"))
-    return df.withColumn("bbox", F.coalesce(F.col("bbox"), wkb_bounds(wanted)))
+def backfill_bbox(df: DataFrame, split: bool = True) -> DataFrame:
+    """Fill a NULL bbox from the geometry; other geometries are not decoded.
+
+    By default only the rows in question go through Python. That reads the source twice,
+    but on Parquet the second read skips row groups whose statistics show no missing
+    ``bbox.xmin``. ``split=False`` sends every row through Python in one pass, which
+    suits small results of costly plans.
+    """
+    if not split:
+        wanted = F.when(F.col("bbox").isNull(), F.col("geometry"))
+        return df.withColumn("bbox", F.coalesce(F.col("bbox"), wkb_bounds(wanted)))
+    missing = "bbox.xmin IS NULL AND bbox IS NULL AND geometry IS NOT NULL"
+    filled = df.where(missing).withColumn("bbox", wkb_bounds(F.col("geometry")))
+    return df.where("bbox IS NOT NULL OR geometry IS NULL").unionAll(filled.select(*df.columns))
 
 
 def merge_catalog(base: DataFrame, pending: DataFrame, base_unique: bool = False) -> DataFrame:
     """Catalog after adding the pending rows: latest per id, bbox filled in.
 
-    With ``base_unique`` (the base is itself the result of a merge) only ids that
-    occur in ``pending`` are compared. The other base rows skip the shuffle by id;
-    whether the id list is broadcast is Catalyst's choice from its size.
+    A bbox depends on nothing but its row, so it is filled in where that is cheapest: at
+    the sources for a full merge. With ``base_unique`` (the base is itself the result of
+    a merge) only ids that occur in ``pending`` are compared. The other base rows skip
+    the shuffle by id; whether the id list is broadcast is Catalyst's choice from its size.
     """
-    if not base_unique:
-        return backfill_bbox(latest_per_id(union_by_name(base, pending)))
     base, pending = to_catalog_schema(base), to_catalog_schema(pending)
+    if not base_unique:
+        return latest_per_id(union_by_name(backfill_bbox(base), backfill_bbox(pending)))
     touched = pending.select(F.col("id").alias("_touched")).distinct()
     same = F.col("id").eqNullSafe(F.col("_touched"))
-    untouched = base.join(touched, same, "left_anti")
-    contested = base.join(touched, same, "left_semi").unionByName(pending, allowMissingColumns=True)
-    return backfill_bbox(untouched.unionByName(latest_per_id(contested), allowMissingColumns=True))
+    untouched = backfill_bbox(base.join(touched, same, "left_anti"))
+    contested = latest_per_id(union_by_name(base.join(touched, same, "left_semi"), pending))
+    return untouched.unionByName(backfill_bbox(contested, split=False), allowMissingColumns=True)
 
 
 def merge_report(base: DataFrame, pending: DataFrame, merged: DataFrame, source: str = "source_file") -> DataFrame:

@@ -82,6 +82,22 @@ def poll_timeouts(events: DataFrame, as_of: Column, limit_seconds: int = time_li
     )
 
 
+def outcomes(checked: DataFrame, key: str, completed_at: str) -> DataFrame:
+    """Final status of every validated upload: ``complete``, or ``error`` with the reason.
+
+    ``checked`` comes from ``ingest.validate``. A failure of the query itself still fails it.
+    """
+    failed = F.col("reason").isNotNull()
+    return checked.select(
+        F.col(key).cast("string").alias("upload_id"),
+        F.when(failed, "error").otherwise("complete").alias("status"),
+        F.when(~failed, "done").alias("step"),
+        F.when(~failed, completed_at).alias("completed_at"),
+        F.col("reason").alias("error"),
+        *([F.col("title")] if "title" in checked.columns else []),
+    )
+
+
 def status_record(row: DataFrame, base_url: str) -> DataFrame:
     """Status JSON per upload; which fields it has depends on the state.
 

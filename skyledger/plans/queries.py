@@ -289,9 +289,9 @@ def run_update_hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updated.select("id", "cog_href", "title")
 
 
-def roundtrip(spark: SparkSession, sf_dir: str, order: str) -> DataFrame:
+def roundtrip(spark: SparkSession, sf_dir: str, order: str, row_group: int = store.ROW_GROUP) -> DataFrame:
     path = scratch_path(spark, f"catalog-{order}")
-    store.write_catalog(fx.catalog(spark, sf_dir), path, order)
+    store.write_catalog(fx.catalog(spark, sf_dir), path, order, row_group)
     return flat(store.read_catalog(spark, path))
 
 
@@ -305,12 +305,12 @@ def run_write_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("write_clustered_roundtrip", ALL_FLAT, ("catalog",))
 def run_write_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roundtrip(spark, sf_dir, "hilbert")
+    return roundtrip(spark, sf_dir, "hilbert", store.SMALL_ROW_GROUP)
 
 
 @query("write_datetime_roundtrip", ALL_FLAT, ("catalog",))
 def run_write_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roundtrip(spark, sf_dir, "datetime")
+    return roundtrip(spark, sf_dir, "datetime", store.SMALL_ROW_GROUP)
 
 
 # --- joins ----------------------------------------------------------------------------
@@ -1023,6 +1023,21 @@ def run_status_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.status_record(latest, BASE_URL)
 
 
+@query(
+    "upload_outcomes",
+    f"""SELECT CAST(upload_key AS VARCHAR) AS upload_id, CASE WHEN reason IS NULL
+      THEN '{{"status":"complete","step":"done","upload_id":"' || upload_key || '","cog_url":"https://store.example/imagery/'
+        || upload_key || '.tif","thumbnail_url":"https://store.example/thumbnails/' || upload_key
+        || '.webp","title":"","completed_at":"2024-03-01T09:30:00+00:00"}}'
+      ELSE '{{"status":"error","upload_id":"' || upload_key || '","error":"' || reason || '"}}' END AS value
+    FROM (SELECT upload_key, {REASON} END AS reason FROM raster_meta) c""",
+    ("raster_meta",),
+)
+def run_upload_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = ingest.validate(fx.raster_meta(spark, sf_dir))
+    return status.status_record(status.outcomes(checked, "upload_key", PROCESSED_AT), BASE_URL)
+
+
 @query(
     "step_progress",
     f"""SELECT upload_id, CAST(i AS INTEGER) AS position, ({STEP_LIST})[i + 1] AS step,

@@ -7,11 +7,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from skyledger.functions.geo import WORLD, with_hilbert_key
+from skyledger.operators.search import bbox_predicate
 from skyledger.schema import CATALOG_SCHEMA, to_catalog_schema
 
-# Row-group sizes of the id-ordered and of the clustered layout.
-ID_ROW_GROUP = 10_000
-CLUSTER_ROW_GROUP = 100
+# Rows per row group. The small size suits catalogs of some thousand
+# images; on a large one footers would outgrow the data they describe.
+ROW_GROUP = 10_000
+SMALL_ROW_GROUP = 100
+
+BOUNDS_FOLDER = "_bounds"
 
 VERSION_SCHEMA = T.StructType(
     [T.StructField("version", T.LongType()), T.StructField("path", T.StringType())]
@@ -59,7 +63,7 @@ def write_catalog(
     df: DataFrame,
     path: str,
     order: str = "id",
-    row_group: int | None = None,
+    row_group: int = ROW_GROUP,
     partitions: int | None = None,
     frame: tuple[float, float, float, float] = WORLD,
 ) -> None:
@@ -71,18 +75,48 @@ def write_catalog(
     """
     if order == "id":
         ranged = _ranged(df, [F.asc_nulls_last("id"), F.desc_nulls_last("uploaded_at")], partitions)
-        _write(ranged, path, row_group or ID_ROW_GROUP)
+        _write(ranged, path, row_group)
     elif order == "hilbert":
         keyed = with_hilbert_key(df, frame=frame)
         ranged = _ranged(keyed, [F.asc_nulls_last("hilbert"), F.asc_nulls_last("id")], partitions)
-        _write(ranged.drop("hilbert"), path, row_group or CLUSTER_ROW_GROUP)
+        _write(ranged.drop("hilbert"), path, row_group)
     elif order == "datetime":
         ranged = _ranged(df, [F.desc_nulls_last("datetime"), F.asc_nulls_last("id")], partitions)
-        _write(ranged, path, row_group or CLUSTER_ROW_GROUP)
+        _write(ranged, path, row_group)
     else:
         raise ValueError(f"unknown order {order!r}")
 
 
+def write_file_bounds(spark: SparkSession, path: str) -> None:
+    """Record the extent of every data file of a written catalog next to the files.
+
+    Readers of ``path`` do not see the record. Worth having for the clustered layout, where
+    a viewport meets few files; each file's footer is then opened only if it matters.
+    """
+    bounds = (
+        spark.read.parquet(path)
+        .groupBy(F.col("_metadata.file_name").alias("file"))
+        .agg(
+            F.min("bbox.xmin").alias("xmin"), F.min("bbox.ymin").alias("ymin"),
+            F.max("bbox.xmax").alias("xmax"), F.max("bbox.ymax").alias("ymax"),
+        )
+    )
+    bounds.write.mode("overwrite").parquet(f"{path}/{BOUNDS_FOLDER}")
+
+
+def read_viewport(
+    spark: SparkSession, path: str, bbox: tuple[float, float, float, float], wrap: bool = False
+) -> DataFrame:
+    """The rows of those files that can hold images in the viewport; ``search`` does the rest.
+
+    Only file names come to the driver, which lists them for any scan anyway.
+    """
+    record = spark.read.parquet(f"{path}/{BOUNDS_FOLDER}").select("file", F.struct("xmin", "ymin", "xmax", "ymax").alias("bbox"))
+    files = [f"{path}/{row.file}" for row in record.where(bbox_predicate(bbox, wrap=wrap)).select("file").collect()]
+    schema = spark.read.parquet(path).schema
+    return to_catalog_schema(spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema))
+
+
 def current_version(spark: SparkSession, root: str, before: int | None = None) -> tuple[int, str] | None:
     """Number and path of the newest complete version, optionally below ``before``."""
     try:

@@ -1,28 +1,32 @@
-"""Incremental merge of pending sidecars into the versioned catalog."""
+"""Merge of pending sidecars into the versioned catalog, as a stream or in one go."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skyledger.operators.merge import merge_catalog
-from skyledger.sources.catalog import read_version, write_version
-from skyledger.sources.pending import stream_pending
+from skyledger.sources.catalog import current_version, read_version, write_version
+from skyledger.sources.pending import read_pending, stream_pending
 
 
 def merge_batch(root: str, order: str = "id", first_version: int = 1):
     """``foreachBatch`` function: version ``first_version + batch id`` = previous version + batch.
 
     A replayed batch starts from the same previous version and writes the same number,
-    so it gives the same catalog. An empty batch writes nothing.
+    so it gives the same catalog. An empty batch writes nothing. Versions below
+    ``first_version`` are those written by other means, such as an import.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        version = first_version + batch_id
-        base = read_version(batch.sparkSession, root, before=version)
-        write_version(merge_catalog(base, batch, base_unique=True), root, version, order)
+        spark, version = batch.sparkSession, first_version + batch_id
+        found = current_version(spark, root, before=version)
+        # Ids are known to be unique once a merge wrote the base.
+        merged_before = found is None or found[0] >= first_version
+        base = read_version(spark, root, before=version)
+        write_version(merge_catalog(base, batch, base_unique=merged_before), root, version, order)
 
     return apply
 
@@ -46,3 +50,19 @@ def start_merge(
         .trigger(**trigger)
         .start()
     )
+
+
+def rebuild_catalog(spark: SparkSession, pending: str, root: str, order: str = "id") -> int:
+    """Merge everything pending into a new version; gives the number of sidecar files merged.
+
+    With nothing pending no version is written. Sidecars are left in place: merging them
+    again changes nothing, so they may be removed any time after this returns.
+    """
+    late = read_pending(spark, pending)
+    files = late.agg(F.count_distinct("source_file").alias("files")).first().files
+    if not files:
+        return 0
+    found = current_version(spark, root)
+    merged = merge_catalog(read_version(spark, root), late.drop("source_file"))
+    write_version(merged, root, found[0] + 1 if found else 0, order)
+    return files

@@ -88,6 +88,19 @@ def test_clustered_layout_reads_fewer_row_groups(spark, tmp_path):
     assert ids(found[0]) == ids(found[1]) and found[0].count() > 0
 
 
+def test_viewport_read_opens_few_files(spark, tmp_path):
+    path = str(tmp_path / "bounded")
+    df = scattered(spark, 5000).withColumn("bbox", F.when(F.col("id") > "i000009", F.col("bbox")))
+    store.write_catalog(df, path, "hilbert", partitions=16)
+    store.write_file_bounds(spark, path)
+    assert store.read_catalog(spark, path).count() == 5000
+    for view, wrap in [((10.0, 10.0, 40.0, 40.0), False), ((170.0, -90.0, -170.0, 90.0), True), ((400.0, 0.0, 401.0, 1.0), False)]:
+        params = SearchParams(bbox=view, wrap=wrap, limit=None)
+        near = store.read_viewport(spark, path, view, wrap)
+        assert ids(search(near, params)) == ids(search(store.read_catalog(spark, path), params))
+        assert len(near.inputFiles()) < 12
+
+
 def test_equal_hilbert_keys_spread_over_files(spark, tmp_path):
     same = scattered(spark, 4000).withColumn(
         "bbox", F.when(F.col("id") < "i003000", F.expr("named_struct('xmin', 1d, 'ymin', 1d, 'xmax', 2d, 'ymax', 2d)")).otherwise(F.col("bbox"))

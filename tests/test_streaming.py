@@ -63,6 +63,26 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert store.current_version(spark, root)[0] == 1
 
 
+def test_rebuild(spark, tmp_path):
+    folder, root = str(tmp_path / "pending"), str(tmp_path / "root")
+    assert merge_stream.rebuild_catalog(spark, folder, root) == 0
+    assert store.current_version(spark, root) is None
+    for name in ("a", "b"):
+        pending.append_sidecars(sidecars(spark, image(name, uploaded_at="1")).coalesce(1), folder)
+    assert merge_stream.rebuild_catalog(spark, folder, root) == 2
+    once = sorted(store.read_version(spark, root).collect(), key=str)
+    assert merge_stream.rebuild_catalog(spark, folder, root, order="hilbert") == 2
+    assert sorted(store.read_version(spark, root).collect(), key=str) == once and len(once) == 2
+    assert store.current_version(spark, root)[0] == 1
+
+
+def test_duplicates_in_an_imported_base_go_with_the_first_merge(spark, tmp_path):
+    root = str(tmp_path / "root")
+    store.write_version(sidecars(spark, image("x", uploaded_at="1"), image("x", uploaded_at="2")), root, 0)
+    merge_stream.merge_batch(root)(sidecars(spark, image("y", uploaded_at="1")), 3)
+    assert ids(store.read_version(spark, root)) == ["x", "y"]
+
+
 def status_files(spark, path, batches):
     for number, rows in enumerate(batches):
         df = spark.createDataFrame(rows, "upload_id string, s bigint, step string, status string")
