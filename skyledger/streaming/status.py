@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -17,7 +17,6 @@ from skyledger.sources.catalog import missing_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LOG_SCHEMA = "upload_id {key}, ts {ts}, step string, status string"
 TIMEOUT_SCHEMA = "upload_id string, started timestamp, status string, error string"
 # Microseconds since the epoch; ``ended`` is NEVER until a final status was seen.
 _STATE_SCHEMA = "started bigint, ended bigint, reported boolean"
@@ -56,19 +55,28 @@ def read_latest_status(spark: SparkSession, path: str, schema) -> DataFrame:
     return latest_status(log)
 
 
+def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per Arrow batch and upload: first write, first final write, last write."""
+    for batch in batches:
+        ended = batch["ts"].where(batch["status"].isin(TERMINAL))
+        marked = pd.DataFrame({"upload_id": batch["upload_id"].astype(str), "ts": batch["ts"], "ended": ended})
+        yield marked.groupby("upload_id", as_index=False).agg(
+            started=("ts", "min"), ended=("ended", "min"), seen=("ts", "max")
+        )
+
+
 def poll_timeout_stream(
     events: DataFrame, limit_seconds: int = time_limit(), delay: str = "0 seconds", retention_seconds: int = 86400
 ) -> DataFrame:
     """Emit one error row per upload that got no final status within the limit of its first.
 
-    Event-time timers raise the error when the watermark passes the limit. State per
-    upload is two times and a flag, and goes ``retention_seconds`` after the outcome.
+    Event-time timers raise the error when the watermark passes the limit. Writes are
+    combined before the shuffle, so a very chatty upload sends a few rows per task. State
+    per upload is two times and a flag, and goes ``retention_seconds`` after the outcome.
     ``events`` has ``upload_id, ts, status``; ``ts`` is a timestamp.
     """
 
-    def watch(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         started, ended, reported = state.get if state.exists else (NEVER, NEVER, False)
         if state.hasTimedOut:
             if reported or ended < NEVER:
@@ -77,17 +85,15 @@ def poll_timeout_stream(
             late = True
         else:
             for batch in batches:
-                micros = batch["ts"].astype("datetime64[us]").astype("int64")
-                started = min(started, int(micros.min()))
-                final = micros[batch["status"].isin(TERMINAL)]
-                if len(final):
-                    ended = min(ended, int(final.min()))
+                started = min(started, _micros(batch["started"]))
+                if batch["ended"].notna().any():
+                    ended = min(ended, _micros(batch["ended"].dropna()))
             late = started + limit_seconds * 1_000_000 < ended < NEVER
         if late and not reported:
             reported = True
             yield pd.DataFrame(
                 {
-                    "upload_id": [str(key[0])],
+                    "upload_id": [key[0]],
                     "started": pd.Series([started]).astype("datetime64[us]"),
                     "status": ["error"],
                     "error": [TIMEOUT_MESSAGE],
@@ -99,7 +105,9 @@ def poll_timeout_stream(
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
     return (
-        events.withWatermark("ts", delay)
+        events.select("upload_id", "ts", "status")
+        .mapInPandas(_spans, "upload_id string, started timestamp, ended timestamp, seen timestamp")
+        .withWatermark("seen", delay)
         .groupBy("upload_id")
         .applyInPandasWithState(
             watch, TIMEOUT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
@@ -107,6 +115,10 @@ def poll_timeout_stream(
     )
 
 
+def _micros(times: pd.Series) -> int:
+    return int(times.min().value // 1000)
+
+
 def start_append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream's rows to Parquet until the source is drained."""
     return (
