@@ -7,6 +7,8 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from skyledger.operators.skew import lookup_join
+
 # Thumbnail side and percentiles.
 THUMBNAIL_SIZE = 512
 LOW, HIGH = 0.02, 0.98
@@ -93,16 +95,12 @@ def _running(counts: DataFrame, group: list[str], order: str) -> DataFrame:
 
 
 def stretch(pixels: DataFrame, ranges: DataFrame, image: str = "image_id", value: str = "value") -> DataFrame:
-    """Replace ``value`` by its 8-bit stretch between the image's percentiles.
-
-    Whether the ranges are broadcast is decided from their size; otherwise an image
-    with very many pixels is split by the adaptive skew join.
-    """
+    """Replace ``value`` by its 8-bit stretch between the image's percentiles."""
     vmin, vmax = F.coalesce("vmin", F.lit(0.0)), F.coalesce("vmax", F.lit(1.0))
     scaled = (F.col(value) - vmin) / F.when(vmax > vmin, vmax - vmin) * 255
     byte = F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), scaled))).cast("int")
-    joined = pixels.join(ranges, image, "left")
-    return joined.withColumn(value, F.when(vmax > vmin, byte).otherwise(0)).drop("vmin", "vmax")
+    stretched = lookup_join(pixels, ranges, image).withColumn(value, F.when(vmax > vmin, byte).otherwise(0))
+    return stretched.select(*pixels.columns)
 
 
 def normalise(pixels: DataFrame, bits: int, image: str = "image_id", value: str = "value") -> DataFrame:
@@ -117,7 +115,7 @@ def mask_flags(masks: DataFrame) -> DataFrame:
 
 def with_alpha(rgb: DataFrame, masks: DataFrame) -> DataFrame:
     """Add the mask as ``alpha`` where the image has one; NULL elsewhere."""
-    alpha = masks.join(mask_flags(masks).where("has_mask"), "image_id", "left_semi")
+    alpha = lookup_join(masks, mask_flags(masks).where("has_mask"), "image_id", "left_semi")
     return rgb.join(
         alpha.select("image_id", "row", "col", F.col("mask").alias("alpha")), ["image_id", "row", "col"], "left"
     )

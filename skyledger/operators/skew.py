@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 SHARE = 1000
 MIN_HOT_ROWS = 100_000
 
+# Groups per key in a join with a narrow lookup table.
+SALT = 8
+
 
 def hot_keys(
     df: DataFrame, on: list[str], name: str, share: int = SHARE, min_rows: int = MIN_HOT_ROWS
@@ -74,3 +77,18 @@ def spread_join(
         *right.columns, _chunk(right_row, "_rc").alias("_ri"), _every("_lc").alias("_li")
     )
     return dealt_left.join(dealt_right, [*on, "_li", "_ri"]).drop("_li", "_ri")
+
+
+def lookup_join(df: DataFrame, lookup: DataFrame, on: str, how: str = "left", salt: int = SALT) -> DataFrame:
+    """Join many rows per key with a narrow table of at most one row per key.
+
+    Whether the lookup is broadcast is decided from its size. Otherwise the rows of a key
+    go to ``salt`` groups by a hash of their other columns, each with a copy of the lookup
+    row. The salted key also makes Spark shuffle the lookup anew even when it is grouped
+    by ``on`` already; without a shuffle of its own on both sides, the adaptive join could
+    not split a group that is still too large.
+    """
+    others = [name for name in df.columns if name != on]
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salt).cast("bigint")).cast("int"))
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return dealt.join(copies, [on, "_salt"], how).drop("_salt")

@@ -25,18 +25,18 @@ MAX_LEVEL = 20
 def _cell(x: str, y: str) -> str:
     """Level, column and row of the cell at ``_level`` packed into one BIGINT join key.
 
-    Five bits for the level and 29 for each axis; numbers outside are moved to the edge,
-    so a cell number never decreases along an axis.
+    Five bits for the level and 29 for each axis; ``_step`` stays within 24 bits.
     """
-    def along(axis: str) -> str:
-        return f"least(268435455, greatest(-268435456, {axis})) + 268435456"
-
-    return f"(shiftleft(CAST(_level AS BIGINT), 58) | shiftleft({along(x)}, 29) | ({along(y)}))"
+    return f"(shiftleft(CAST(_level AS BIGINT), 58) | shiftleft({x} + 268435456, 29) | ({y} + 268435456))"
 
 
 def _step(value: str) -> str:
-    """Cell number of a coordinate along its axis at ``_level``."""
-    return f"floor(({value} + 180D) * (pow(2D, _level) / 360D))"
+    """Cell number of a coordinate along its axis at ``_level``; never decreases in ``value``.
+
+    Coordinates beyond ten turns, infinite ones too, count as ten turns, which bounds the
+    cells of any box.
+    """
+    return f"floor((least(3600D, greatest(-3600D, {value})) + 180D) * (pow(2D, _level) / 360D))"
 
 
 def _boxes(df: DataFrame, box: str, prefix: str, keep: list[str]) -> DataFrame:

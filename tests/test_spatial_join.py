@@ -57,6 +57,15 @@ def test_points_equal_nested_loop(spark, min_rows):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_endless_boxes(spark):
+    inf = float("inf")
+    left = [(-inf, -inf, inf, inf), (5, -inf, inf, 7), (-1e9, 0, 1e9, 1), (0, 0, 0.01, 0.01)]
+    right = [(0, 0, 1, 1), (6, 6, 6, 6), (1e8, 0.5, 2e8, 0.6), (-inf, 50, -1e5, 60)]
+    got = sj.box_pairs(boxes(spark, left, "a"), boxes(spark, right, "b"), ["a"], ["b"]).collect()
+    want = {(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if touches(a, b)}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_nothing_on_one_side(spark):
     some, none = boxes(spark, [(0, 0, 1, 1)], "a"), boxes(spark, [None], "b")
     assert sj.box_pairs(some, none, ["a"], ["b"]).count() == 0
