@@ -81,7 +81,8 @@ def test_clustered_layout_reads_fewer_row_groups(spark, tmp_path):
     df = scattered(spark, 20_000)
     store.write_catalog(df, by_id, "id", row_group=100, partitions=2)
     store.write_catalog(df, clustered, "hilbert", row_group=100, partitions=2)
-    assert touched(by_id)[0] == touched(by_id)[1]
+    hit, total = touched(by_id)
+    assert hit > 0.9 * total
     hit, total = touched(clustered)
     assert hit < total / 5
     found = [search(store.read_catalog(spark, p), SearchParams(bbox=view, limit=None)) for p in (by_id, clustered)]
