@@ -21,6 +21,33 @@ def or_default(text: Column, default: str) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), F.lit(default))
 
 
+def to_fixed(value: Column, digits: int) -> Column:
+    """Decimal text with ``digits`` places, rounded by the exact binary value, ties away from zero.
+
+    ``format_string`` rounds the shortest decimal text instead, so 1.005 would become
+    1.01 although the number is below it. Here the product with the power of ten is taken
+    together with its rounding error: splitting the value into two halves of 26 bits makes
+    both partial products exact.
+    """
+    scale = float(10**digits)
+
+    def shown(x: Column) -> Column:
+        product = x * scale
+        head = x * 134217729.0 - (x * 134217729.0 - x)
+        error = (head * scale - product) + (x - head) * scale
+        whole = F.floor(product)
+        up = ((product - whole) - 0.5) + error >= 0
+        number = whole + F.when(up, 1).otherwise(0)
+        return F.concat(
+            F.floor(number / scale).cast("string"), F.lit("."),
+            F.lpad((number % int(scale)).cast("string"), digits, "0"),
+        )
+
+    # The lambda binds the value, so it is computed once.
+    text = F.get(F.transform(F.array(F.abs(value).cast("double")), shown), 0)
+    return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
+
+
 def half_up(value: Column) -> Column:
     return F.floor(value + 0.5)
 
@@ -37,24 +64,24 @@ def platform_label(platform: Column) -> Column:
 def file_size_text(size: Column) -> Column:
     return (
         F.when(size.isNull() | (size == 0), "Unknown")
-        .when(size >= GIB, F.format_string("%.2f GB", size / GIB))
+        .when(size >= GIB, F.concat(to_fixed(size / GIB, 2), F.lit(" GB")))
         .otherwise(F.format_string("%d MB", half_up(size / MIB)))
     )
 
 
 def upload_size_text(size: Column) -> Column:
-    return F.when(size.isNotNull(), F.format_string("%.1f MB", size / MIB))
+    return F.concat(to_fixed(size / MIB, 1), F.lit(" MB"))
 
 
 def gsd_text(gsd: Column) -> Column:
-    return F.when(gsd.isNull() | (gsd == 0), "N/A").otherwise(F.format_string("%.2f m", gsd))
+    return F.when(gsd.isNull() | (gsd == 0), "N/A").otherwise(F.concat(to_fixed(gsd, 2), F.lit(" m")))
 
 
 def area_text(area_m2: Column) -> Column:
     return (
         F.when(area_m2.isNull(), "Unknown")
-        .when(area_m2 >= 1e6, F.format_string("%.2f km²", area_m2 / 1e6))
-        .when(area_m2 >= 1e4, F.format_string("%.1f ha", area_m2 / 1e4))
+        .when(area_m2 >= 1e6, F.concat(to_fixed(area_m2 / 1e6, 2), F.lit(" km²")))
+        .when(area_m2 >= 1e4, F.concat(to_fixed(area_m2 / 1e4, 1), F.lit(" ha")))
         .otherwise(F.format_string("%d m²", half_up(area_m2)))
     )
 

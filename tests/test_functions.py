@@ -1,6 +1,7 @@
 import math
 import random
 import struct
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Row, functions as F
 
@@ -40,6 +41,20 @@ def test_texts(spark):
     assert [x[0] for x in platform_filters] == ["Satellite", "Drone", "Other", "All Platforms", "All Platforms"]
 
 
+def test_fixed_point_text_is_exact(spark):
+    rng = random.Random(4)
+    numbers = [1.005, 1.115, 8.345, 0.125, 1.45, 0.0, 2.5, 99.995, 1e-9, -1.005, -0.125, 1073741824.125]
+    numbers += [rng.randrange(10**6) / 1000 for _ in range(500)] + [rng.uniform(0, 1e5) for _ in range(200)]
+
+    def exact(x, digits):
+        text = str(Decimal(abs(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+        return "-" + text if x < 0 else text
+
+    got = values(spark, "double", numbers, lambda c: text.to_fixed(c, 2), lambda c: text.to_fixed(c, 1))
+    assert got == [(exact(x, 2), exact(x, 1)) for x in numbers]
+    assert values(spark, "double", [None], lambda c: text.to_fixed(c, 2)) == [(None,)]
+
+
 def test_dates(spark):
     shown = values(
         spark, "string",
