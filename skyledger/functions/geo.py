@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from skyledger.functions.numbers import round_half_even
 from skyledger.schema import make_bbox, quoted
 
 # Fixed values.
@@ -88,7 +89,7 @@ def geojson_extent(geojson: Column) -> Column:
 
 def degrees_to_metres(gsd_degrees: Column) -> Column:
     """Resolution in metres, two decimals; NULL and 0 give NULL."""
-    return F.round(F.nullif(gsd_degrees, F.lit(0.0)) * METRES_PER_DEGREE, 2)
+    return round_half_even(F.nullif(gsd_degrees, F.lit(0.0)) * METRES_PER_DEGREE, 2)
 
 
 def mercator_lon(x: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from skyledger.functions.numbers import to_fixed
+
 # Display defaults, units and label texts.
 DEFAULT_TITLE = "Untitled Image"
 DEFAULT_PLATFORM = "unknown"
@@ -21,33 +23,6 @@ def or_default(text: Column, default: str) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), F.lit(default))
 
 
-def to_fixed(value: Column, digits: int) -> Column:
-    """Decimal text with ``digits`` places, rounded by the exact binary value, ties away from zero.
-
-    ``format_string`` rounds the shortest decimal text instead, so 1.005 would become
-    1.01 although the number is below it. Here the product with the power of ten is taken
-    together with its rounding error: splitting the value into two halves of 26 bits makes
-    both partial products exact.
-    """
-    scale = float(10**digits)
-
-    def shown(x: Column) -> Column:
-        product = x * scale
-        head = x * 134217729.0 - (x * 134217729.0 - x)
-        error = (head * scale - product) + (x - head) * scale
-        whole = F.floor(product)
-        up = ((product - whole) - 0.5) + error >= 0
-        number = whole + F.when(up, 1).otherwise(0)
-        return F.concat(
-            F.floor(number / scale).cast("string"), F.lit("."),
-            F.lpad((number % int(scale)).cast("string"), digits, "0"),
-        )
-
-    # The lambda binds the value, so it is computed once.
-    text = F.get(F.transform(F.array(F.abs(value).cast("double")), shown), 0)
-    return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
-
-
 def half_up(value: Column) -> Column:
     return F.floor(value + 0.5)
 

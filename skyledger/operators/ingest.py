@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyledger.functions import geo, text
+from skyledger.functions.numbers import round_half_even
 from skyledger.functions.wkb import box_wkb, geojson_wkb
 from skyledger.schema import to_catalog_schema
 
@@ -24,12 +25,13 @@ def rejection(strict: bool = False, bounds: str = "bounds") -> Column:
     ``epsg`` and the longitude/latitude struct named by ``bounds``.
     """
     size = F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"))
+    megabytes = round_half_even(F.col("file_size") / text.MIB, 0).cast("bigint")
     message = (
         F.when(F.col("bands") == 0, "Image has no bands")
         .when((F.col("width") < MIN_PIXELS) | (F.col("height") < MIN_PIXELS), F.concat(F.lit("Image too small: "), size))
         .when(
             F.col("file_size") > MAX_BYTES,
-            F.format_string("File too large: %.0fMB (max 500MB)", F.col("file_size") / text.MIB),
+            F.concat(F.lit("File too large: "), megabytes.cast("string"), F.lit("MB (max 500MB)")),
         )
     )
     if not strict:
@@ -108,7 +110,7 @@ def sidecar_rows(rasters: DataFrame, metadata: DataFrame, key: str, processed_at
             upload_id.alias("id"),
             meta("title", UPLOAD_TITLE).alias("title"),
             meta("acquired", processed_at[:10]).alias("datetime"),
-            F.round("res_x", 4).alias("gsd"),
+            round_half_even(F.col("res_x"), 4).alias("gsd"),
             meta("platform", "").alias("platform_type"),
             meta("provider", "").alias("producer_name"),
             meta("license", UPLOAD_LICENSE).alias("license"),

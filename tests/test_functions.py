@@ -5,7 +5,7 @@ from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Row, functions as F
 
-from skyledger.functions import dates, geo, text
+from skyledger.functions import dates, geo, numbers, text
 from skyledger.functions.wkb import box_wkb, geojson_wkb, wkb_bounds
 from skyledger.schema import BBOX_TYPE, make_bbox
 
@@ -43,16 +43,19 @@ def test_texts(spark):
 
 def test_fixed_point_text_is_exact(spark):
     rng = random.Random(4)
-    numbers = [1.005, 1.115, 8.345, 0.125, 1.45, 0.0, 2.5, 99.995, 1e-9, -1.005, -0.125, 1073741824.125]
-    numbers += [rng.randrange(10**6) / 1000 for _ in range(500)] + [rng.uniform(0, 1e5) for _ in range(200)]
+    doubles = [1.005, 1.115, 8.345, 0.125, 1.45, 0.0, 2.5, 99.995, 1e-9, -1.005, -0.125, 1073741824.125]
+    doubles += [rng.randrange(10**6) / 1000 for _ in range(500)] + [rng.uniform(0, 1e5) for _ in range(200)]
 
     def exact(x, digits):
         text = str(Decimal(abs(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
         return "-" + text if x < 0 else text
 
-    got = values(spark, "double", numbers, lambda c: text.to_fixed(c, 2), lambda c: text.to_fixed(c, 1))
-    assert got == [(exact(x, 2), exact(x, 1)) for x in numbers]
-    assert values(spark, "double", [None], lambda c: text.to_fixed(c, 2)) == [(None,)]
+    got = values(spark, "double", doubles, lambda c: numbers.to_fixed(c, 2), lambda c: numbers.to_fixed(c, 1))
+    assert got == [(exact(x, 2), exact(x, 1)) for x in doubles]
+    assert values(spark, "double", [None], lambda c: numbers.to_fixed(c, 2)) == [(None,)]
+    doubles += [2.675, 0.5, 1.5, -2.675, 0.00015, 2.5e-05]
+    rounds = values(spark, "double", doubles, lambda c: numbers.round_half_even(c, 2), lambda c: numbers.round_half_even(c, 4))
+    assert rounds == [(round(x, 2), round(x, 4)) for x in doubles]
 
 
 def test_dates(spark):
@@ -72,8 +75,8 @@ def test_keys_names_and_links(spark):
     names = values(spark, "string", ["a.tif", "b.TIFF", "c.tif.zip", "d.tiff.tif", "tif"], text.is_tiff_name, text.title_from_name)
     assert names == [(True, "a"), (True, "b"), (False, "c.tif.zip"), (True, "d.tiff"), (False, "tif")]
     assert values(spark, "string", ["a b&c/é!~*'()-_."], text.encode_uri_component) == [("a%20b%26c%2F%C3%A9!~*'()-_.",)]
-    numbers = values(spark, "double", [10.0, -0.0, 0.5, 12.345678901234567, 0.0005, -122.25], text.number_text)
-    assert [n[0] for n in numbers] == ["10", "0", "0.5", "12.345678901234567", "0.0005", "-122.25"]
+    shown = values(spark, "double", [10.0, -0.0, 0.5, 12.345678901234567, 0.0005, -122.25], text.number_text)
+    assert [n[0] for n in shown] == ["10", "0", "0.5", "12.345678901234567", "0.0005", "-122.25"]
     link = one(spark, text.id_editor_link(F.lit(2.5), F.lit(-1.0)), text.josm_link(F.lit(""), F.lit("x"), F.lit("http://h/a b"), "Pre - "))
     assert link == (
         "https://www.openstreetmap.org/edit?editor=id#map=16/-1/2.5",

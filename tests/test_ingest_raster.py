@@ -16,15 +16,17 @@ def test_first_failing_rule_wins(spark):
     rows = [
         (1, 0, 5, 5, 600 * 2**20), (2, 3, 9, 10, 1), (3, 3, 10, 9, 1), (4, 3, 10, 10, 500 * 2**20),
         (5, 3, 10, 10, 500 * 2**20 + 1), (6, 3, 10, 10, 750 * 2**20),
+        (7, 3, 10, 10, 1001 * 2**19), (8, 3, 10, 10, 1003 * 2**19),
     ]
     df = spark.createDataFrame(rows, "k int, bands int, width int, height int, file_size bigint")
     checked = ingest.validate(df)
     assert {r.k: r.reason for r in checked.collect()} == {
         1: "Image has no bands", 2: "Image too small: 9x10", 3: "Image too small: 10x9", 4: None,
         5: "File too large: 500MB (max 500MB)", 6: "File too large: 750MB (max 500MB)",
+        7: "File too large: 500MB (max 500MB)", 8: "File too large: 502MB (max 500MB)",
     }
     good, bad = ingest.split_valid(checked)
-    assert [r.k for r in good.collect()] == [4] and bad.count() == 5 and "reason" not in good.columns
+    assert [r.k for r in good.collect()] == [4] and bad.count() == 7 and "reason" not in good.columns
 
 
 def test_strict_rules(spark):
@@ -46,7 +48,7 @@ def test_sidecar_defaults(spark):
     given = spark.createDataFrame([("u1", "", None, "CC0")], "up string, title string, platform string, license string")
     rows = {r.id: r for r in ingest.sidecar_rows(rasters, given, "up", "2024-05-06T07:08:09+00:00", "https://x.example/").collect()}
     a, b = rows["u1"], rows["u2"]
-    assert (a.title, a.platform_type, a.license, a.gsd) == ("", "", "CC0", 0.1235)
+    assert (a.title, a.platform_type, a.license, a.gsd) == ("", "", "CC0", round(0.12345, 4))
     assert (b.title, b.license, b.datetime, b.producer_name) == ("Untitled", "CC-BY 4.0", "2024-05-06", "")
     assert a.cog_href == "https://x.example/imagery/u1.tif" and a.thumbnail_href == "https://x.example/thumbnails/u1.webp"
     assert a.bbox is None and a.epsg == 3857 and a.uploaded_at == "2024-05-06T07:08:09+00:00"
