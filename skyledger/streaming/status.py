@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -17,7 +17,7 @@ from skyledger.sources.catalog import missing_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-TIMEOUT_SCHEMA = "upload_id string, started timestamp, status string, error string"
+TIMEOUT_SCHEMA = "upload_id string, started bigint, status string, error string"
 # Microseconds since the epoch; ``ended`` is NEVER until a final status was seen.
 _STATE_SCHEMA = "started bigint, ended bigint, reported boolean"
 NEVER = 2**62
@@ -58,10 +58,11 @@ def read_latest_status(spark: SparkSession, path: str, schema) -> DataFrame:
 def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per Arrow batch and upload: first write, first final write, last write."""
     for batch in batches:
-        ended = batch["ts"].where(batch["status"].isin(TERMINAL))
-        marked = pd.DataFrame({"upload_id": batch["upload_id"].astype(str), "ts": batch["ts"], "ended": ended})
+        at = batch["at"]
+        ended = at.where(batch["status"].isin(TERMINAL), NEVER)
+        marked = pd.DataFrame({"upload_id": batch["upload_id"].astype(str), "at": at, "ended": ended})
         yield marked.groupby("upload_id", as_index=False).agg(
-            started=("ts", "min"), ended=("ended", "min"), seen=("ts", "max")
+            started=("at", "min"), ended=("ended", "min"), seen=("at", "max")
         )
 
 
@@ -73,6 +74,7 @@ def poll_timeout_stream(
     Event-time timers raise the error when the watermark passes the limit. Writes are
     combined before the shuffle, so a very chatty upload sends a few rows per task. State
     per upload is two times and a flag, and goes ``retention_seconds`` after the outcome.
+    Python sees times as microseconds only, so the session time zone has no influence.
     ``events`` has ``upload_id, ts, status``; ``ts`` is a timestamp.
     """
 
@@ -85,38 +87,31 @@ def poll_timeout_stream(
             late = True
         else:
             for batch in batches:
-                started = min(started, _micros(batch["started"]))
-                if batch["ended"].notna().any():
-                    ended = min(ended, _micros(batch["ended"].dropna()))
+                started = min(started, int(batch["started"].min()))
+                ended = min(ended, int(batch["ended"].min()))
             late = started + limit_seconds * 1_000_000 < ended < NEVER
         if late and not reported:
             reported = True
             yield pd.DataFrame(
-                {
-                    "upload_id": [key[0]],
-                    "started": pd.Series([started]).astype("datetime64[us]"),
-                    "status": ["error"],
-                    "error": [TIMEOUT_MESSAGE],
-                }
+                {"upload_id": [key[0]], "started": [started], "status": ["error"], "error": [TIMEOUT_MESSAGE]}
             )
         state.update((started, ended, reported))
         settled = reported or ended < NEVER
         due = started // 1000 + (limit_seconds + (retention_seconds if settled else 0)) * 1000
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
-    return (
-        events.select("upload_id", "ts", "status")
-        .mapInPandas(_spans, "upload_id string, started timestamp, ended timestamp, seen timestamp")
+    spans = events.select("upload_id", F.unix_micros("ts").alias("at"), "status").mapInPandas(
+        _spans, "upload_id string, started bigint, ended bigint, seen bigint"
+    )
+    late = (
+        spans.withColumn("seen", F.timestamp_micros("seen"))
         .withWatermark("seen", delay)
         .groupBy("upload_id")
         .applyInPandasWithState(
             watch, TIMEOUT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
         )
     )
-
-
-def _micros(times: pd.Series) -> int:
-    return int(times.min().value // 1000)
+    return late.withColumn("started", F.timestamp_micros("started"))
 
 
 def start_append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

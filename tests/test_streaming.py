@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from rows import catalog, ids, image
@@ -112,12 +113,22 @@ def test_latest_status_equals_batch(spark, tmp_path):
     assert got == sorted(status.latest_status(batch).collect()) and len(got) == 5
 
 
-def test_timeouts_equal_batch(spark, tmp_path):
+@pytest.fixture(params=["UTC", "America/New_York", "Asia/Kolkata"])
+def zone(spark, request):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield
+    spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_timeouts_equal_batch(spark, tmp_path, zone):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     status_files(spark, source, BATCHES)
     late = status_stream.poll_timeout_stream(feed(spark, source), delay="10 minutes", retention_seconds=10**6)
     status_stream.start_append(late, out, str(tmp_path / "cp")).awaitTermination()
-    got = sorted(r.upload_id for r in spark.read.schema(late.schema).parquet(out).collect())
+    rows = spark.read.schema(late.schema).parquet(out).selectExpr("upload_id", "unix_seconds(started) AS s").collect()
+    got = sorted(r.upload_id for r in rows)
+    assert {r.s for r in rows} == {1000}
     batch = spark.read.option("recursiveFileLookup", True).schema("upload_id string, ts timestamp, step string, status string").parquet(source)
     # b ended after its limit; c's limit (1663) is beyond the last watermark (1400).
     assert got == ["b"]
