@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import line_dedup, pii, secrets
+from skyledger.llm import decontaminate, line_dedup, near_dups, neighbours, packing, pii, quality, secrets, toxicity
 from skyledger.llm.common import table
 
 
@@ -16,11 +16,48 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The tokenizer's file; it has the same place on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {run.__name__: run for run in (op1_pii, op2_line_dedup, op6_secrets)}
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_dup_digest(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    run.__name__: run
+    for run in (
+        op1_pii, op2_line_dedup, op3_packing, op5_decontamination, op6_secrets,
+        op7_neighbours, op8_toxicity, op9_near_dups, op10_quality,
+    )
+}
 
 ORACLE_SQL = {
     "op2_line_dedup": r"""
