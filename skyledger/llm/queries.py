@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import decontaminate, line_dedup, near_dups, neighbours, packing, pii, quality, secrets, toxicity
+from skyledger.llm import decontaminate, licenses, line_dedup, near_dups, neighbours, packing, pii, quality, secrets, toxicity
 from skyledger.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,12 +58,69 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     run.__name__: run
     for run in (
-        op1_pii, op2_line_dedup, op3_packing, op5_decontamination, op6_secrets,
+        op1_pii, op2_line_dedup, op3_packing, op4_licenses, op5_decontamination, op6_secrets,
         op7_neighbours, op8_toxicity, op9_near_dups, op10_quality,
     )
 }
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def secrets_sql() -> str:
+    """Places from the gaps between the matches, for each rule."""
+    parts = []
+    for order, rule in enumerate(secrets.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, '{rule.kind}' AS kind, {order} AS ord, {rule.base} AS base, {rule.least} AS least,
+    generate_subscripts(found, 1) AS i, unnest(found) AS m, unnest(held) AS held, unnest(gaps[1:len(found)]) AS gap
+  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS found, regexp_extract_all(t, '{pattern}', {rule.group}) AS held,
+      string_split_regex(t, '{pattern}') AS gaps FROM texts WHERE regexp_matches(t, '{pattern}')) r""")
+    counts = ", ".join(f"count(*) FILTER (kind = '{rule.kind}') AS n_{rule.kind}" for rule in secrets.RULES)
+    span = "kind || ':' || start || ':' || stop"
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+matches AS ({" UNION ALL ".join(parts)}),
+placed AS (SELECT *, stop - length(m) AS start FROM (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop
+  FROM matches) s),
+spans AS (SELECT * FROM placed WHERE length(held) >= least)
+SELECT d.doc_id, {counts},
+  sha256(coalesce(string_agg({span}, ',' ORDER BY start, ord) FILTER (base), '')) AS base_sha256,
+  coalesce(string_agg({span}, ',' ORDER BY start, ord), '') AS spans
+FROM documents d LEFT JOIN spans s ON d.doc_id = s.doc_id GROUP BY d.doc_id"""
+
+
 ORACLE_SQL = {
+    "op5_decontamination": rf"""
+WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+items AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, len(w[s:s + 12]) AS n, w[s:s + 12] AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM items WHERE len(w) > 0) p),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM docs, sizes WHERE len(w) >= n),
+hits AS (SELECT doc_id, item_id, s, p.n FROM (SELECT doc_id, n, s, w[s:s + n - 1] AS win FROM places) p
+  JOIN windows v ON p.n = v.n AND p.win = v.win),
+hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) u GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) i GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN hit_items i ON d.doc_id = i.doc_id""",
+    "op6_secrets": secrets_sql(),
+    "op9_near_dups": rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^ 	-
+]+') AS w FROM documents),
+shingled AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM docs WHERE len(w) > 0) p),
+sizes AS (SELECT doc_id, count(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS whole FROM shingled GROUP BY doc_id),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM shingled x
+    JOIN shingled y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2) c
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+reached AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT r.node, l.b FROM reached r JOIN links l ON r.other = l.a),
+components AS (SELECT node, min(other) AS component_id FROM reached GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept,
+  CASE WHEN whole IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY whole) END AS class_id
+FROM documents d JOIN components c ON d.doc_id = c.node LEFT JOIN sizes s ON d.doc_id = s.doc_id""",
     "op2_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos
