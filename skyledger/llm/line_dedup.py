@@ -111,13 +111,10 @@ def without_repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     A null text stays null.
     """
-    whole = docs.select(F.struct("*").alias("row"))
-    texts = whole.select(
-        "row", F.col("row.doc_id").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text")
-    ).withColumn("row_key", F.xxhash64("text"))
-    maps = drop_bitmaps(keyed_texts(docs), least)
-    lines = F.split("text", "\n")
-    joined = attach(texts, maps)
+    text = F.coalesce("row.text", F.lit(""))
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64(text).alias("row_key"))
+    lines = F.split(text, "\n")
+    joined = attach(rows, drop_bitmaps(keyed_texts(docs), least))
     kept = F.when(F.col("keep").isNull(), F.col("row.text")).otherwise(F.array_join(kept_lines(lines, F.col("keep")), "\n"))
     joined = joined.select("row", kept.alias("kept"))
     new = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
