@@ -23,17 +23,20 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from skyledger.llm.tokens import MOST_WORDS, runs
+from skyledger.llm.tokens import runs
 from skyledger.session import scratch_path
 
 CAPACITY = 4096
 END = 1
+#: The memo starts anew at this size, some 150 MB.
+MOST_WORDS = 700_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _ODD = frozenset("\x1c\x1d\x1e\x1fΣİ")  # white space to Python alone; letters whose small form depends on their place
 
@@ -53,28 +56,33 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
-        self.marks = {mark: self._encoded(mark) for mark in ".,"}
 
     def _encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        (made,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(made.ids, "<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.memo) + len(words) > MOST_WORDS:
-            self.memo.clear()
-        cores = {w[:-1] if w[-1] in self.marks else w for w in words}
-        letters = [w for w in cores if w not in self.memo and w.isalpha()]
+        """Keep the ids of ``words``; letters are encoded together, and punctuation behind them by itself."""
+        memo = self.memo
+        cores = {w: w.rstrip(punctuation) for w in words}
+        letters = [w for w in set(cores.values()).difference(memo) if w.isalpha()]
         for at in range(0, len(letters), 1000):
             some = letters[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            data = self._encoded(" ".join(some))
+            ends = (4 * np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 4).tolist()
             if len(ends) == len(some):
-                self.memo |= zip(some, (part.tobytes() for part in np.split(ids, ends[:-1])), strict=True)
+                memo |= {w: data[a:b] for w, a, b in zip(some, [0, *ends], ends)}
             else:
-                self.memo |= {w: self._encoded(w) for w in some}
-        for w in words:
-            if w not in self.memo:
-                core = self.memo.get(w[:-1]) if w[-1] in self.marks and w[:-1].isalpha() else None
-                self.memo[w] = self._encoded(w) if core is None else core + self.marks[w[-1]]
+                memo |= {w: self._encoded(w) for w in some}
+        for w in words.difference(memo):
+            core = cores[w]
+            if core.isalpha():
+                mark = w[len(core) :]
+                if mark not in memo:
+                    memo[mark] = self._encoded(mark)
+                memo[w] = memo[core] + memo[mark]
+            else:
+                memo[w] = self._encoded(w)
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -90,11 +98,13 @@ class WordTokenizer:
         if not plain:
             return self._encoded(text)
         words = small.split()
-        unknown = set(words) - self.memo.keys()
+        different = set(words)
+        unknown = different.difference(self.memo)
         if unknown:
+            if len(self.memo) + len(unknown) > MOST_WORDS:
+                self.memo.clear()
+                unknown = different
             self._learn(unknown)
-            if len(self.memo) < len(unknown) or any(w not in self.memo for w in words):  # the memo started anew
-                self._learn(set(words) - self.memo.keys())
         return b"".join(map(self.memo.__getitem__, words))
 
 
