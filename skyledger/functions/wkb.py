@@ -7,6 +7,7 @@ one at a time.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import sys
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _BOX_HEADER = struct.pack("<BIII", 1, 3, 1, 5)
 _BOX_DTYPE = [("head", "V13"), ("xy", "<f8", (5, 2))]
 _BOX_SIZE = 93
+_SPACED = str.maketrans("[],", "   ")
 
 # GeoJSON type name to WKB type number.
 _TYPES = {
@@ -68,8 +70,15 @@ def _coordinate_runs(data: bytes) -> Iterator[np.ndarray]:
             at += 8 * count * dims
 
 
+# What broken bytes or texts raise while they are walked.
+_BROKEN = (struct.error, ValueError, IndexError, KeyError, TypeError, AttributeError, RecursionError)
+
+
 def _extent(data: bytes) -> tuple[float, float, float, float] | None:
-    runs = [run[:, :2] for run in _coordinate_runs(data) if len(run)]
+    try:
+        runs = [run[:, :2] for run in _coordinate_runs(data) if len(run)]
+    except _BROKEN:
+        return None
     points = np.concatenate(runs) if runs else np.empty((0, 2))
     points = points[~np.isnan(points).any(axis=1)]
     if not len(points):
@@ -124,8 +133,44 @@ def _encode(geometry: dict) -> bytes:
     return head + struct.pack("<I", len(parts)) + b"".join(map(_encode, parts))
 
 
+def _encoded(text: str | None) -> bytes | None:
+    try:
+        return None if text is None else _encode(json.loads(text))
+    except _BROKEN:
+        return None
+
+
+# The start and the separators of a closed ring of five positions.
+_RING_TEXT = re.compile(
+    r'\s*\{\s*"type"\s*:\s*"Polygon"\s*,\s*"coordinates"\s*:\s*\[\s*\[((?:\s*\[\s*[-+.0-9eE]+\s*,\s*[-+.0-9eE]+\s*\]\s*,?){5})\s*\]\s*\]\s*\}\s*'
+)
+
+
 def _batch_geojson(texts: pd.Series) -> pd.Series:
-    return pd.Series([None if text is None else _encode(json.loads(text)) for text in texts], dtype=object)
+    """Rings of five positions, the usual footprints, are packed together; other texts one at a time."""
+    out = np.full(len(texts), None, object)
+    rings, where = [], []
+    for i, text in enumerate(texts):
+        match = None if text is None else _RING_TEXT.fullmatch(text)
+        if match:
+            rings.append(match[1])
+            where.append(i)
+        else:
+            out[i] = _encoded(text)
+    if rings:
+        flat = " ".join(rings).translate(_SPACED).split()
+        if len(flat) == 10 * len(rings):
+            try:
+                rows = np.zeros(len(rings), _BOX_DTYPE)
+                rows["head"] = np.void(_BOX_HEADER)
+                rows["xy"] = np.array(flat, "f8").reshape(-1, 5, 2)
+            except ValueError:
+                rows = None
+        else:
+            rows = None
+        for n, i in enumerate(where):
+            out[i] = _encoded(texts.iloc[i]) if rows is None else rows[n].tobytes()
+    return pd.Series(out, dtype=object)
 
 
 _extents_udf = F.pandas_udf(_batch_extents, BBOX_TYPE)
@@ -136,7 +181,7 @@ _geojson_udf = F.pandas_udf(_batch_geojson, BinaryType())
 def wkb_bounds(geometry: Column) -> Column:
     """Extent of a WKB geometry of any type and byte order as a bbox struct.
 
-    NULL and empty geometries give NULL. Pass NULL for rows that need no bounds:
+    NULL, empty and broken geometries give NULL. Pass NULL for rows that need no bounds:
     Python functions are evaluated for every row they are given.
     """
     extent = _extents_udf(geometry)
@@ -149,5 +194,5 @@ def box_wkb(w: Column, s: Column, e: Column, n: Column) -> Column:
 
 
 def geojson_wkb(geojson: Column) -> Column:
-    """GeoJSON geometry text as two-dimensional WKB."""
+    """GeoJSON geometry text as two-dimensional WKB; NULL for texts that are no geometry."""
     return _geojson_udf(geojson)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skyledger.functions import geo, text
 from skyledger.functions.numbers import round_half_even
 from skyledger.functions.wkb import box_wkb, geojson_wkb
+from skyledger.operators.merge import one_per_key
 from skyledger.schema import to_catalog_schema
 
 # Limits and defaults of the upload path.
@@ -21,13 +22,17 @@ WEB_MERCATOR = 3857
 def rejection(strict: bool = False, bounds: str = "bounds") -> Column:
     """Message of the first rule a raster breaks, NULL for a valid one.
 
+    A raster whose metadata is not known could not be read, and breaks the first rule.
+
     Columns read: ``bands``, ``width``, ``height``, ``file_size``; with ``strict`` also
     ``epsg`` and the longitude/latitude struct named by ``bounds``.
     """
     size = F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"))
     megabytes = round_half_even(F.col("file_size") / text.MIB, 0).cast("bigint")
+    known = F.col("bands").isNotNull() & F.col("width").isNotNull() & F.col("height").isNotNull() & F.col("file_size").isNotNull()
     message = (
-        F.when(F.col("bands") == 0, "Image has no bands")
+        F.when(~known, "Image metadata missing")
+        .when(F.col("bands") == 0, "Image has no bands")
         .when((F.col("width") < MIN_PIXELS) | (F.col("height") < MIN_PIXELS), F.concat(F.lit("Image too small: "), size))
         .when(
             F.col("file_size") > MAX_BYTES,
@@ -89,7 +94,8 @@ def sidecar_rows(rasters: DataFrame, metadata: DataFrame, key: str, processed_at
     """Catalog rows for processed uploads.
 
     Every raster with ``bounds`` gives a row; user metadata is optional and may lack any
-    field. A JSON null counts as missing. ``bbox`` stays NULL: the merge fills it in.
+    field. A JSON null counts as missing; of several metadata rows for one upload the largest
+    by its fields in turn counts. ``bbox`` stays NULL: the merge fills it in.
     """
     wanted = {"title": "string", "platform": "string", "license": "string", "acquired": "string", "provider": "string"}
     given = metadata.select(
@@ -106,7 +112,7 @@ def sidecar_rows(rasters: DataFrame, metadata: DataFrame, key: str, processed_at
     upload_id = F.col(key).cast("string")
     box = F.col("bounds")
     return to_catalog_schema(
-        rasters.join(given, key, "left").select(
+        rasters.join(one_per_key(given, key), key, "left").select(
             upload_id.alias("id"),
             meta("title", UPLOAD_TITLE).alias("title"),
             meta("acquired", processed_at[:10]).alias("datetime"),
@@ -128,19 +134,32 @@ def sidecar_rows(rasters: DataFrame, metadata: DataFrame, key: str, processed_at
     )
 
 
-def import_records(records: DataFrame, base_url: str, acquired_from: str = "", limit: int | None = None) -> DataFrame:
-    """Catalog rows from imported image records (see ``sources.pages``).
-
-    Records without a geometry are dropped. A missing acquisition time falls back to the
-    upload time; the thumbnail address is the re-hosted one. ``acquired_from`` and
-    ``limit`` are the source's own fetch parameters.
-    """
+def _located(records: DataFrame, acquired_from: str, limit: int | None) -> DataFrame:
+    """The fetched records with ``_geometry``, NULL where there is none that can be read."""
     acquired = F.coalesce("acquisition_start", "uploaded_at", F.lit(""))
     if acquired_from:
         records = records.where(acquired >= acquired_from)
     if limit is not None:
         records = records.orderBy(F.desc_nulls_last(acquired), F.asc_nulls_last("_id")).limit(limit)
-    located = records.where(F.col("geojson").isNotNull())
+    return records.withColumn("_geometry", geojson_wkb(F.col("geojson")))
+
+
+def import_rejects(records: DataFrame, acquired_from: str = "", limit: int | None = None) -> DataFrame:
+    """``id`` and ``reason`` of the fetched records that ``import_records`` drops."""
+    reason = F.when(F.col("geojson").isNull(), "No geometry").otherwise("Geometry cannot be read")
+    dropped = _located(records, acquired_from, limit).where(F.col("_geometry").isNull())
+    return dropped.select(F.col("_id").alias("id"), reason.alias("reason"))
+
+
+def import_records(records: DataFrame, base_url: str, acquired_from: str = "", limit: int | None = None) -> DataFrame:
+    """Catalog rows from imported image records (see ``sources.pages``).
+
+    Records without a usable geometry are dropped (``import_rejects`` lists them). A missing
+    acquisition time falls back to the upload time; the thumbnail address is the re-hosted one.
+    ``acquired_from`` and ``limit`` are the source's own fetch parameters.
+    """
+    located = _located(records, acquired_from, limit).where(F.col("_geometry").isNotNull())
+    acquired = F.coalesce("acquisition_start", "uploaded_at", F.lit(""))
     thumbnail = F.nullif(F.col("properties.thumbnail"), F.lit(""))
     return to_catalog_schema(
         located.select(
@@ -161,7 +180,7 @@ def import_records(records: DataFrame, base_url: str, acquired_from: str = "", l
             F.lit(4326).alias("epsg"),
             F.coalesce("contact", F.lit("")).alias("uploaded_by"),
             F.coalesce("uploaded_at", F.lit("")).alias("uploaded_at"),
-            geojson_wkb(F.col("geojson")).alias("geometry"),
+            F.col("_geometry").alias("geometry"),
             geo.geojson_extent(F.col("geojson")).alias("bbox"),
         )
     )

@@ -20,10 +20,14 @@ def drop_artifacts(df: DataFrame) -> DataFrame:
     return df.drop(*ARTIFACT_COLUMNS)
 
 
-def latest_order() -> list[Column]:
-    """Newest upload first, by string; the rest only breaks ties the same way every time."""
+def latest_order(columns: list[str]) -> list[Column]:
+    """Newest upload first, by string; the rest only breaks ties the same way every time.
+
+    Rows that still tie differ in no ordered column; a hash of all ``columns`` decides then,
+    so the outcome never depends on the order of rows.
+    """
     tie_breakers = ("datetime", "title", "cog_href", "file_size", "gsd")
-    return [F.desc_nulls_last("uploaded_at"), *[F.desc_nulls_last(name) for name in tie_breakers]]
+    return [*[F.desc_nulls_last(name) for name in ("uploaded_at", *tie_breakers)], F.xxhash64(*sorted(columns))]
 
 
 def latest_per_id(df: DataFrame) -> DataFrame:
@@ -32,7 +36,8 @@ def latest_per_id(df: DataFrame) -> DataFrame:
     Catalyst turns the rank filter into a group limit that every task applies before
     the shuffle, so an id with many copies sends one row per task.
     """
-    ranked = df.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(*latest_order())))
+    order = latest_order([c for c in df.columns if c not in ARTIFACT_COLUMNS])
+    ranked = df.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
     return drop_artifacts(ranked.where(F.col("rn") == 1))
 
 
@@ -72,19 +77,28 @@ def merge_catalog(base: DataFrame, pending: DataFrame, base_unique: bool = False
 
 def merge_report(base: DataFrame, pending: DataFrame, merged: DataFrame, source: str = "source_file") -> DataFrame:
     """One row: rows before and after, rows with a bbox, sidecar files merged."""
-    before = base.select(F.lit(None).cast("string").alias(source)).unionByName(pending.select(source)).agg(
+    none = F.lit(None).cast("string")
+    before = base.select(none.alias(source)).unionByName(pending.select(source)).agg(
         F.count("*").alias("rows_before"), F.count_distinct(source).alias("merged")
     )
     after = merged.agg(F.count("*").alias("rows_after"), F.count("bbox").alias("rows_with_bbox"))
-    # Both sides are one-row aggregates.
-    return before.withColumn("_one", F.lit(1)).join(after.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # Each one-row part leaves the other's columns empty.
+    both = before.unionByName(after, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("rows_before", "merged", "rows_after", "rows_with_bbox")])
+
+
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """One row per key: the largest by its columns in turn. Combined in each task before the shuffle."""
+    rest = [c for c in df.columns if c != key]
+    top = df.groupBy(key).agg(F.max(F.struct(*rest)).alias("_top"))
+    return top.select(*[F.col(key) if c == key else F.col("_top").getField(c).alias(c) for c in df.columns])
 
 
 def update_hrefs(catalog: DataFrame, updates: DataFrame) -> DataFrame:
-    """Set ``cog_href`` to ``new_href`` for the ids in ``updates`` (unique by id).
+    """Set ``cog_href`` to ``new_href`` for the ids in ``updates``; of several updates the largest text.
 
     No join hint: a small update set is broadcast from its size, a large one is
     joined by shuffle with the adaptive skew split.
     """
-    joined = catalog.join(updates.select("id", "new_href"), "id", "left")
+    joined = catalog.join(one_per_key(updates.select("id", "new_href"), "id"), "id", "left")
     return joined.withColumn("cog_href", F.coalesce("new_href", "cog_href")).select(*catalog.columns)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyledger.operators.skew import lookup_join
@@ -13,9 +10,6 @@ from skyledger.operators.skew import lookup_join
 THUMBNAIL_SIZE = 512
 LOW, HIGH = 0.02, 0.98
 
-BLOCK = 65536
-
-
 def compose_rgb(pixels: DataFrame) -> DataFrame:
     """One row per position with ``r, g, b``; bands are numbered from 1.
 
@@ -42,30 +36,17 @@ def unpivot_rgb(rgb: DataFrame) -> DataFrame:
     return rgb.unpivot(["image_id", "row", "col"], ["r", "g", "b"], "channel", "value")
 
 
-def percentile_range(
-    pixels: DataFrame, bits: int = 16, image: str = "image_id", value: str = "value"
-) -> DataFrame:
+def percentile_range(pixels: DataFrame, image: str = "image_id", value: str = "value") -> DataFrame:
     """``vmin`` and ``vmax`` per image: exact 2nd and 98th percentiles of its values above zero.
 
-    Values are counted first, so an image contributes its distinct values to the
-    selection, not its pixels: at most 65,536 rows for rasters of up to 16 ``bits``.
-    For wider integers the selection first finds, from totals per block of 65,536
-    values, the blocks that hold the wanted ranks, and only then looks inside them.
-    Images without values above zero are absent; ``stretch`` gives them (0, 1).
+    Values are counted first, so an image contributes its different values to the selection,
+    not its pixels: at most 65,536 rows for rasters of 16 bits, and at most 3 * 512 * 512 for
+    thumbnails of any type (see ``render``). NaN pixels count as no data. Images without
+    values above zero are absent; ``stretch`` gives them (0, 1).
     """
-    counts = pixels.where(F.col(value) > 0).groupBy(image, value).agg(F.count("*").alias("_n"))
-    if bits <= 16:
-        ranked = _running(counts, [image], value)
-    else:
-        blocked = counts.withColumn("_block", F.floor(F.col(value) / BLOCK))
-        blocks = _running(blocked.groupBy(image, "_block").agg(F.sum("_n").alias("_n")), [image], "_block")
-        start = F.col("_upto") - F.col("_n")
-        holds = [(start <= rank) & (rank < F.col("_upto")) for rank in _ranks()]
-        wanted = blocks.where(reduce(or_, holds)).select(image, "_block", start.alias("_start"), "_total")
-        inside = _running(blocked.join(wanted, [image, "_block"]).drop("_total"), [image, "_block"], value)
-        ranked = inside.drop("_total").join(wanted.drop("_start"), [image, "_block"]).withColumn(
-            "_upto", F.col("_start") + F.col("_upto")
-        )
+    shown = (F.col(value) > 0) & ~F.isnan(F.col(value).cast("double"))
+    counts = pixels.where(shown).groupBy(image, value).agg(F.count("*").alias("_n"))
+    ranked = _running(counts, [image], value)
     # The value at a rank is the smallest one with more than that many values up to it.
     picked = ranked.groupBy(image).agg(
         *[F.min(F.when(F.col("_upto") > rank, F.col(value))).cast("double").alias(f"_v{i}")
@@ -94,18 +75,22 @@ def _running(counts: DataFrame, group: list[str], order: str) -> DataFrame:
     return counts.withColumns({"_upto": F.sum("_n").over(running), "_total": F.sum("_n").over(totals)})
 
 
-def stretch(pixels: DataFrame, ranges: DataFrame, image: str = "image_id", value: str = "value") -> DataFrame:
-    """Replace ``value`` by its 8-bit stretch between the image's percentiles."""
+def _byte(value: Column) -> Column:
+    """8-bit stretch of ``value`` between ``vmin`` and ``vmax``; NaN gives 0."""
     vmin, vmax = F.coalesce("vmin", F.lit(0.0)), F.coalesce("vmax", F.lit(1.0))
-    scaled = (F.col(value) - vmin) / F.when(vmax > vmin, vmax - vmin) * 255
+    scaled = (value - vmin) / F.when(vmax > vmin, vmax - vmin) * 255
     byte = F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), scaled))).cast("int")
-    stretched = lookup_join(pixels, ranges, image).withColumn(value, F.when(vmax > vmin, byte).otherwise(0))
-    return stretched.select(*pixels.columns)
+    return F.when((vmax > vmin) & ~F.isnan(value.cast("double")), byte).when(value.isNotNull(), 0)
+
+
+def stretch(pixels: DataFrame, ranges: DataFrame, image: str = "image_id", value: str = "value") -> DataFrame:
+    """Replace ``value`` by its 8-bit stretch between the image's percentiles."""
+    return lookup_join(pixels, ranges, image).withColumn(value, _byte(F.col(value))).select(*pixels.columns)
 
 
 def normalise(pixels: DataFrame, bits: int, image: str = "image_id", value: str = "value") -> DataFrame:
     """8-bit input stays as it is, anything else is stretched."""
-    return pixels if bits == 8 else stretch(pixels, percentile_range(pixels, bits, image, value), image, value)
+    return pixels if bits == 8 else stretch(pixels, percentile_range(pixels, image, value), image, value)
 
 
 def mask_flags(masks: DataFrame) -> DataFrame:
@@ -114,7 +99,7 @@ def mask_flags(masks: DataFrame) -> DataFrame:
 
 
 def with_alpha(rgb: DataFrame, masks: DataFrame) -> DataFrame:
-    """Add the mask as ``alpha`` where the image has one; NULL elsewhere."""
+    """Add the mask as ``alpha`` where the image has one; NULL elsewhere. Meant for masks of thumbnail size."""
     alpha = lookup_join(masks, mask_flags(masks).where("has_mask"), "image_id", "left_semi")
     return rgb.join(
         alpha.select("image_id", "row", "col", F.col("mask").alias("alpha")), ["image_id", "row", "col"], "left"
@@ -143,3 +128,30 @@ def thumbnail(pixels: DataFrame, size: int = THUMBNAIL_SIZE, height: str = "heig
         .select("*", F.explode(_targets(F.col("col"), F.col(width), size)).alias("_col"))
         .select(*keep, F.col("_row").cast("int").alias("row"), F.col("_col").cast("int").alias("col"))
     )
+
+
+def render(pixels: DataFrame, masks: DataFrame | None = None, size: int = THUMBNAIL_SIZE) -> DataFrame:
+    """Thumbnails: ``image_id, row, col, r, g, b, alpha`` for each cell of the grid.
+
+    ``pixels`` has ``image_id, band, row, col, value, height, width`` and may have ``bits`` (bits per
+    sample; images of 8 bits keep their values), ``masks`` has ``image_id, row, col, mask, height, width``.
+    Everything is first read at the size of the grid, inside each partition; bands, percentiles and masks
+    then work on at most ``size`` * ``size`` positions per image. ``alpha`` is NULL for images
+    without a mask or with one of 255 only.
+    """
+    grid = thumbnail(pixels, size)
+    rgb = compose_rgb(grid)
+    ranges = percentile_range(unpivot_rgb(rgb))
+    if "bits" in pixels.columns:
+        plain = grid.groupBy("image_id").agg((F.max("bits") == 8).alias("_plain"))
+        ranges = plain.join(ranges, "image_id", "left")
+    else:
+        ranges = ranges.withColumn("_plain", F.lit(False))
+    looked = lookup_join(rgb, ranges, "image_id")
+    kept = F.coalesce("_plain", F.lit(False))
+    shown = looked.select(
+        "image_id", "row", "col", *[F.when(kept, F.col(c).cast("int")).otherwise(_byte(F.col(c))).alias(c) for c in ("r", "g", "b")]
+    )
+    if masks is None:
+        return shown.withColumn("alpha", F.lit(None).cast("int"))
+    return with_alpha(shown, thumbnail(masks, size).select("image_id", "row", "col", "mask"))

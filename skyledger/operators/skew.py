@@ -4,30 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A key is hot when it holds more than one part in SHARE of a side's rows, so a
-# side has fewer than SHARE hot keys and their list is always small.
+# A key is hot when it makes more than one part in SHARE of all pairs of rows, so there
+# are fewer than SHARE hot keys and their list is always small. Keys of fewer pairs than
+# MIN_PAIRS are never worth dividing.
 SHARE = 1000
-MIN_HOT_ROWS = 100_000
+MIN_PAIRS = 4_000_000
 
 # Groups per key in a join with a narrow lookup table.
 SALT = 8
 
 
 def hot_keys(
-    df: DataFrame, on: list[str], name: str, share: int = SHARE, min_rows: int = MIN_HOT_ROWS
+    left: DataFrame, right: DataFrame, on: list[str], share: int = SHARE, min_pairs: int = MIN_PAIRS
 ) -> DataFrame | None:
-    """Hot keys with the number of chunks (``name``) their rows are split into; ``None`` if there are none.
+    """Hot keys and the numbers of chunks, ``_lc`` and ``_rc``, for both sides' rows; ``None`` if there are none.
 
-    Runs one job: counts are combined before the shuffle, and only one row comes back.
-    A second job fetches the list, fewer than ``share`` rows, when a key is hot.
+    What a key costs is the product of both sides' rows. One job counts both sides, combined
+    before the shuffle; only its sum and maximum come back. A second one fetches the list,
+    fewer than ``share`` rows, when a key is hot.
     """
-    counts = df.groupBy(*on).agg(F.count("*").alias("_n"))
-    seen = counts.agg(F.sum("_n").alias("total"), F.max("_n").alias("top")).first()
-    bound = max((seen.total or 0) / share, min_rows)
+    sides = left.select(*on, F.lit(1).alias("_l")).unionAll(right.select(*on, F.lit(0).alias("_l")))
+    rows = sides.groupBy(*on).agg(F.sum("_l").cast("double").alias("_a"), F.sum(1 - F.col("_l")).cast("double").alias("_b"))
+    counts = rows.withColumn("_pairs", F.col("_a") * F.col("_b"))
+    seen = counts.agg(F.sum("_pairs").alias("total"), F.max("_pairs").alias("top")).first()
+    bound = max((seen.total or 0) / share, min_pairs)
     if (seen.top or 0) <= bound:
         return None
-    hot = counts.where(F.col("_n") > bound).select(*on, F.ceil(F.col("_n") / bound).cast("int").alias(name))
-    return df.sparkSession.createDataFrame(hot.collect(), hot.schema)
+    # Both sides in chunks of at most ``edge`` rows: no task has more than ``bound`` pairs of a key.
+    edge = bound**0.5
+    chunks = [F.ceil(F.col(side) / edge).cast("int").alias(name) for side, name in (("_a", "_lc"), ("_b", "_rc"))]
+    hot = counts.where(F.col("_pairs") > bound).select(*on, *chunks)
+    return left.sparkSession.createDataFrame(hot.collect(), hot.schema)
 
 
 def _chunk(rows: list[str], chunks: str) -> Column:
@@ -44,32 +51,19 @@ def spread_join(
     on: list[str],
     left_row: list[str],
     right_row: list[str],
-    left_rows: int | None = None,
-    right_rows: int | None = None,
     share: int = SHARE,
-    min_rows: int = MIN_HOT_ROWS,
+    min_pairs: int = MIN_PAIRS,
 ) -> DataFrame:
-    """Inner equi-join on ``on``; rows of a hot key go to several tasks.
+    """Inner equi-join on ``on``; the pairs of a hot key go to several tasks.
 
-    The rows of a key that is hot on one side are dealt over chunks by a hash of
-    ``left_row`` or ``right_row`` (columns that tell rows apart), and the other side's
-    rows of that key are repeated once per chunk. Every pair still meets exactly once.
-    ``on`` must hold no NULL. ``left_rows`` and ``right_rows`` are upper bounds for the
-    rows of one key, if known: a side that cannot have a hot key is not counted.
+    The rows of a hot key are dealt over chunks by a hash of ``left_row`` or ``right_row``
+    (columns that tell rows apart), and repeated once per chunk of the other side. Every
+    pair still meets exactly once. ``on`` must hold no NULL.
     """
-    def find(df: DataFrame, name: str, most: int | None) -> DataFrame | None:
-        return None if most is not None and most <= min_rows else hot_keys(df, on, name, share, min_rows)
-
-    left_hot, right_hot = find(left, "_lc", left_rows), find(right, "_rc", right_rows)
-    if left_hot is None and right_hot is None:
+    hot = hot_keys(left, right, on, share, min_pairs)
+    if hot is None:
         return left.join(right, on)
-    if left_hot is None:
-        hot = right_hot.withColumn("_lc", F.lit(None).cast("int"))
-    elif right_hot is None:
-        hot = left_hot.withColumn("_rc", F.lit(None).cast("int"))
-    else:
-        hot = left_hot.join(right_hot, on, "full")
-    hot = F.broadcast(hot)  # fewer than 2 * share rows
+    hot = F.broadcast(hot)  # fewer than ``share`` rows
     dealt_left = left.join(hot, on, "left").select(
         *left.columns, _chunk(left_row, "_lc").alias("_li"), _every("_rc").alias("_ri")
     )

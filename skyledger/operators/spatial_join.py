@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from skyledger.operators.skew import MIN_HOT_ROWS, SHARE, spread_join
+from skyledger.operators.skew import MIN_PAIRS, SHARE, spread_join
 from skyledger.schema import quoted
 
 MAX_LEVEL = 20
@@ -80,14 +80,11 @@ def _at_levels(boxes: DataFrame, prefix: str, levels: list[int], strict: bool, p
     return _place(leveled.where(f"_level {'<' if strict else '<='} {prefix}home"), prefix, points)
 
 
-def _levels(a: DataFrame, b: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
-    """Rows per home level of both sides: one job, at most 2 * (MAX_LEVEL + 1) rows."""
+def _levels(a: DataFrame, b: DataFrame) -> tuple[set[int], set[int]]:
+    """Home levels in use on both sides: one job, at most 2 * (MAX_LEVEL + 1) rows."""
     homes = a.selectExpr("0 AS side", "a_home AS level").unionAll(b.selectExpr("1 AS side", "b_home AS level"))
-    rows = homes.groupBy("side", "level").agg(F.count("*").alias("n")).collect()
-    found: tuple[dict[int, int], dict[int, int]] = ({}, {})
-    for row in rows:
-        found[row.side][row.level] = row.n
-    return found
+    rows = homes.distinct().collect()
+    return {r.level for r in rows if r.side == 0}, {r.level for r in rows if r.side == 1}
 
 
 def _meet(
@@ -95,37 +92,31 @@ def _meet(
     right: DataFrame,
     left_keys: list[str],
     right_keys: list[str],
-    left_rows: int,
-    right_rows: int,
     share: int,
-    min_rows: int,
+    min_pairs: int,
 ) -> DataFrame:
-    # A box touches a cell once, so no cell holds more rows than its side has boxes.
-    pairs = spread_join(
-        left, right.drop("_level"), ["_cell"], left_keys, right_keys, left_rows, right_rows,
-        share=share, min_rows=min_rows,
-    )
+    pairs = spread_join(left, right.drop("_level"), ["_cell"], left_keys, right_keys, share, min_pairs)
     touch = "a_xmax >= b_xmin AND a_xmin <= b_xmax AND a_ymax >= b_ymin AND a_ymin <= b_ymax"
     corner = _cell(_step("greatest(a_x0, b_x0)"), _step("greatest(a_y0, b_y0)"))
     return pairs.where(f"{touch} AND _cell = {corner}").select(*left_keys, *right_keys)
 
 
 def _pairs(
-    a: DataFrame, b: DataFrame, left_keys: list[str], right_keys: list[str], share: int, min_rows: int,
+    a: DataFrame, b: DataFrame, left_keys: list[str], right_keys: list[str], share: int, min_pairs: int,
     points: bool = False,
 ) -> DataFrame:
     """One job finds which levels are in use; the pairs themselves stay lazy."""
     a_levels, b_levels = _levels(a, b)
-    sizes = (sum(a_levels.values()), sum(b_levels.values()), share, min_rows)
+    limits = (share, min_pairs)
     a_home = sorted(level for level in a_levels if level <= max(b_levels, default=-1))
     b_home = sorted(level for level in b_levels if level < max(a_levels, default=-1))
     parts = []
     if a_home or not b_home:
         at_a = _at_levels(b, "b_", a_home, False, points)
-        parts.append(_meet(_at_home(a, "a_", a_home), at_a, left_keys, right_keys, *sizes))
+        parts.append(_meet(_at_home(a, "a_", a_home), at_a, left_keys, right_keys, *limits))
     if b_home:
         at_b = _at_levels(a, "a_", b_home, True)
-        parts.append(_meet(at_b, _at_home(b, "b_", b_home), left_keys, right_keys, *sizes))
+        parts.append(_meet(at_b, _at_home(b, "b_", b_home), left_keys, right_keys, *limits))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -137,7 +128,7 @@ def box_pairs(
     left_box: str = "bbox",
     right_box: str = "bbox",
     share: int = SHARE,
-    min_rows: int = MIN_HOT_ROWS,
+    min_pairs: int = MIN_PAIRS,
 ) -> DataFrame:
     """Key columns of all pairs whose closed boxes touch, each pair of rows once.
 
@@ -145,7 +136,7 @@ def box_pairs(
     """
     a = _boxes(left, left_box, "a_", left_keys)
     b = _boxes(right, right_box, "b_", right_keys)
-    return _pairs(a, b, left_keys, right_keys, share, min_rows)
+    return _pairs(a, b, left_keys, right_keys, share, min_pairs)
 
 
 def point_hits(
@@ -157,7 +148,7 @@ def point_hits(
     lat: str = "lat",
     box: str = "bbox",
     share: int = SHARE,
-    min_rows: int = MIN_HOT_ROWS,
+    min_pairs: int = MIN_PAIRS,
 ) -> DataFrame:
     """Key columns of every footprint under every point; edges count."""
     spots = points.select(
@@ -169,7 +160,7 @@ def point_hits(
     # A point is a box of no size at the finest level, so the footprint is the coarser side.
     a = _boxes(catalog, box, "a_", image_keys)
     b = _boxes(spots, "_spot", "b_", point_keys)
-    return _pairs(a, b, image_keys, point_keys, share, min_rows, points=True)
+    return _pairs(a, b, image_keys, point_keys, share, min_pairs, points=True)
 
 
 def overlap_counts(hits: DataFrame, point_keys: list[str], image_key: str = "id") -> DataFrame:
@@ -178,7 +169,7 @@ def overlap_counts(hits: DataFrame, point_keys: list[str], image_key: str = "id"
 
 
 def viewport_counts(
-    catalog: DataFrame, viewports: DataFrame, view_keys: list[str], share: int = SHARE, min_rows: int = MIN_HOT_ROWS
+    catalog: DataFrame, viewports: DataFrame, view_keys: list[str], share: int = SHARE, min_pairs: int = MIN_PAIRS
 ) -> DataFrame:
     """Images per saved rectangle (columns west, south, east, north), zero included."""
     areas = viewports.select(
@@ -188,19 +179,33 @@ def viewport_counts(
             F.col("east").alias("xmax"), F.col("north").alias("ymax"),
         ).alias("area"),
     )
-    pairs = box_pairs(catalog, areas, ["id"], view_keys, "bbox", "area", share, min_rows)
+    pairs = box_pairs(catalog, areas, ["id"], view_keys, "bbox", "area", share, min_pairs)
     counts = pairs.groupBy(*view_keys).agg(F.count("*").alias("images"))
     return viewports.join(counts, view_keys, "left").withColumn("images", F.coalesce("images", F.lit(0)))
 
 
-def unique_hits(hits: DataFrame, point_keys: list[str], image_key: str = "id") -> DataFrame:
-    """First hit per image and point; hits without an image id are dropped."""
+def unique_hits(
+    hits: DataFrame, point_keys: list[str], image_key: str = "id", order: tuple[str, ...] = ()
+) -> DataFrame:
+    """First hit per image and point by the columns in ``order``, then by all others in turn.
+
+    The choice never depends on the order of rows. Hits without an image id are dropped.
+    """
     named = hits.where(F.col(image_key).isNotNull() & (F.col(image_key) != ""))
-    return named.dropDuplicates([*point_keys, image_key])
+    keys = [*point_keys, image_key]
+    rest = [*order, *[c for c in hits.columns if c not in keys and c not in order]]
+    if not rest:
+        return named.distinct()
+    first = named.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_first"))
+    return first.select(*[F.col(c) if c in keys else F.col("_first").getField(c).alias(c) for c in hits.columns])
 
 
 def hit_features(
-    hits: DataFrame, catalog: DataFrame, point_keys: list[str], fallback: dict[str, str] | None = None
+    hits: DataFrame,
+    catalog: DataFrame,
+    point_keys: list[str],
+    fallback: dict[str, str] | None = None,
+    order: tuple[str, ...] = (),
 ) -> DataFrame:
     """Full catalog row for every unique hit; what the hit itself carries fills the gaps.
 
@@ -209,7 +214,7 @@ def hit_features(
     skewed left side, which the adaptive join splits without touching the right side.
     """
     fallback = fallback or {}
-    unique = unique_hits(hits, point_keys)
+    unique = unique_hits(hits, point_keys, order=order)
     carried = unique.select(*point_keys, "id", *[F.col(c).alias(f"_hit_{n}") for n, c in fallback.items()])
     joined = carried.join(catalog, "id", "left")
     filled = {n: F.coalesce(F.col(n), F.col(f"_hit_{n}")) for n in fallback}

@@ -19,23 +19,27 @@ def time_limit(max_polls: int = MAX_POLLS, poll_seconds: int = POLL_SECONDS) ->
     return (max_polls + 1) * poll_seconds
 
 
+def step_index(step: Column) -> Column:
+    """Position in the step list, −1 for no or an unknown step."""
+    return F.coalesce(F.array_position(F.array(*[F.lit(s) for s in STEPS]), step), F.lit(0)).cast("int") - 1
+
+
 def latest_status(events: DataFrame) -> DataFrame:
     """Last written status per upload. Works on a batch and on a stream.
 
-    The maximum is combined inside each task before the shuffle.
+    Of events at one time a final one counts, then the one of the latest step. The maximum is
+    combined inside each task before the shuffle.
     """
-    newest = events.groupBy("upload_id").agg(F.max(F.struct("ts", "status", "step")).alias("_newest"))
+    order = F.struct(
+        "ts", F.col("status").isin(*TERMINAL).alias("final"), step_index(F.col("step")).alias("index"), "status", "step"
+    )
+    newest = events.groupBy("upload_id").agg(F.max(order).alias("_newest"))
     return newest.select(
         "upload_id", F.col("_newest.ts").alias("ts"), F.col("_newest.step").alias("step"),
         F.col("_newest.status").alias("status"),
     )
 
 
-def step_index(step: Column) -> Column:
-    """Position in the step list, −1 for no or an unknown step."""
-    return F.coalesce(F.array_position(F.array(*[F.lit(s) for s in STEPS]), step), F.lit(0)).cast("int") - 1
-
-
 def step_progress(latest: DataFrame) -> DataFrame:
     """One row per upload and step: ``done``, ``active`` or ``pending``."""
     steps = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(s).alias("at")) for i, s in enumerate(STEPS)])

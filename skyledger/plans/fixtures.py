@@ -13,7 +13,7 @@ from skyledger.schema import make_bbox, to_catalog_schema
 
 CATALOG = r"""
 SELECT 'img-' || lpad(CAST(k AS STRING), 10, '0') AS id,
-  CASE k % 50 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'Survey ' || o_orderpriority || ' ' || CAST(k AS STRING) || CASE WHEN k % 6 = 0 THEN ' 100% mosaic_a' ELSE '' END END AS title,
+  CASE k % 50 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'Survey ' || o_orderpriority || ' ' || CAST(k AS STRING) || CASE k % 6 WHEN 0 THEN ' 100% mosaic_a' WHEN 3 THEN ' 100x mosaicXa' ELSE '' END END AS title,
   substr(CAST(o_orderdate AS STRING), 1, 10) || CASE k % 5 WHEN 0 THEN 'T10:30:00Z' WHEN 1 THEN '' WHEN 2 THEN 'T23:59:59Z' WHEN 3 THEN 'T23:59:59+00:00' ELSE 'T08:15:30.123456+00:00' END AS datetime,
   CASE WHEN k % 17 = 0 THEN NULL ELSE CAST(1 + (k * 7) % 500 AS DOUBLE) / 100 END AS gsd,
   CASE k % 8 WHEN 0 THEN 'uav' WHEN 1 THEN 'UAV' WHEN 2 THEN 'drone' WHEN 3 THEN 'satellite' WHEN 4 THEN 'Satellite' WHEN 5 THEN 'aircraft' WHEN 6 THEN '' ELSE NULL END AS platform_type,
@@ -36,7 +36,7 @@ FROM (SELECT o_orderkey AS k, o_custkey, o_orderdate, o_orderpriority,
 
 PENDING = r"""
 SELECT id, title || ' v2' AS title, datetime, gsd, platform_type, producer_name, license, cog_href, thumbnail_href,
-  file_size, width, height, bands, epsg, uploaded_by, substr(uploaded_at, 1, 11) || '18:00:00Z' AS uploaded_at,
+  file_size, width, height, bands, epsg, uploaded_by, substr(uploaded_at, 1, 11) || CASE WHEN title IS NULL OR CAST(substr(id, 5) AS BIGINT) % 3 = 2 THEN '18:00:00Z' WHEN CAST(substr(id, 5) AS BIGINT) % 3 = 1 THEN '12:00:00Z' ELSE '06:00:00Z' END AS uploaded_at,
   geom_xmin, geom_ymin, geom_xmax, geom_ymax,
   CAST(NULL AS DOUBLE) AS bbox_xmin, CAST(NULL AS DOUBLE) AS bbox_ymin, CAST(NULL AS DOUBLE) AS bbox_xmax, CAST(NULL AS DOUBLE) AS bbox_ymax
 FROM catalog WHERE CAST(substr(id, 5) AS BIGINT) % 7 = 0
@@ -68,10 +68,10 @@ FROM events
 
 RASTER_META = r"""
 SELECT p_partkey AS upload_key, 'staging/' || CAST(p_partkey AS STRING) || '/image.tif' AS object_key,
-  CAST(CASE WHEN p_partkey % 41 = 0 THEN 0 ELSE 1 + p_partkey % 4 END AS INT) AS bands,
+  CAST(CASE WHEN p_partkey % 53 = 0 THEN NULL WHEN p_partkey % 41 = 0 THEN 0 ELSE 1 + p_partkey % 4 END AS INT) AS bands,
   CAST(CASE WHEN p_partkey % 37 = 0 THEN 9 ELSE 10 + (p_partkey * 13) % 9000 END AS INT) AS width,
   CAST(CASE WHEN p_partkey % 43 = 0 THEN 1 ELSE 10 + (p_partkey * 17) % 9000 END AS INT) AS height,
-  (p_partkey * 104729 * 31) % 600000000 AS file_size,
+  CASE WHEN p_partkey % 59 = 0 THEN NULL ELSE (p_partkey * 104729 * 31) % 600000000 END AS file_size,
   CAST((p_partkey * 9973) % 30000000 AS DOUBLE) - 15000000 AS mx0, CAST((p_partkey * 7817) % 20000000 AS DOUBLE) - 10000000 AS my0,
   CAST(1 + p_partkey % 50 AS DOUBLE) / 100 AS res_x, CAST(3857 AS INT) AS epsg
 FROM part

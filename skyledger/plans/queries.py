@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -18,6 +17,7 @@ from skyledger.plans.registry import query
 from skyledger.schema import CATALOG_SCHEMA, to_catalog_schema
 from skyledger.session import scratch_path
 from skyledger.sources import catalog as store
+from skyledger.sources import jobs
 from skyledger.sources import pending as sidecars
 from skyledger.sources import records
 from skyledger.sources.sample import sample_catalog
@@ -189,7 +189,7 @@ def run_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- merge ----------------------------------------------------------------------------
 
 MERGED = """merged AS (SELECT * FROM catalog UNION ALL BY NAME SELECT * FROM pending),
-latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY uploaded_at DESC) AS rn FROM merged) m
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY uploaded_at DESC, title DESC NULLS LAST) AS rn FROM merged) m
   WHERE rn = 1)"""
 FILLED = ", ".join(f"coalesce(bbox_{n}, geom_{n}) AS bbox_{n}" for n in EDGES)
 
@@ -652,7 +652,8 @@ def run_tile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- ingest ---------------------------------------------------------------------------
 
-REASON = """CASE WHEN bands = 0 THEN 'Image has no bands'
+REASON = """CASE WHEN bands IS NULL OR width IS NULL OR height IS NULL OR file_size IS NULL THEN 'Image metadata missing'
+  WHEN bands = 0 THEN 'Image has no bands'
   WHEN width < 10 OR height < 10 THEN 'Image too small: ' || width || 'x' || height
   WHEN file_size > 524288000 THEN printf('File too large: %.0fMB (max 500MB)', file_size / 1048576.0)"""
 
@@ -713,7 +714,8 @@ def import_pages(spark: SparkSession, sf_dir: str) -> str:
     k = F.substring("id", 5, 10).cast("bigint")
     box = F.col("footprint")
     ring = geo.bbox_ring(box)
-    shape = F.when(k % 13 == 0, None).when(
+    # Of the records to be dropped some have no geometry, others one that cannot be read.
+    shape = F.when(k % 39 == 13, "{}").when(k % 39 == 26, '{"type":"Blob","coordinates":[1]}').when(k % 13 == 0, None).when(
         k % 11 == 5, F.format_string('{"type":"Point","coordinates":[%s,%s]}', box["xmin"], box["ymin"])
     ).when(
         k % 4 == 0, F.concat(F.lit('{"type":"MultiPolygon","coordinates":['), F.to_json(F.array(ring)), F.lit("]}"))
@@ -770,6 +772,54 @@ def run_import_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("around")
 
 
+@query(
+    "import_rejects",
+    """SELECT id, CASE WHEN k % 39 = 0 THEN 'No geometry' ELSE 'Geometry cannot be read' END AS reason
+    FROM (SELECT id, CAST(substr(id, 5) AS BIGINT) AS k FROM catalog) c WHERE k % 13 = 0""",
+    ("catalog",),
+)
+def run_import_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.import_rejects(records.read_pages(spark, import_pages(spark, sf_dir)))
+
+
+@query(
+    "import_version",
+    """SELECT id, coalesce(title, 'Untitled') AS title, cog_href, geom_xmin AS bbox_xmin, geom_ymin AS bbox_ymin
+    FROM catalog WHERE CAST(substr(id, 5) AS BIGINT) % 13 <> 0""",
+    ("catalog",),
+)
+def run_import_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "imports")
+    jobs.import_version(records.read_pages(spark, import_pages(spark, sf_dir)), root, BASE_URL)
+    return flat(store.read_version(spark, root)).select("id", "title", "cog_href", "bbox_xmin", "bbox_ymin")
+
+
+@query(
+    "convert_version",
+    """SELECT id, title, CASE WHEN cog_href LIKE '%legacy-store%' AND CAST(substr(id, 5) AS BIGINT) % 12 = 0
+      THEN 'https://store.example/imagery/' || id || '.tif' ELSE cog_href END AS cog_href FROM catalog""",
+    ("catalog",),
+)
+def run_convert_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "addresses")
+    store.write_version(fx.catalog(spark, sf_dir), root, 0)
+    own = F.substring("id", 5, 10).cast("bigint") % 12 == 0
+    jobs.convert_version(spark, root, "legacy-store", F.when(own, text.image_href(BASE_URL, F.col("id"))))
+    return store.read_version(spark, root).select("id", "title", "cog_href")
+
+
+@query("viewport_files", f"SELECT id, title, bbox_xmin, bbox_ymin FROM catalog WHERE {IN_VIEW}", ("catalog",))
+def run_viewport_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clustered catalog with a record of its files' bounds, and files added after that."""
+    path = scratch_path(spark, "bounded")
+    rows, late = fx.catalog(spark, sf_dir), F.substring("id", 5, 10).cast("bigint") % 10 == 3
+    store.write_catalog(rows.where(~late), path, "hilbert", partitions=8)
+    store.write_file_bounds(spark, path)
+    rows.where(late).write.mode("append").parquet(path)
+    near = search(store.read_viewport(spark, path, VIEW), SearchParams(bbox=VIEW, limit=None))
+    return near.select("id", "title", F.col("bbox_west").alias("bbox_xmin"), F.col("bbox_south").alias("bbox_ymin"))
+
+
 @query(
     "object_keys",
     """SELECT object_key, CASE WHEN len(string_split(object_key, '/')) >= 3 THEN string_split(object_key, '/')[2] END AS upload_id,
@@ -786,12 +836,6 @@ def run_object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.object_uploads(keys)
 
 
-@query("object_listing")
-def run_object_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = os.path.abspath(sf_dir)
-    return records.read_objects(spark, folder, os.path.dirname(os.path.dirname(folder)), "*.parquet").drop("modified")
-
-
 @query(
     "tiff_names",
     r"""SELECT file_name, regexp_replace(file_name, '\.tiff?$', '', 'i') AS title
@@ -973,6 +1017,55 @@ def run_thumbnail_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.thumbnail(sized, 6).select("image_id", "row", "col", "value")
 
 
+# Images of 4 bands and 4 x 4, 2 x 8 or 16 x 1 pixels; some keep one or two bands. One in four has NaN
+# pixels, one in seven 8 bits. Masks have the size of their image.
+RENDER = """sized AS (SELECT image_id, px % 4 + 1 AS band, px // 4 // w AS row, px // 4 % w AS col, 16 // w AS h, w,
+    image_id % 7 = 0 AS plain, CASE WHEN image_id % 7 = 0 THEN CAST(least(value, 255) AS DOUBLE)
+      WHEN image_id % 4 = 2 AND px % 11 = 3 THEN CAST('NaN' AS DOUBLE) ELSE CAST(value AS DOUBLE) END AS value
+  FROM (SELECT *, CASE image_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 8 ELSE 1 END AS w FROM pixels) s
+  WHERE px % 4 < CASE image_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END),
+grid AS (SELECT image_id, band, plain, CAST(g.i AS INTEGER) AS row, CAST(c.i AS INTEGER) AS col, value FROM sized p
+  JOIN (SELECT unnest(range(6)) AS i) g ON p.row = (2 * g.i + 1) * p.h // 12
+  JOIN (SELECT unnest(range(6)) AS i) c ON p.col = (2 * c.i + 1) * p.w // 12),
+rgb AS (SELECT image_id, plain, row, col, b1 AS r, CASE WHEN n >= 3 THEN b2 ELSE b1 END AS g, CASE WHEN n >= 3 THEN b3 ELSE b1 END AS b
+  FROM (SELECT image_id, plain, row, col, max(value) FILTER (WHERE band = 1) AS b1, max(value) FILTER (WHERE band = 2) AS b2,
+    max(value) FILTER (WHERE band = 3) AS b3, max(band) AS n FROM grid GROUP BY ALL) q),
+channels AS (SELECT image_id, r AS value FROM rgb UNION ALL SELECT image_id, g FROM rgb UNION ALL SELECT image_id, b FROM rgb),
+sorted AS (SELECT image_id, list_sort(list(value)) AS v FROM channels WHERE NOT isnan(value) AND value > 0 GROUP BY image_id),
+ranges AS (SELECT image_id, {LERP_LOW} AS vmin, {LERP_HIGH} AS vmax FROM sorted),
+flags AS (SELECT image_id, max(value > 1000 AND NOT isnan(value)) AS has_mask FROM grid WHERE band = 1 GROUP BY image_id),
+shown AS (SELECT c.*, coalesce(vmin, 0) AS lo, coalesce(vmax, 1) AS hi, has_mask FROM rgb c
+  LEFT JOIN ranges g ON c.image_id = g.image_id JOIN flags f ON c.image_id = f.image_id)"""
+RENDER = RENDER.replace("{LERP_LOW}", lerp_sql(raster.LOW)).replace("{LERP_HIGH}", lerp_sql(raster.HIGH))
+
+
+def byte_sql(name: str) -> str:
+    return f"""CAST(CASE WHEN plain THEN {name} WHEN isnan({name}) OR hi <= lo THEN 0
+      ELSE floor(least(255.0, greatest(0.0, ({name} - lo) / (hi - lo) * 255))) END AS INTEGER) AS {name}"""
+
+
+@query(
+    "thumbnail_render",
+    f"""SELECT image_id, row, col, {byte_sql("r")}, {byte_sql("g")}, {byte_sql("b")},
+      CASE WHEN has_mask THEN CASE WHEN r > 1000 AND NOT isnan(r) THEN 0 ELSE 255 END END AS alpha FROM shown""",
+    ("pixels",), RENDER,
+)
+def run_thumbnail_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image, px, value = F.col("image_id"), F.col("px"), F.col("value").cast("double")
+    width = F.when(image % 3 == 0, 4).when(image % 3 == 1, 8).otherwise(1)
+    bands = F.when(image % 5 == 0, 1).when(image % 5 == 1, 2).otherwise(4)
+    plain = image % 7 == 0
+    shown = F.when(plain, F.least(value, F.lit(255.0))).when((image % 4 == 2) & (px % 11 == 3), float("nan")).otherwise(value)
+    sized = fx.pixels(spark, sf_dir).where(px % 4 < bands).withColumn("width", width).select(
+        "image_id", (px % 4 + 1).alias("band"), F.floor(F.floor(px / 4) / F.col("width")).cast("int").alias("row"),
+        (F.floor(px / 4) % F.col("width")).cast("int").alias("col"), shown.alias("value"),
+        F.floor(16 / F.col("width")).cast("int").alias("height"), "width", F.when(plain, 8).otherwise(16).alias("bits"),
+    )
+    above = (F.col("value") > 1000) & ~F.isnan("value")
+    mask = sized.where("band = 1").withColumn("mask", F.when(above, 0).otherwise(255))
+    return raster.render(sized, mask, 6)
+
+
 # --- status and streams ---------------------------------------------------------------
 
 LATEST = """newest AS (SELECT upload_id, arg_max(step, ts) AS step, arg_max(status, ts) AS status, max(ts) AS ts
@@ -993,6 +1086,19 @@ def status_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.derive(spark, fx.STATUS_EVENTS, events=feed)
 
 
+@query(
+    "latest_status_ties",
+    f"""SELECT upload_id, day AS ts, step, status FROM (SELECT *, row_number() OVER (PARTITION BY upload_id
+        ORDER BY day DESC, status IN ('complete', 'error') DESC, list_position({STEP_LIST}, step) DESC, status DESC) AS place
+      FROM (SELECT *, date_trunc('day', ts) AS day FROM status_events) d) r WHERE place = 1""",
+    ("status_events",),
+)
+def run_latest_status_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = fx.status_events(spark, sf_dir)
+    kind = events.schema["ts"].dataType
+    return status.latest_status(events.withColumn("ts", F.date_trunc("day", "ts").cast(kind)))
+
+
 @query("latest_status", "SELECT upload_id, ts, step, status FROM newest", ("status_events",), LATEST)
 def run_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "status")
@@ -1087,24 +1193,34 @@ def run_poll_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_poll_timeouts",
-    f"""SELECT CAST(upload_id AS VARCHAR) AS upload_id, 'error' AS status, {TIMED_OUT} AS error FROM spans
+    f"""SELECT upload_id, 'error' AS status, {TIMED_OUT} AS error
+    FROM (SELECT upload_id || '/' || strftime(ts, '%Y-%m-%d') AS upload_id, min(ts) AS started,
+        min(ts) FILTER (WHERE status IN ('complete', 'error')) AS ended
+      FROM status_events GROUP BY 1) spans
     WHERE started + {LIMIT} < (SELECT max(ts) FROM status_events) AND (ended IS NULL OR ended > started + {LIMIT})""",
-    ("status_events",), TIMED,
+    ("status_events",),
 )
 def run_stream_poll_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One upload per user and day, so that all its writes fall into the default retention."""
     path = scratch_path(spark, "timeouts")
-    feed = status_feed(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    late = status_stream.poll_timeout_stream(feed, retention_seconds=10 * 365 * 86400)
+    day = F.date_format("ts", "yyyy-MM-dd")
+    feed = status_feed(spark, sf_dir).withColumn("upload_id", F.concat(F.col("upload_id").cast("string"), F.lit("/"), day))
+    late = status_stream.poll_timeout_stream(feed.withColumn("ts", F.col("ts").cast("timestamp")))
     status_stream.start_append(late, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.schema(late.schema).parquet(f"{path}/out").select("upload_id", "status", "error")
 
 
-@query("stream_sidecars", f"SELECT {FLAT} FROM pending", ("pending",))
+@query(
+    "stream_sidecars",
+    f"SELECT {FLAT}, {', '.join(f'geom_{n} AS bbox_{n}' for n in EDGES)} FROM pending",
+    ("pending",),
+)
 def run_stream_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "arrivals")
-    arriving = sidecars.stream_pending(spark, land_pending(spark, sf_dir), max_files=2).drop("bbox", "geometry")
+    arriving = sidecars.stream_pending(spark, land_pending(spark, sf_dir), max_files=2)
     status_stream.start_append(arriving, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return spark.read.schema(arriving.schema).parquet(f"{path}/out")
+    arrived = spark.read.schema(arriving.schema).parquet(f"{path}/out")
+    return flat(arrived.withColumn("bbox", wkb_bounds(F.col("geometry"))))
 
 
 @query("stream_merge", f"SELECT {FLAT}, {FILLED} FROM latest", ("catalog", "pending"), MERGED)

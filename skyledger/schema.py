@@ -84,3 +84,10 @@ def to_catalog_schema(df: DataFrame) -> DataFrame:
     known = set(CATALOG_SCHEMA.names)
     extra = [F.col(n) for n in df.columns if n not in known and n not in ARTIFACT_COLUMNS]
     return df.select(*columns, *extra)
+
+
+def lost_values(df: DataFrame) -> DataFrame:
+    """One row: per cast column, how many values ``to_catalog_schema`` turns into NULL because they don't fit."""
+    cast = {f.name: f.dataType for f in CATALOG_SCHEMA if f.name in df.columns and f.name != "bbox"}
+    lost = lambda name: F.col(name).isNotNull() & F.col(name).try_cast(cast[name]).isNull()
+    return df.agg(*[F.count_if(lost(name)).alias(name) for name in cast])

@@ -22,8 +22,10 @@ PLACES = [
     ("Quito", "Ecuador", -78.47, -0.18), ("Recife", "Brazil", -34.88, -8.05),
     ("Sapporo", "Japan", 141.35, 43.06), ("Tamale", "Ghana", -0.84, 9.40),
 ]
+# What is drawn, with its shares.
 PLATFORMS = ["satellite", "uav", "uav", "uav", "satellite", "aircraft"]
 LICENSES = ["CC-BY-4.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"]
+# Own values.
 PRODUCERS = [f"Survey Team {letter}" for letter in "ABCDEFGHIJKL"]
 
 # Fixed values per platform: half width and half height in degrees, resolution in metres.

@@ -2,14 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from skyledger.operators.merge import merge_catalog
-from skyledger.sources.catalog import current_version, read_version, write_version
+from skyledger.sources.catalog import (
+    archive_files, current_version, is_merged, read_files, read_manifest, read_version, touched_files, write_version,
+)
 from skyledger.sources.pending import read_pending, stream_pending
 
 
+def merge_version(rows: DataFrame, root: str, version: int, order: str = "id") -> None:
+    """Version ``version`` = the one before it + ``rows``.
+
+    If that one was written by a merge, only its files whose ids overlap the new rows are read and written
+    again; the new version lists the others as they are. Otherwise its ids may repeat, and all is merged.
+    With order ``id`` the files' id ranges are narrow; in other orders most of them overlap.
+    """
+    spark = rows.sparkSession
+    found = current_version(spark, root, before=version)
+    manifest = read_manifest(spark, root, found[0]) if found else None
+    if manifest is None or not is_merged(spark, root, before=version):
+        base = read_version(spark, root, before=version)
+        write_version(merge_catalog(base, rows, base_unique=found is None), root, version, order, merged=True)
+        return
+    touched = sorted(touched_files(rows, manifest))
+    again = spark.createDataFrame([(name,) for name in touched], "file string")
+    carried = manifest.join(again, "file", "left_anti")
+    merged = merge_catalog(read_files(spark, touched), rows, base_unique=True)
+    write_version(merged, root, version, order, carried=carried, merged=True)
+
+
 def merge_batch(root: str, order: str = "id", first_version: int = 1):
     """``foreachBatch`` function: version ``first_version + batch id`` = previous version + batch.
 
@@ -19,14 +42,8 @@ def merge_batch(root: str, order: str = "id", first_version: int = 1):
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        spark, version = batch.sparkSession, first_version + batch_id
-        found = current_version(spark, root, before=version)
-        # Ids are known to be unique once a merge wrote the base.
-        merged_before = found is None or found[0] >= first_version
-        base = read_version(spark, root, before=version)
-        write_version(merge_catalog(base, batch, base_unique=merged_before), root, version, order)
+        if not batch.isEmpty():
+            merge_version(batch, root, first_version + batch_id, order)
 
     return apply
 
@@ -52,17 +69,22 @@ def start_merge(
     )
 
 
-def rebuild_catalog(spark: SparkSession, pending: str, root: str, order: str = "id") -> int:
+def rebuild_catalog(
+    spark: SparkSession, pending: str, root: str, order: str = "id", archive: str | None = None
+) -> int:
     """Merge everything pending into a new version; gives the number of sidecar files merged.
 
-    With nothing pending no version is written. Sidecars are left in place: merging them
-    again changes nothing, so they may be removed any time after this returns.
+    With nothing pending no version is written. With ``archive`` the sidecars are moved there once the
+    version is recorded. Otherwise they stay: merging them again changes nothing, so they may be
+    removed any time after this returns.
     """
     late = read_pending(spark, pending)
-    files = late.agg(F.count_distinct("source_file").alias("files")).first().files
+    # The driver has listed these files already.
+    files = [r.source_file for r in late.select("source_file").distinct().collect()]
     if not files:
         return 0
     found = current_version(spark, root)
-    merged = merge_catalog(read_version(spark, root), late.drop("source_file"))
-    write_version(merged, root, found[0] + 1 if found else 0, order)
-    return files
+    merge_version(late.drop("source_file"), root, found[0] + 1 if found else 0, order)
+    if archive:
+        archive_files(spark, files, archive)
+    return len(files)

@@ -44,6 +44,11 @@ def start_latest_status(events: DataFrame, path: str, checkpoint: str) -> Stream
     )
 
 
+def compact_latest_status(spark: SparkSession, path: str, target: str, schema) -> None:
+    """Write the change log anew with one row per upload; read ``target`` with ``path``'s later batches from then on."""
+    read_latest_status(spark, path, schema).write.mode("overwrite").parquet(target)
+
+
 def read_latest_status(spark: SparkSession, path: str, schema) -> DataFrame:
     """Current status per upload from the change log; none before the first batch."""
     try:
@@ -73,7 +78,8 @@ def poll_timeout_stream(
 
     Event-time timers raise the error when the watermark passes the limit. Writes are
     combined before the shuffle, so a very chatty upload sends a few rows per task. State
-    per upload is two times and a flag, and goes ``retention_seconds`` after the outcome.
+    per upload is two times and a flag, and goes ``retention_seconds`` after the outcome: a
+    write that comes later still counts as a new upload's first, and may raise an error of its own.
     Python sees times as microseconds only, so the session time zone has no influence.
     ``events`` has ``upload_id, ts, status``; ``ts`` is a timestamp.
     """

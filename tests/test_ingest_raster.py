@@ -116,6 +116,96 @@ def test_stretch_equals_numpy(spark, bits):
     assert raster.normalise(rgb, 8) is rgb
 
 
+def test_no_data_pixels(spark):
+    values = [float(v) for v in range(1, 101)] + [float("nan")] * 20
+    table = spark.createDataFrame([("x", i, v) for i, v in enumerate(values)], "image_id string, row int, value double")
+    (found,) = raster.percentile_range(table).collect()
+    assert (found.vmin, found.vmax) == tuple(np.percentile(values[:100], [2, 98]))
+    shown = {r.row: r.value for r in raster.normalise(table, 16).collect()}
+    assert {shown[i] for i in range(100, 120)} == {0} and shown[0] == 0 and shown[99] == 255
+
+
+def test_render_equals_numpy(spark):
+    rng = np.random.default_rng(5)
+    images = {
+        "rgb": (rng.integers(0, 60_000, (4, 9, 5)).astype(float), 16), "grey": (rng.integers(0, 4000, (1, 3, 11)).astype(float), 16),
+        "two": (rng.random((2, 6, 6)), 32), "plain": (rng.integers(0, 256, (3, 4, 4)).astype(float), 8), "dark": (np.zeros((3, 4, 4)), 16),
+    }
+    images["two"][0][0, ::2, 1] = np.nan
+    size, rows, masks = 6, [], []
+    for name, (data, bits) in images.items():
+        _, h, w = data.shape
+        rows += [(name, b + 1, r, c, float(data[b, r, c]), h, w, bits) for b in range(data.shape[0]) for r in range(h) for c in range(w)]
+        masks += [(name, r, c, 255 if name == "dark" or (r + c) % 3 else 0, h, w) for r in range(h) for c in range(w) if name != "grey"]
+    pixels = spark.createDataFrame(rows, "image_id string, band int, row int, col int, value double, height int, width int, bits int")
+    mask = spark.createDataFrame(masks, "image_id string, row int, col int, mask int, height int, width int")
+    got = {(r.image_id, r.row, r.col): (r.r, r.g, r.b, r.alpha) for r in raster.render(pixels, mask, size).collect()}
+    want = {}
+    for name, (data, bits) in images.items():
+        _, h, w = data.shape
+        at = [[int((i + 0.5) * n / size) for i in range(size)] for n in (h, w)]
+        grid = data[:, at[0]][:, :, at[1]]
+        rgb = grid[:3] if len(grid) >= 3 else np.stack([grid[0]] * 3)
+        with np.errstate(invalid="ignore"):
+            low, high = np.percentile(rgb[rgb > 0], [2, 98]) if (rgb > 0).any() else (0, 1)
+            byte = rgb if bits == 8 else np.nan_to_num(np.clip((rgb - low) / (high - low) * 255, 0, 255)).astype(np.uint8)
+        for i in range(size):
+            for j in range(size):
+                alpha = None if name in ("grey", "dark") else 255 if (at[0][i] + at[1][j]) % 3 else 0
+                want[name, i, j] = (*[int(v) for v in byte[:, i, j]], alpha)
+    assert got == want
+    assert raster.render(pixels, None, size).where("alpha IS NOT NULL").count() == 0
+
+
+def test_bad_records_are_listed_and_never_abort(spark):
+    shapes = [
+        '{"type":"Polygon","coordinates":[[[0,0],[2,0],[2,1],[0,1],[0,0]]]}', "{}", '{"type":"Blob","coordinates":[1,2]}',
+        '{"type":"Polygon","coordinates":[[[0,0],[2,', '{"type":"Point"}', '{"type":"Polygon","coordinates":[[["a",0]]]}', "[]", "7", None,
+        '{"type":"Polygon","coordinates":[[[0,0],[1-2,0],[2,1],[0,1],[0,0]]]}', ' { "type" : "Polygon", "coordinates" : [ [ [1e0, -2.5], [3,-2.5],[3,4],[1,4],[1,-2.5] ] ] } ',
+    ]
+    kind = (
+        "_id string, uuid string, title string, provider string, platform string, contact string, gsd double, file_size bigint, "
+        "acquisition_start string, uploaded_at string, properties struct<thumbnail: string>, geojson string"
+    )
+    rows = [(str(i), None, None, None, None, None, None, None, "2024", None, None, shape) for i, shape in enumerate(shapes)]
+    records = spark.createDataFrame(rows, kind)
+    kept = ingest.import_records(records, "https://x.example").select("id", wkb_bounds(F.col("geometry")).alias("b")).collect()
+    assert {r.id: tuple(r.b) for r in kept} == {"0": (0, 0, 2, 1), "10": (1, -2.5, 3, 4)}
+    rejects = {r.id: r.reason for r in ingest.import_rejects(records).collect()}
+    assert rejects.pop("8") == "No geometry" and set(rejects.values()) == {"Geometry cannot be read"} and len(rejects) == 8
+    broken = spark.createDataFrame([(bytearray(b"\x01\x03\x00"),), (bytearray(b""),), (bytearray(b"\x01\x63\x00\x00\x00abc"),)], "g binary")
+    assert [r.b for r in broken.select(wkb_bounds(F.col("g")).alias("b")).collect()] == [None] * 3
+
+
+def test_unknown_metadata_is_no_valid_raster(spark):
+    df = spark.createDataFrame(
+        [(1, None, 20, 20, 1), (2, 3, None, 20, 1), (3, 3, 20, None, 1), (4, 3, 20, 20, None)], "k int, bands int, width int, height int, file_size bigint"
+    )
+    checked = ingest.validate(df)
+    assert {r.reason for r in checked.collect()} == {"Image metadata missing"}
+    assert {r.status for r in status.outcomes(checked, "k", "now").collect()} == {"error"}
+
+
+def test_several_metadata_rows_give_one_sidecar(spark):
+    rasters = spark.createDataFrame(
+        [("u1", 3, 100, 50, 10, 0.1, Row(1.0, 2.0, 3.0, 4.0))],
+        f"up string, bands int, width int, height int, file_size bigint, res_x double, bounds {BBOX_TYPE.simpleString()}",
+    )
+    for titles in (["b", "a", None], [None, "a", "b"]):
+        given = spark.createDataFrame([("u1", t) for t in titles], "up string, title string")
+        rows = ingest.sidecar_rows(rasters, given, "up", "2024-05-06T07:08:09+00:00", "https://x.example").collect()
+        assert [r.title for r in rows] == ["b"]
+
+
+def test_final_status_wins_at_equal_times(spark):
+    rows = [("a", 1, "complete", "done"), ("a", 1, "processing", "uploading"), ("b", 1, "processing", "downloading"), ("b", 1, "processing", "converting"), ("c", 1, "error", None), ("c", 1, "processing", "done")]
+    events = spark.createDataFrame(rows, "upload_id string, ts int, status string, step string")
+    for order in (events, events.orderBy(F.desc("status"), F.desc("step")).coalesce(1)):
+        assert {r.upload_id: (r.status, r.step) for r in status.latest_status(order).collect()} == {
+            "a": ("complete", "done"), "b": ("processing", "converting"), "c": ("error", None),
+        }
+
+
 def test_mask(spark):
     masks = spark.createDataFrame([("a", 0, 0, 255), ("a", 0, 1, 0), ("b", 0, 0, 255)], "image_id string, row int, col int, mask int")
     assert {r.image_id: r.has_mask for r in raster.mask_flags(masks).collect()} == {"a": True, "b": False}

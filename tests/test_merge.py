@@ -96,3 +96,17 @@ def test_plans(spark):
     # The limit per id is applied on both sides of the shuffle.
     assert text.count("WindowGroupLimit") >= 2
     assert ids(df) == ["a"]
+
+
+def test_ties_never_depend_on_row_order(spark):
+    rows = [image("a", (0, 0, 1, 1), uploaded_at="1", license=name) for name in ("CC0", "CC-BY 4.0", "CC-BY-SA")]
+    found = {merge.latest_per_id(catalog(spark, *order).coalesce(1)).first().license for order in (rows, rows[::-1], rows[1:] + rows[:1])}
+    assert len(found) == 1
+
+
+def test_several_updates_of_one_id(spark):
+    base = catalog(spark, image("a", (0, 0, 1, 1), cog_href="old"), image("b", (0, 0, 1, 1), cog_href="kept"))
+    for hrefs in (["n1", "n2", None], [None, "n2", "n1"]):
+        updates = spark.createDataFrame([("a", h) for h in hrefs], "id string, new_href string")
+        assert {(r.id, r.cog_href) for r in merge.update_hrefs(base, updates).collect()} == {("a", "n2"), ("b", "kept")}
+        assert merge.update_hrefs(base, updates).count() == 2

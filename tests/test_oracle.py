@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_point
 import compare
+from skyledger.sources.records import read_objects
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -23,7 +24,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_listing_has_every_table(spark):
-    rows = entry_point.queries()["object_listing"](spark, SF_DIR).collect()
+    rows = read_objects(spark, SF_DIR, os.path.dirname(os.path.dirname(SF_DIR)), "*.parquet").collect()
     assert sorted(os.path.basename(r.object_key) for r in rows) == sorted(os.listdir(SF_DIR))
     assert all(r.file_size == os.path.getsize(f"{SF_DIR}/{os.path.basename(r.object_key)}") for r in rows)
     assert {r.upload_id for r in rows} == {"sf0.001"} and {r.reason for r in rows} == {None}

@@ -198,3 +198,41 @@ def test_scratch_is_the_shared_folder(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     assert scratch_path(spark, "x").startswith(scratch_root(spark))
     assert os.path.isabs(scratch_root(spark))
+
+
+def test_viewport_reads_files_added_after_the_record(spark, tmp_path):
+    path = str(tmp_path / "grown")
+    df = scattered(spark, 600)
+    store.write_catalog(df.where("id < 'i000300'"), path, "hilbert", partitions=4)
+    store.write_file_bounds(spark, path)
+    df.where("id >= 'i000300' AND id < 'i000500'").write.mode("append").parquet(path)
+    df.where("id >= 'i000500'").write.parquet(f"{path}/more")
+    view = (-60.0, -60.0, 60.0, 60.0)
+    params = SearchParams(bbox=view, limit=None)
+    assert ids(search(store.read_viewport(spark, path, view), params)) == ids(search(df, params))
+
+
+def test_import_and_conversion_write_versions(spark, tmp_path):
+    from skyledger.sources import jobs
+    from skyledger.sources.records import parse_pages
+
+    shape = '{"type":"Polygon","coordinates":[[[%d,0],[%d,0],[%d,1],[%d,1],[%d,0]]]}'
+    lines = [
+        '{"_id":"%d","uuid":"http://legacy/%d.tif","uploaded_at":"2024","geojson":%s}' % (i, i, shape % (i, i + 1, i + 1, i, i)) for i in range(40)
+    ]
+    page = '{"results":[' + ",".join([*lines, '{"_id":"99","geojson":{}}']) + "]}"
+    root = str(tmp_path / "root")
+    jobs.import_version(parse_pages(spark.createDataFrame([(page,)], "page string")), root, "https://x.example", row_group=10)
+    assert store.read_version(spark, root).count() == 40
+    changed = jobs.convert_version(spark, root, "legacy", F.when(F.col("id") != "7", F.concat(F.lit("new/"), "id")))
+    rows = {r.id: r.cog_href for r in store.read_version(spark, root).collect()}
+    assert changed == 39 and rows["7"] == "http://legacy/7.tif" and rows["8"] == "new/8" and len(rows) == 40
+    assert jobs.convert_version(spark, root, "nowhere", F.lit("x")) == 0
+    assert store.current_version(spark, root)[0] == 1
+
+
+def test_lost_values_are_counted(spark):
+    from skyledger.schema import lost_values
+
+    df = spark.createDataFrame([(99999999999, "1"), (5, "x"), (None, None)], "width bigint, height string")
+    assert lost_values(df).first().asDict() == {"width": 1, "height": 1}

@@ -31,25 +31,25 @@ def boxes(spark, values, name):
 
 
 @pytest.mark.parametrize("seed", range(2))
-@pytest.mark.parametrize("min_rows", [skew.MIN_HOT_ROWS, 5])
-def test_pairs_equal_nested_loop(spark, seed, min_rows):
+@pytest.mark.parametrize("min_pairs", [skew.MIN_PAIRS, 25])
+def test_pairs_equal_nested_loop(spark, seed, min_pairs):
     rng = random.Random(seed)
     left, right = [box(rng) for _ in range(150)] + [None], [box(rng) for _ in range(120)] + [None]
     got = sj.box_pairs(
-        boxes(spark, left, "a"), boxes(spark, right, "b"), ["a"], ["b"], share=10, min_rows=min_rows
+        boxes(spark, left, "a"), boxes(spark, right, "b"), ["a"], ["b"], share=10, min_pairs=min_pairs
     ).collect()
     want = {(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if a and b and touches(a, b)}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
-@pytest.mark.parametrize("min_rows", [skew.MIN_HOT_ROWS, 5])
-def test_points_equal_nested_loop(spark, min_rows):
+@pytest.mark.parametrize("min_pairs", [skew.MIN_PAIRS, 25])
+def test_points_equal_nested_loop(spark, min_pairs):
     rng = random.Random(9)
     images = [box(rng) for _ in range(200)] + [(10, 10, 20, 20), None]
     spots = [(13.4, 52.5)] * 60 + [(rng.uniform(-190, 190), rng.uniform(-90, 90)) for _ in range(100)]
     spots += [(10.0, 10.0), (20.0, 20.0), (20.0000001, 20.0), (10.0, 15.0), (None, 1.0)]
     points = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "p int, lon double, lat double")
-    got = sj.point_hits(boxes(spark, images, "a"), points, ["a"], ["p"], share=10, min_rows=min_rows).collect()
+    got = sj.point_hits(boxes(spark, images, "a"), points, ["a"], ["p"], share=10, min_pairs=min_pairs).collect()
     want = {
         (i, j) for i, a in enumerate(images) for j, (x, y) in enumerate(spots)
         if a and x is not None and touches(a, (x, y, x, y))
@@ -75,15 +75,45 @@ def test_nothing_on_one_side(spark):
 def test_hot_keys_are_split(spark):
     left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
     right = spark.range(900).select(F.col("id").alias("r"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"))
-    hot = skew.hot_keys(left, ["k"], "chunks", share=100, min_rows=10).collect()
-    assert [(r.k, r.chunks) for r in hot] == [(0, 34)]
-    assert skew.hot_keys(left, ["k"], "chunks") is None
-    got = skew.spread_join(left, right, ["k"], ["id"], ["r"], share=100, min_rows=10)
+    hot = skew.hot_keys(left, right, ["k"], share=100, min_pairs=2500).collect()
+    assert [(r.k, r._lc, r._rc) for r in hot] == [(0, 15, 7)]  # 1000 x 450 pairs; chunks of at most (450,600 / 100) ** 0.5 rows
+    assert skew.hot_keys(left, right, ["k"]) is None
+    got = skew.spread_join(left, right, ["k"], ["id"], ["r"], share=100, min_pairs=2500)
     plain = left.join(right, "k")
     assert got.count() == plain.count() == got.select("id", "r").distinct().count()
     assert got.select("id", "r", "k").exceptAll(plain.select("id", "r", "k")).count() == 0
 
 
+def test_one_cell_goes_to_many_tasks(spark):
+    plain = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in plain:
+        spark.conf.set(name, "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = 20_000
+        side = lambda name: spark.range(n).select(F.col("id").alias(name), F.lit(1).alias("k"))
+        hot = skew.hot_keys(side("a"), side("b"), ["k"]).first()
+        assert (hot._lc, hot._rc) == (10, 10)
+        pairs = skew.spread_join(side("a"), side("b"), ["k"], ["a"], ["b"])
+        per_task = pairs.where("a % 100 = b % 100").groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert sum(r["count"] for r in per_task) == n * n // 100
+        # A hundred chunks meet in all of the session's eight partitions.
+        assert len(per_task) == 8 and max(r["count"] for r in per_task) < n * n // 300
+    finally:
+        for name in plain:
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_first_hit_does_not_depend_on_row_order(spark):
+    rows = [(1, "a", "t2", None), (1, "a", "t1", 5), (1, "a", "t1", 4), (2, "", "x", 1)]
+    kind = "p int, id string, title string, n int"
+    for order in (rows, rows[::-1]):
+        hits = spark.createDataFrame(order, kind).coalesce(1)
+        assert [tuple(r) for r in sj.unique_hits(hits, ["p"]).collect()] == [(1, "a", "t1", 4)]
+        assert [tuple(r) for r in sj.unique_hits(hits, ["p"], order=("n",)).collect()] == [(1, "a", "t2", None)]
+
+
 def test_counts_and_features(spark):
     images = catalog(
         spark, image("a", (0, 0, 2, 2), title="A"), image("b", (1, 1, 3, 3), title="B"), image("", (0, 0, 9, 9)), image(None, (0, 0, 9, 9)),

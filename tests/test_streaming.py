@@ -77,6 +77,46 @@ def test_rebuild(spark, tmp_path):
     assert store.current_version(spark, root)[0] == 1
 
 
+def manifest(spark, root, version):
+    return {r.file: (r.first_id, r.last_id, r.rows) for r in store.read_manifest(spark, root, version).collect()}
+
+
+def test_merge_rewrites_touched_files_only(spark, tmp_path):
+    folder, root, archive = str(tmp_path / "pending"), str(tmp_path / "root"), str(tmp_path / "archive")
+    rows = [image(f"i{i:04d}", uploaded_at="1") for i in range(800)]
+    store.write_version(merge.backfill_bbox(sidecars(spark, *rows)), root, 0, merged=True, partitions=8)
+    first = manifest(spark, root, 0)
+    assert len(first) > 3 and sum(n for *_, n in first.values()) == 800
+    pending.append_sidecars(sidecars(spark, image("i0005", uploaded_at="2", title="new"), image("zz", uploaded_at="2")).coalesce(1), folder)
+    assert merge_stream.rebuild_catalog(spark, folder, root, archive=archive) == 1
+    second = manifest(spark, root, 1)
+    kept = first.keys() & second.keys()
+    assert len(kept) == len(first) - 1 and all(first[f] == second[f] for f in kept)
+    merged = {r.id: r.title for r in store.read_version(spark, root).collect()}
+    assert len(merged) == 801 and merged["i0005"] == "new" and "zz" in merged
+    # The sidecar is gone from the folder, so nothing is merged again.
+    assert merge_stream.rebuild_catalog(spark, folder, root, archive=archive) == 0 and os.listdir(archive)
+
+    batch = sidecars(spark, image("i0700", uploaded_at="3", title="again"))
+    merge_stream.merge_batch(root)(batch, 1)
+    once = sorted(store.read_version(spark, root).collect(), key=str)
+    merge_stream.merge_batch(root)(batch, 1)
+    assert sorted(store.read_version(spark, root).collect(), key=str) == once and len(once) == 801
+    assert store.expire_versions(spark, root, keep=1) >= 1
+    assert sorted(store.read_version(spark, root).collect(), key=str) == once
+    assert store.expire_versions(spark, root, keep=1) == 0
+
+
+def test_touched_files(spark):
+    listed = [("a", "b", "d", 3, 0), ("b", "e", "e", 1, 0), ("c", None, None, 2, 2), ("d", "f", "k", 9, 0)]
+    files = spark.createDataFrame(listed, store.MANIFEST_SCHEMA)
+
+    def touched(*names):
+        return store.touched_files(spark.createDataFrame([(n,) for n in names], "id string"), files)
+
+    assert touched("c", "a", "z") == {"a"} and touched("e", "k") == {"b", "d"} and touched(None) == {"c"} and touched("l") == set()
+
+
 def test_duplicates_in_an_imported_base_go_with_the_first_merge(spark, tmp_path):
     root = str(tmp_path / "root")
     store.write_version(sidecars(spark, image("x", uploaded_at="1"), image("x", uploaded_at="2")), root, 0)
@@ -133,3 +173,30 @@ def test_timeouts_equal_batch(spark, tmp_path, zone):
     # b ended after its limit; c's limit (1663) is beyond the last watermark (1400).
     assert got == ["b"]
     assert sorted(r.upload_id for r in status.poll_timeouts(batch, F.timestamp_seconds(F.lit(1400))).collect()) == ["b"]
+
+
+def test_write_after_expiry_is_a_new_upload(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    day = 86400
+    status_files(spark, source, [
+        [("a", 1000, "done", "complete")],
+        [("x", 1000 + 2 * day, "done", "complete")],  # moves the watermark beyond a's retention
+        [("y", 1001 + 2 * day, "done", "complete")],
+        [("a", 1002 + 2 * day, "downloading", "processing"), ("b", 1002 + 2 * day, "done", "complete")],
+        [("z", 2000 + 3 * day, "done", "complete")],
+        [("w", 2001 + 3 * day, "done", "complete")],
+    ])
+    late = status_stream.poll_timeout_stream(feed(spark, source))
+    status_stream.start_append(late, out, str(tmp_path / "cp")).awaitTermination()
+    rows = spark.read.schema(late.schema).parquet(out).collect()
+    assert [(r.upload_id, r.status) for r in rows] == [("a", "error")]
+
+
+def test_compacted_log_has_the_same_state(spark, tmp_path):
+    source, out, small = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "small")
+    status_files(spark, source, BATCHES)
+    stream = feed(spark, source)
+    status_stream.start_latest_status(stream, out, str(tmp_path / "cp")).awaitTermination()
+    status_stream.compact_latest_status(spark, out, small, stream.schema)
+    whole, compact = (status_stream.read_latest_status(spark, p, stream.schema) for p in (out, small))
+    assert sorted(whole.collect()) == sorted(compact.collect()) and spark.read.parquet(small).count() == whole.count()
