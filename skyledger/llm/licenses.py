@@ -1,7 +1,7 @@
 """Licence notices by conditional compression.
 
 Blocks of text with a licence cue are compressed plainly and with each template as a raw zstandard
-dictionary. Templates are ranked by how much they shorten a block, and in that order compared
+dictionary, both in lower case. Templates are ranked by how much they shorten a block, and in that order compared
 with its wording: the first template of which no telling word is missing or added, and at
 most ``MOST_MISSING`` of all words are missing, is the block's licence. The differing words are returned.
 
@@ -78,7 +78,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
         else:
             for a, b in cues:
                 a, b = max(start, a - AROUND), min(end, b + AROUND)
-                if found and found[-1][1] >= a > start:
+                if found and found[-1][0] >= start and found[-1][1] >= a:
                     found[-1] = (found[-1][0], b)
                 else:
                     found.append((a, b))
@@ -91,18 +91,19 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str]):
         self.words = {name: [w.lower() for w in _WORD.findall(text)] for name, text in templates.items()}
+        self.sizes = {name: len(text) for name, text in templates.items()}
         setting = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.plain = zstandard.ZstdCompressor(**setting)
         self.given = {
             name: zstandard.ZstdCompressor(
-                dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **setting
+                dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **setting
             )
             for name, text in templates.items()
         }
 
     def ranked(self, block: str) -> list[tuple[float, str]]:
         """Shares of the plain size that a template saves, the largest first."""
-        data = block.encode("utf-8", "surrogatepass")
+        data = block.lower().encode("utf-8", "surrogatepass")
         plain = len(self.plain.compress(data))
         gains = [((plain - len(c.compress(data))) / plain, name) for name, c in self.given.items()]
         return sorted(gains, key=lambda g: (-g[0], g[1]))
@@ -130,7 +131,7 @@ class Scanner:
         for start, end in blocks(text):
             block = text[start:end]
             for gain, name in self.ranked(block):
-                if gain < LEAST_GAIN * min(1, 4 * len(TEMPLATES.get(name, "")) / len(block)):
+                if gain < LEAST_GAIN * min(1, 4 * self.sizes[name] / len(block)):
                     break
                 difference = self.wording(block, name)
                 if difference is not None:
