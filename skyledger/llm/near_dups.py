@@ -8,11 +8,11 @@
    representatives go on. Banding gives buckets of representatives.
 3. Each bucket's members are compared with its smallest one: full sets, exact Jaccard. Links give
    components (alternating stars, by joins).
-4. Buckets whose members are still in several components are compared throughout, by blocks of
-   ``BLOCK`` members against each other; tasks return only the links that join components. So no link
-   between members of a bucket is lost, and no bucket is one task or a list of all pairs.
+4. Buckets whose other members are still in several components are compared throughout, by blocks
+   of ``BLOCK`` members against each other; tasks return only the links that join components. So no
+   link between members of a bucket is lost, and no bucket is one task or a list of all pairs.
 
-At a similarity of 0.85 a pair shares no bucket with probability (1 - 0.85^8)^44 = 8e-7.
+At a similarity of 0.85 a pair shares no bucket with probability (1 - 0.85^7)^34 = 2e-6.
 
 Definitions: A-Z in lower case; words are ``[^\\x20\\x09-\\x0D]+``; a set holds the different shingles of
 ``WIDTH`` words, or the whole sequence if it is shorter. Texts without words, and null texts, have an empty
@@ -35,7 +35,7 @@ from skyledger.llm.tokens import Memo, runs
 from skyledger.session import scratch_path
 
 WIDTH, SIMILARITY = 5, 85  # similarity in hundredths
-BANDS, ROWS = 44, 8
+BANDS, ROWS = 34, 7
 COORDINATES = BANDS * ROWS
 RING = 1 << 20
 BLOCK = 256
@@ -52,10 +52,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str, width: int = WIDTH) -> np.ndarray:
-    """Sorted 64-bit hashes of the different shingles."""
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted 64-bit hashes of the different shingles; null counts as empty."""
     # Lower-casing and splitting bytes touch ASCII letters and white space only.
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     hashes = np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
     if not len(words):
         return hashes
@@ -115,40 +115,39 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``doc_id`` and its set as bytes, for the ``ids`` only; of repeated ids all sets."""
+def some_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` for the ``ids`` only; of repeated ids all texts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in runs(batch):
-                sets = pa.array([shingles(text, width).tobytes() for text in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), sets], ["doc_id", "held"])
-
-    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "doc_id bigint, held binary")
+    Texts travel instead of their sets: hashes don't compress, and texts of near-duplicates do.
+    """
+    return docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: int = SIMILARITY) -> bool:
     """Whether 100 * intersection >= similarity * union, for sorted arrays without repetitions."""
-    if 100 * min(len(a), len(b)) < similarity * max(len(a), len(b)):
+    if not len(a) or 100 * min(len(a), len(b)) < similarity * max(len(a), len(b)):
         return False
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * shared >= similarity * (len(a) + len(b) - shared)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
     """The pairs (``a``, ``b``) that are links by their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
-            rows = zip(batch.column("held_a"), batch.column("held_b"), strict=True)
-            right = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity) for x, y in rows]
-            kept = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(right, pa.bool_()))
-            yield kept
-
-    left = sets.select(F.col("doc_id").alias("a"), F.col("held").alias("held_a"))
-    other = sets.select(F.col("doc_id").alias("b"), F.col("held").alias("held_b"))
-    both = pairs.join(left, "a").join(other, "b").select("a", "b", "held_a", "held_b")
+            right = []
+            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+                if x != last[0]:  # a pivot's rows often follow each other
+                    last = (x, shingles(x, width))
+                right.append(alike(last[1], shingles(y, width), similarity))
+            pairs = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
+            yield pairs.filter(pa.array(right, pa.bool_()))
+
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    both = pairs.join(left, "a").join(other, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -179,20 +178,28 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def buckets(signed: DataFrame) -> DataFrame:
-    """``bucket``, ``pivot`` and ``member`` of the buckets with several members; of equal buckets only one."""
+    """``bucket``, ``pivot`` (smallest member) and ``member`` of the buckets with several members; of equal buckets only one."""
     rows = signed.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("member"))
-    # Sums of hashes tell the member lists of buckets apart.
+    # Most buckets have one member, so this aggregate carries as little as it can.
     several = (
-        rows.groupBy("bucket")
-        .agg(F.min("member").alias("pivot"), F.max("member").alias("last"), F.count(F.lit(1)).alias("n"),
-             F.sum(F.shiftright(F.xxhash64("member"), 20)).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "member")).alias("s2"))
-        .where(F.col("pivot") < F.col("last"))
+        rows.groupBy("bucket").agg(F.min("member").alias("pivot"), F.max("member").alias("last"))
+        .where(F.col("pivot") < F.col("last")).select("bucket", "pivot")
     )
-    one = several.groupBy("pivot", "last", "n", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "pivot")
-    return rows.join(one, "bucket").select("bucket", "pivot", "member")
+    return different(stored(rows.join(several, "bucket").select("bucket", "pivot", "member"), "buckets"))
+
+
+def different(members: DataFrame) -> DataFrame:
+    """``members`` (``bucket``, ``member`` and more) without buckets that hold the same members as another."""
+    # Sums of hashes tell the member lists of buckets apart.
+    lists = members.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("member"), 20)).alias("s1"),
+        F.bit_xor(F.xxhash64(F.lit(1), "member")).alias("s2"),
+    )
+    one = lists.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return members.join(one, "bucket")
 
 
-def cross_links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def cross_links(members: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
     """Links between members of different components in one bucket (``bucket``, ``member``, ``component``).
 
     A bucket's members are dealt into blocks; each pair of blocks is a group of at most about
@@ -204,10 +211,10 @@ def cross_links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFra
     paired = dealt.select("bucket", "member", "component", "block", F.explode(others).alias("other"))
     grouped = paired.select(
         "bucket", "member", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    ).join(sets.select(F.col("doc_id").alias("member"), "held"), "member")
+    ).join(texts.select(F.col("doc_id").alias("member"), "text"), "member")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = [np.frombuffer(x, np.uint64) for x in pdf["held"]]
+        held = [shingles(text, width) for text in pdf["text"]]
         member, block, i, j = pdf["member"].tolist(), pdf["block"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0]
         above: dict[int, int] = {}
 
@@ -238,17 +245,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     # The class is joined by value: a class of very many copies is one row on this side.
     classed = stored(linked.join(classes, ["n_shingles", "c1", "c2"]).select("doc_id", "n_shingles", "class_id", "bands"), "classed")
     members = stored(buckets(classed.where("doc_id = class_id").select("doc_id", "bands").distinct()), "members")
-    sets = stored(full_sets(docs, members.select(F.col("member").alias("doc_id")).distinct(), width), "sets")
+    texts = stored(some_texts(docs, members.select(F.col("member").alias("doc_id")).distinct()), "texts")
     stars = members.where("member > pivot").select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct()
-    links = stored(confirmed(stars, sets, similarity), "links")
+    links = stored(confirmed(stars, texts, width, similarity), "links")
     found = components(links)
 
-    named = members.join(found.withColumnRenamed("node", "member"), "member", "left").select(
+    # The pivots' pairs are done; the others of a bucket may still be in several components.
+    others = members.where("member > pivot").join(found.withColumnRenamed("node", "member"), "member", "left").select(
         "bucket", "member", F.coalesce("component", "member").alias("component")
     )
-    open_ = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    left = stored(named.join(open_, "bucket"), "open")
-    more = stored(cross_links(left, sets, similarity), "links")
+    open_ = others.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+    left = different(stored(others.join(open_, "bucket"), "open"))
+    more = stored(cross_links(left, texts, width, similarity), "links")
     if more.take(1):
         found = components(links.unionAll(more))
 

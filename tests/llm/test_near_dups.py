@@ -60,6 +60,8 @@ def test_many_equal_texts_and_null_ids(spark):
 
 
 def test_repeated_ids(spark):
+    odd = corpus.frame(spark, ["a b c d e f", None, "", "a b c d e f", "a b c d e f g"], [1, 1, 1, 3, 2])
+    assert sorted((r.doc_id, r.component_id) for r in near_dups.near_duplicates(odd).collect()) == [(1, 1), (1, 1), (1, 1), (2, 2), (3, 1)]
     docs = corpus.frame(spark, ["a b c d e f"] * 2 + ["g h i j k l"], [1, 1, 2])
     got = near_dups.near_duplicates(docs).collect()
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 2, True)]
