@@ -21,6 +21,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from skyledger.llm.common import map_in_arrow
+
 # Usual wordings of licence notices.
 TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
@@ -173,7 +175,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> D
                 rows.append([vars(m) | {"value": text[m.start : m.end]} for m in scanner(templates).scan(text)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, _ROWS)], ["doc_id", "matches"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCHES)
+    return map_in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, MATCHES)
 
 
 def license_digest(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:

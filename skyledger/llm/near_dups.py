@@ -31,8 +31,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from skyledger.llm.common import map_in_arrow
 from skyledger.llm.tokens import Memo, runs
-from skyledger.session import scratch_path
+from skyledger.session import scratch_path, ship_package
 
 WIDTH, SIMILARITY = 5, 85  # similarity in hundredths
 BANDS, ROWS = 34, 7
@@ -112,7 +113,7 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 columns = [pa.array(x, pa.int64()) for x in (n, c1, c2)]
                 yield pa.RecordBatch.from_arrays([ids, *columns, pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "c1", "c2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
+    return map_in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SIGNED)
 
 
 def some_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) -
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(other, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return map_in_arrow(both, run, "a bigint, b bigint")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -234,6 +235,7 @@ def cross_links(members: DataFrame, texts: DataFrame, width: int, similarity: in
                     found.append((member[x], member[y]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
+    ship_package(members.sparkSession)
     return grouped.groupBy("bucket", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 

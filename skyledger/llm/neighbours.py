@@ -23,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, Window
 
+from skyledger.session import ship_package
+
 K, EVERY = 10, 100
 TREES, BITS, SHARE = 48, 24, 0.6
 SHARD, QUERIES = 8192, 4096  # rows of a shard, and queries that visit it at once
@@ -121,6 +123,7 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = K, share: float = S
         return pd.concat(out)
 
     keys = ["dim", "shard", "block"]
+    ship_package(vectors.sparkSession)
     found = index.groupBy(*keys).cogroup(asked.groupBy(*[f"q_{c}" for c in keys])).applyInPandas(run, FOUND)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

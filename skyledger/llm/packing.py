@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from skyledger.llm.common import map_in_arrow
 from skyledger.llm.tokens import runs
 from skyledger.session import scratch_path
 
@@ -136,7 +137,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
                 names = ("doc_id", "piece", "start", "length", "ids_crc32")
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return map_in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, PIECES)
 
 
 def range_sorted(pieces: DataFrame) -> DataFrame:
@@ -160,7 +161,7 @@ def range_sorted(pieces: DataFrame) -> DataFrame:
     key = ["length", "doc_id", "piece", "start", "ids_crc32"]
     n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = pieces.repartitionByRange(n, *key).sortWithinPartitions(*key)
-    return ordered.mapInArrow(run, PIECES + ", part int, place bigint")
+    return map_in_arrow(ordered, run, PIECES + ", part int, place bigint")
 
 
 def supersteps(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -249,4 +250,4 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(row[:, 5] + slot * length)], [*names, "sequence_id", "offset"])
 
     columns = [c.split()[0] for c in (PIECES + ", part int, place bigint").split(", ")]
-    return pieces.select(*columns).mapInArrow(run, PIECES + ", sequence_id bigint, offset bigint")
+    return map_in_arrow(pieces.select(*columns), run, PIECES + ", sequence_id bigint, offset bigint")

@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from skyledger.llm.common import map_in_arrow
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login", "iban")
 
@@ -146,7 +148,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SPANS)
+    return map_in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SPANS)
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
@@ -167,4 +169,4 @@ def pii_digest(docs: DataFrame) -> DataFrame:
             columns = [pa.array(rows[n], pa.string() if n in texts else pa.int64()) for n in names[1:]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGEST)
+    return map_in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, DIGEST)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from skyledger.llm.common import map_in_arrow
 from skyledger.llm.tokens import Memo, hash64, runs, segment_sums
 
 FOLDS, HELD = 4, 2
@@ -109,7 +110,7 @@ def context_sums(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(whole[:, i]) for i in range(SIZE)]], ["word", *columns])
 
     schema = "word bigint, " + ", ".join(f"{c} bigint" for c in columns)
-    parts = docs.select("text").mapInArrow(run, schema)
+    parts = map_in_arrow(docs.select("text"), run, schema)
     out = np.zeros((WORDS + SHAPES, SIZE))
     for row in parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns]).collect():
         out[row[0]] = row[1:]
@@ -241,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
 
     # The sample has at most ``most`` rows of two numbers.
     labelled = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
-    rows = labelled.mapInArrow(run, "doc_id bigint, label int, x binary").collect()
+    rows = map_in_arrow(labelled, run, "doc_id bigint, label int, x binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.x))
     x = np.array([np.frombuffer(r.x, np.float32) for r in rows]).reshape(len(rows), 2 * SIZE + 2)
     return Model(vectors, fit(x, np.array([r.label for r in rows], np.float64)))
@@ -260,7 +261,7 @@ def scored(docs: DataFrame, model: Model, extra: list[str] | None = None) -> Dat
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in extra], pa.array(score)], [*extra, "score"])
 
     schema = T.StructType([*[f for f in docs.schema if f.name in extra], T.StructField("score", T.DoubleType())])
-    return docs.select(*extra, "text").mapInArrow(run, schema)
+    return map_in_arrow(docs.select(*extra, "text"), run, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:

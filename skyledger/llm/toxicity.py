@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from skyledger.llm.common import map_in_arrow
 from skyledger.llm.quality import fold, training_labels
 from skyledger.llm.tokens import Memo
 
@@ -235,7 +236,7 @@ def measured(docs: DataFrame, lexicon: Lexicon, extra: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in extra], pa.array(rows, pa.list_(pa.float64()))], [*extra, "measures"])
 
     fields = [f for f in docs.schema if f.name in extra]
-    return docs.select(*extra, "text").mapInArrow(run, T.StructType([*fields, T.StructField("measures", T.ArrayType(T.DoubleType()))]))
+    return map_in_arrow(docs.select(*extra, "text"), run, T.StructType([*fields, T.StructField("measures", T.ArrayType(T.DoubleType()))]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
