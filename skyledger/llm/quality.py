@@ -22,11 +22,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skyledger.llm.common import map_in_arrow
-from skyledger.llm.tokens import Memo, hash64, runs, segment_sums
+from skyledger.llm.tokens import Memo, hash64, runs, segment_sums, slices
+from skyledger.session import ship_package
 
 FOLDS, HELD = 4, 2
 SAMPLE = 20_000
@@ -248,33 +250,31 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     return Model(vectors, fit(x, np.array([r.label for r in rows], np.float64)))
 
 
-def scored(docs: DataFrame, model: Model, extra: list[str] | None = None) -> DataFrame:
-    """The ``extra`` columns (default: ``doc_id``) and ``score`` of each row."""
-    extra = extra or ["doc_id"]
+def score_column(docs: DataFrame, model: Model, text: Column) -> Column:
+    """The score as a column of ``docs``: only texts go to Python, and only scores come back."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in runs(batch):
-                score = shared.value.network.score(pooled(texts, shared.value.vectors))
-                part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in extra], pa.array(score)], [*extra, "score"])
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        parts = [shared.value.network.score(pooled(some, shared.value.vectors)) for some in slices(texts)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    schema = T.StructType([*[f for f in docs.schema if f.name in extra], T.StructField("score", T.DoubleType())])
-    return map_in_arrow(docs.select(*extra, "text"), run, schema)
+    return score(text)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """A row for each row of ``docs``: ``doc_id``, ``held_out``, ``score``, ``predicted``."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    out = scored(docs, train(docs, labels, most))
+    score = score_column(docs, train(docs, labels, most), F.col("text"))
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    out = docs.select("doc_id", held.alias("held_out"), score.alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """``docs`` with all columns, without the rows that the classifier rejects."""
     model = train(docs.select(F.col("doc_id").cast("long"), "text"), labels, most)
-    whole = docs.select(F.struct("*").alias("row"), F.col("text"))
-    kept = scored(whole, model, ["row"]).where(F.col("score") >= THRESHOLD)
+    score = score_column(docs, model, F.col("text"))
+    kept = docs.select(F.struct("*").alias("row"), score.alias("score")).where(F.col("score") >= THRESHOLD)
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 
 #: A worker's memo of words starts anew at this size.
-MOST_WORDS = 400_000
+MOST_WORDS = 250_000
 
 
 class Memo(dict):
@@ -30,17 +30,25 @@ def hash64(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def runs(batch: pa.RecordBatch, most_chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
-    """Slices of the batch's texts with about ``most_chars`` characters: first row and texts (null: empty)."""
-    first, held, chars = 0, [], 0
-    for i, text in enumerate(batch.column("text").to_pylist()):
+def slices(texts: Iterable[str | None], most_chars: int = 2_000_000) -> Iterator[list[str]]:
+    """The texts (null: empty) in lists of about ``most_chars`` characters."""
+    held, chars = [], 0
+    for text in texts:
         held.append(text or "")
         chars += len(held[-1])
         if chars >= most_chars:
-            yield first, held
-            first, held, chars = i + 1, [], 0
+            yield held
+            held, chars = [], 0
     if held:
-        yield first, held
+        yield held
+
+
+def runs(batch: pa.RecordBatch, most_chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+    """``slices`` of the batch's texts, each with the number of its first row."""
+    first = 0
+    for texts in slices(batch.column("text").to_pylist(), most_chars):
+        yield first, texts
+        first += len(texts)
 
 
 def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
