@@ -120,8 +120,9 @@ def some_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` for the ``ids`` only; of repeated ids all texts.
 
     Texts travel instead of their sets: hashes don't compress, and texts of near-duplicates do.
+    The ids grow with the corpus, so they are never broadcast.
     """
-    return docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
+    return docs.select(F.col("doc_id").cast("long"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: int = SIMILARITY) -> bool:
