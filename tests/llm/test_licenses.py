@@ -1,3 +1,6 @@
+import random
+import textwrap
+
 import corpus
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -61,3 +64,48 @@ def test_own_templates(spark):
     docs = corpus.frame(spark, ["House license two applies here"])
     (row,) = licenses.license_matches(docs, {"house": "House license two applies"}).collect()
     assert [m.license for m in row.matches] == ["house"]
+
+
+WHOLE = licenses.scanner(licenses.ALL)
+
+
+def names(text):
+    return [m.license for m in WHOLE.scan(text)]
+
+
+def test_all_notices_of_a_block():
+    text = "Licensed under the Apache License, Version 2.0 or released under the MIT License."
+    assert [(m.license, text[m.start : m.end]) for m in SCANNER.scan(text)] == [
+        ("Apache-2.0", "Licensed under the Apache License, Version 2.0"), ("MIT", "released under the MIT License."),
+    ]
+    draw = random.Random(3)
+    for n in (3, 17, 170):
+        order = [draw.choice(sorted(licenses.TEMPLATES)) for _ in range(n)]
+        for between in (" and ", " some words between ", "; " + "filler " * 40):
+            text = between.join(licenses.TEMPLATES[name].rstrip(".").lower() for name in order)
+            assert names(text) == order, (n, between)
+            assert [m.license for m in SCANNER.scan(text)] == order
+
+
+@pytest.mark.parametrize("name", sorted(licenses.WORDINGS))
+def test_every_wording_is_found(name):
+    for wording in licenses.WORDINGS[name]:
+        cued = f"See the license: {wording} applies"
+        assert set(names(cued)) == {name}, wording
+        assert set(names(f"# {cued}".replace(" ", "\n# ", 0).upper())) == {name}, wording
+
+
+def test_full_texts_lines_and_identifiers():
+    mit = licenses.WORDINGS["MIT"][0]
+    wrapped = "\n".join(f" * {line}" for line in textwrap.wrap(mit, 60))
+    assert names(f"Copyright (c) Somebody\n\n{wrapped}\n\n THE SOFTWARE IS PROVIDED AS IS") == ["MIT"]
+    gpl = (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    )
+    assert names("\n".join(textwrap.wrap(gpl, 72))) == ["GPL-3.0"]
+    assert names("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-or-later") == ["MIT", "Apache-2.0", "GPL-2.0"]
+    assert names('"license": "BSD-3-Clause"') == ["BSD"]
+    assert names("SPDX-License-Identifier: MIT-0") == names("the MIT No Attribution License") == []
+    assert names("He got a licence at MIT. The license of Apache 1.1 and GPL 1") == []
+    assert names("Creative Commons Attribution-NonCommercial 4.0 International License") == ["CC-BY-NC-4.0"]
