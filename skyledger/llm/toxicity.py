@@ -2,8 +2,9 @@
 
 Words become classes: insult, threat, target, negation, reported speech, other. Small transducers
 read the classes of a clause and put out a factor for each word: an insult is full only where
-it isn't negated or reported, a threat only with a target in the clause, and a target
-strengthens an insult. They are composed into one table, and a clause's weight
+it isn't negated or reported, a threat only with a target in the clause, before or behind it, and a target
+before it strengthens an insult. What a threat weighs is put out late: its weight is held until a target or the end of
+the clause is read. They are composed into one table, and a clause's weight
 is the sum of its words' weights times their factors. A logistic function of the weights
 of all matched clauses, fitted on labels, is the document's score.
 
@@ -56,9 +57,14 @@ _LETTERS = r"[^\p{L}]+"
 
 @dataclass(frozen=True)
 class Transducer:
-    """``table[state][class]`` is the next state and the factor for the word read."""
+    """``table[state][class]`` is the next state and the factor for the word read.
+
+    ``final[state]`` is the factor for the threats held when the clause ends in the state. A target
+    releases them at their full weight.
+    """
 
     table: tuple[tuple[tuple[int, float], ...], ...]
+    final: tuple[float, ...]
 
     def compose(self, other: Transducer) -> Transducer:
         """Both read the same classes; factors multiply."""
@@ -67,7 +73,8 @@ class Transducer:
             tuple(
                 tuple((a[0] * n + b[0], a[1] * b[1]) for a, b in zip(mine, theirs, strict=True))
                 for mine in self.table for theirs in other.table
-            )
+            ),
+            tuple(a * b for a in self.final for b in other.final),
         )
 
 
@@ -79,17 +86,17 @@ def negation(reach: int = 3, factor: float = 0.5) -> Transducer:
     """An insult or threat at most ``reach`` words behind a negation is weakened."""
     rows = [_row({NEGATION: reach}, {}, 0)]
     rows += [_row({NEGATION: reach}, {INSULT: factor, THREAT: factor}, left - 1) for left in range(1, reach + 1)]
-    return Transducer(tuple(rows))
+    return Transducer(tuple(rows), (1.0,) * len(rows))
 
 
 def reported(factor: float = 0.6) -> Transducer:
     """What stands behind a verb of reporting in the clause is weakened."""
-    return Transducer((_row({REPORT: 1}, {}, 0), _row({}, {INSULT: factor, THREAT: factor}, 1)))
+    return Transducer((_row({REPORT: 1}, {}, 0), _row({}, {INSULT: factor, THREAT: factor}, 1)), (1.0, 1.0))
 
 
 def targeted(bonus: float = 1.25, untargeted: float = 0.1) -> Transducer:
-    """An insult with a target before it is stronger; a threat without one hardly counts."""
-    return Transducer((_row({TARGET: 1}, {THREAT: untargeted}, 0), _row({}, {INSULT: bonus}, 1)))
+    """An insult with a target before it is stronger; a threat in a clause without any hardly counts."""
+    return Transducer((_row({TARGET: 1}, {}, 0), _row({}, {INSULT: bonus}, 1)), (untargeted, 1.0))
 
 
 GRAMMAR = targeted().compose(negation()).compose(reported())
@@ -130,10 +137,10 @@ def clause_weights(text: str, lexicon: Lexicon) -> tuple[list[float], int]:
     """Weights of the clauses with an insult or threat, and the number of different entries matched."""
     parts = _PARTS.findall(text.lower())
     looked = list(map(lexicon.memo.__getitem__, parts))
-    weights, matched, table = [], set(), GRAMMAR.table
+    weights, matched, table, final = [], set(), GRAMMAR.table, GRAMMAR.final
     if not any(x is not None and x[0] in (INSULT, THREAT) for x in looked):
         return weights, 0
-    state, weight, hit = 0, 0.0, False
+    state, weight, held, hit = 0, 0.0, 0.0, False
     for x in looked:
         if x is None:
             state = table[state][OTHER][0]
@@ -141,16 +148,22 @@ def clause_weights(text: str, lexicon: Lexicon) -> tuple[list[float], int]:
         kind, value, entry = x
         if kind == -1:
             if hit:
-                weights.append(weight)
-            state, weight, hit = 0, 0.0, False
+                weights.append(weight + final[state] * held)
+            state, weight, held, hit = 0, 0.0, 0.0, False
             continue
         state, factor = table[state][kind]
-        if kind in (INSULT, THREAT):
+        if kind == TARGET:
+            weight, held = weight + held, 0.0
+        elif kind == THREAT:
+            hit = True
+            held += factor * value
+            matched.add(entry)
+        elif kind == INSULT:
             hit = True
             weight += factor * value
             matched.add(entry)
     if hit:
-        weights.append(weight)
+        weights.append(weight + final[state] * held)
     return weights, len(matched)
 
 

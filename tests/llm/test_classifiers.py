@@ -99,6 +99,25 @@ def test_grammar():
     assert toxicity.clause_weights("idiot IDIOT vequx", lexicon())[1] == 2
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "I will kill you", "you I will kill", "we are going to hurt him", "him we are going to hurt",
+        "ich werde dich töten", "ich werde töten dich", "je vais te frapper", "je vais frapper vous",
+        "te voy a matar", "voy a matar a ustedes",
+    ],
+)
+def test_threats_before_and_behind_their_target(text):
+    assert weight(text) == [2.0]
+
+
+def test_held_threats():
+    assert weight("kill. you") == [pytest.approx(0.2)] and weight("kill and stab you") == [4.0] and weight("kill and stab") == [pytest.approx(0.4)]
+    assert weight("I will not kill you") == [1.0] and weight("not kill time") == [pytest.approx(0.1)]
+    assert weight("he said they kill") == [pytest.approx(1.2)] and weight("said kill you") == [pytest.approx(1.2)]
+    assert weight("kill the idiot") == [pytest.approx(3.2)] and weight("kill you idiot") == [pytest.approx(2 + 3 * 1.25)]
+
+
 def test_composition_multiplies_factors():
     both = toxicity.negation().compose(toxicity.reported())
     state, total = 0, []
