@@ -7,7 +7,8 @@
 4. Posting lists are shifted by the term's offset in the item and intersected: where all
    terms of a window agree on one shift, the window may occur.
 5. Such places are compared word by word with the document: exact phrases. ``proximity``
-   instead returns places where the terms lie near each other.
+   instead returns places where the terms lie near each other. It chooses the terms itself: the ``NEAR_TERMS`` rarest
+   of those words of a window that some document holds, of which all but one have to agree.
 
 Definitions: words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. An item of fewer
 words than a window, but not none, is one window. A null text has no words. Items are told
@@ -23,6 +24,7 @@ from skyledger.llm.common import ascii_lower, attach, keyed_texts, let
 from skyledger.session import scratch_path
 
 WINDOW, TERMS = 13, 3
+NEAR_TERMS, SLOP = 6, 8
 #: A table of benchmark terms is broadcast up to so many rows (some 100 MB), else joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,14 +52,18 @@ def corpus_counts(texts: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame
     return tokens.join(bounded(terms, n_terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def windows_of(items: DataFrame, counts: DataFrame, window: int, terms: int) -> DataFrame:
-    """Each window as its start and its rarest places, most telling first; without those that can't occur."""
+def windows_of(items: DataFrame, counts: DataFrame, window: int, terms: int, whole: bool = True) -> DataFrame:
+    """Each window as its start and its rarest places, most telling first; without those that can't occur.
+
+    If not ``whole``, only the words that no document holds are left out, not their windows.
+    """
     placed = items.select("item", "item_key", F.size("item_words").alias("size"), F.posexplode("item_words").alias("place", "term"))
     counted = placed.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     starts = F.sequence(F.greatest(F.col("place") - (window - 1), F.lit(0)), F.greatest(F.least("place", F.col("size") - window), F.lit(0)))
     each = counted.select("item", "item_key", "term", "place", "n", F.explode(starts).alias("start"))
     rarest = Window.partitionBy("item", "item_key", "start").orderBy("n", "place")
-    ranked = each.withColumn("least", F.min("n").over(Window.partitionBy("item", "item_key", "start"))).where("least > 0")
+    least = F.min("n").over(Window.partitionBy("item", "item_key", "start"))
+    ranked = each.withColumn("least", least if whole else F.col("n")).where("least > 0")
     return ranked.withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= terms).select(
         "item", "item_key", "start", "term", "place"
     )
@@ -177,27 +183,69 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-def proximity(docs: DataFrame, benchmark: DataFrame, slop: int = 8, window: int = WINDOW, terms: int = TERMS) -> DataFrame:
-    """Places where all asked terms of a window stand within ``slop`` words of their distances in the item.
+def near_windows(items: DataFrame, asked: DataFrame, window: int, terms: int) -> DataFrame:
+    """Per item, its windows with their places asked for and the number of them that must agree; only windows with enough."""
+    size = F.least(F.size("item_words"), F.lit(window), F.lit(terms))
+    enough = items.select("item", "item_key", F.when(size >= 4, size - 1).otherwise(size).alias("enough"))
+    grouped = asked.groupBy("item", "item_key", "start").agg(F.collect_set("place").alias("need"))
+    able = grouped.join(enough, ["item", "item_key"]).where(F.size("need") >= F.col("enough"))
+    return able.groupBy("item", "item_key", "enough").agg(F.collect_list(F.struct("start", "need")).alias("windows"))
+
 
-    Returns ``doc_id``, ``item``, ``start`` (the window in the item) and ``pos`` (its place by the
-    leftmost term). Words between or in place of the others may differ.
-    """
+def near_places(docs: DataFrame, benchmark: DataFrame, slop: int, window: int, terms: int) -> DataFrame:
+    """``doc_id``, ``row_key``, ``item``, ``start`` and ``pos`` of the places that ``proximity`` describes."""
+    spark = docs.sparkSession
     texts = keyed_texts(docs)
     items = items_of(benchmark)
     vocabulary = items.select(F.explode("item_words").alias("term")).distinct()
-    asked = windows_of(items, corpus_counts(texts, vocabulary, vocabulary.count()), window, terms)
+    n_terms = vocabulary.count()
+    path = scratch_path(spark, "asked_near")
+    windows_of(items, corpus_counts(texts, vocabulary, n_terms), window, terms, whole=False).write.parquet(path)
+    asked = spark.read.parquet(path)
     n_asked = asked.count()
+    windows = near_windows(items, asked, window, terms)
     index = build_index(texts, asked, n_asked)
-    shifted = index.join(bounded(asked, n_asked), "term").select(
-        "doc_id", "row_key", "item", "item_key", "start", "place", "pos", (F.col("pos") - F.col("place")).alias("shift")
-    )
-    need = asked.groupBy("item", "item_key", "start").agg(F.count(F.lit(1)).alias("need"))
+    places = asked.join(windows.select("item", "item_key", "enough"), ["item", "item_key"]).select("item", "item_key", "enough", "term", "place").distinct()
+    shifted = index.join(bounded(places, n_asked), "term").withColumn("shift", F.col("pos") - F.col("place"))
     # All shifts within ``slop`` of each other share one of two overlapping cells.
     cell = F.floor(F.col("shift") / (slop + 1))
     cells = shifted.withColumn("cell", F.explode(F.array(cell, cell + 1)))
-    near = cells.groupBy("doc_id", "row_key", "item", "item_key", "start", "cell").agg(
-        F.count_distinct("place").alias("held"), F.min("shift").alias("least"), F.max("shift").alias("most"), F.min("pos").alias("pos")
-    )
-    right = near.join(bounded(need, n_asked), ["item", "item_key", "start"]).where("held = need")
-    return right.where(F.col("most") - F.col("least") <= 2 * slop + 1).select("doc_id", "item", "start", "pos").distinct()
+    keys = ["doc_id", "row_key", "item", "item_key", "enough", "cell"]
+    grouped = cells.groupBy(*keys).agg(F.collect_set(F.struct("shift", "place")).alias("hits"))
+    grouped = grouped.where(F.size(F.array_distinct("hits.place")) >= F.col("enough"))
+
+    def met(hits: Column, w: Column) -> Column:
+        """The window's start and its place by the leftmost term, null where too few terms agree."""
+
+        def near(own: Column, s: Column) -> Column:
+            return F.filter(own, lambda h: (h["shift"] >= s["shift"]) & (h["shift"] <= s["shift"] + slop))
+
+        def first(own: Column) -> Column:
+            right = F.filter(own, lambda s: F.size(F.array_distinct(near(own, s)["place"])) >= F.col("enough"))
+            return F.transform(F.slice(right, 1, 1), lambda s: F.array_min(F.transform(near(own, s), lambda h: h["shift"] + h["place"])))
+
+        own = F.array_sort(F.filter(hits, lambda h: F.array_contains(w["need"], h["place"])))
+        return F.struct(w["start"].alias("start"), let(own, first).alias("pos"))
+
+    joined = grouped.join(bounded(windows.drop("enough"), n_asked), ["item", "item_key"])
+    found = F.filter(F.transform("windows", lambda w: met(F.col("hits"), w)), lambda m: F.size(m["pos"]) > 0)
+    each = joined.select("doc_id", "row_key", "item", F.explode(found).alias("m"))
+    return each.select("doc_id", "row_key", "item", F.col("m.start").alias("start"), F.col("m.pos")[0].alias("pos")).distinct()
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, slop: int = SLOP, window: int = WINDOW, terms: int = NEAR_TERMS) -> DataFrame:
+    """Places where the asked terms of a window stand at their distances in the item, give or take ``slop`` words.
+
+    Returns ``doc_id``, ``item``, ``start`` (the window in the item) and ``pos`` (its place by the
+    leftmost term). Of four or more terms one may be missing; words between or in place of the others may differ.
+    """
+    return near_places(docs, benchmark, slop, window, terms).select("doc_id", "item", "start", "pos").distinct()
+
+
+def proximity_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per row of ``docs``: the number of items with a proximity match, and the items."""
+    found = near_places(docs, benchmark, SLOP, WINDOW, NEAR_TERMS)
+    listed = found.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set("item")).alias("near_items"))
+    joined = attach(keyed_texts(docs), listed)
+    items = F.coalesce("near_items", F.array().cast("array<string>"))
+    return joined.select("doc_id", F.size(items).cast("long").alias("n_near_items"), F.array_join(items, ",").alias("near_items"))

@@ -35,6 +35,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.proximity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     run.__name__: run
     for run in (
-        op1_pii, op2_line_dedup, op3_packing, op4_licenses, op5_decontamination, op6_secrets,
+        op1_pii, op2_line_dedup, op3_packing, op4_licenses, op5_decontamination, op5_proximity, op6_secrets,
         op7_neighbours, op8_toxicity, op9_near_dups, op10_quality,
     )
 }

@@ -75,3 +75,16 @@ def test_proximity(spark):
     docs = corpus.frame(spark, [near, far, item, "unrelated words"])
     found = decontaminate.proximity(docs, items_frame(spark, [(5, item)]))
     assert {r.doc_id for r in found.collect()} == {0, 2}
+
+
+def test_proximity_with_a_replaced_word(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    replaced = item.replace("gamma", "other")
+    absent = [replaced, "unrelated words", None, replaced]
+    bench = items_frame(spark, [(5, item), (6, "one two"), (7, "")])
+    docs = corpus.frame(spark, absent, [0, 1, 2, None])
+    assert {(r.doc_id, r.item, r.start, r.pos) for r in decontaminate.proximity(docs, bench).collect()} == {(0, "5", 0, 0), (None, "5", 0, 0)}
+    # The word stands elsewhere, so it is a term asked for.
+    docs = corpus.frame(spark, [*absent, "gamma " * 3], [0, 1, 2, None, 4])
+    rows = decontaminate.proximity_digest(docs, bench).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([(0, 1, "5"), (1, 0, ""), (2, 0, ""), (None, 1, "5"), (4, 0, "")], key=str)
