@@ -9,7 +9,9 @@ Kinds, in the order in which spans are listed:
 * ``email``, ``ip`` (four parts of at most 255), ``card`` (16 to 19 digits, Luhn),
   ``phone`` (plus sign, 8 to 15 digits): the base kinds, leftmost and non-overlapping;
 * ``login``: ``scheme://user@host`` or ``scheme://user:word@host``;
-* ``iban``: an account number with right check digits after the cue ``iban``.
+* ``iban``: an account number with right check digits after the cue ``iban``, at most one short word and white space or
+  punctuation. It has the length that its country code has in ``IBAN_LENGTHS``; for other codes it is the longest
+  of 15 to 34 characters that has right check digits. No letter or digit follows it directly.
 
 A null or empty text has no spans. Offsets are code points, the end is exclusive. Rows are
 independent of each other: repeated rows and ids give repeated results.
@@ -38,7 +40,20 @@ _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOGIN = re.compile(r"://[A-Za-z0-9._%+-]+(?::[^\s/@:]*)?@[A-Za-z0-9.-]+")
-_IBAN = re.compile(r"[ :#=-]{1,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+_IBAN = re.compile(
+    r"(?:[\s:#=.-]{1,3}(?i:no|nr|num|number|nummer|code|is|account|konto|ist|es|est)\b)?[\s:#=.-]{1,4}"
+    r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9](?![a-z])){11,30}+)"
+)
+# The registered length of each country's account numbers.
+IBAN_LENGTHS = {
+    code: int(n)
+    for n, codes in (part.split(":") for part in (
+        "15:NO 16:BE 18:DK,FO,FI,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:HR,LV,LI,CH 22:BH,BG,CR,GE,DE,IE,ME,RS,GB,VA "
+        "23:GI,IL,TL,AE,IQ,SO,OM 24:AD,CZ,MD,PK,RO,SA,SK,ES,SE,TN,VG 25:PT,ST,LY 26:IS,TR 27:FR,GR,IT,MR,MC,SM,BI,DJ "
+        "28:AL,AZ,CY,DO,GT,HU,LB,PL,SV,BY,NI 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+    ).split())
+    for code in codes.split(",")
+}
 
 _automaton = None
 
@@ -72,6 +87,19 @@ def right_iban(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the account at ``start`` ends; up to ``end`` there are letters, digits and single blanks."""
+    places = [i for i in range(start, end) if text[i] != " "]
+    account = text[start:end].replace(" ", "")
+    whole = lambda n: (c := text[places[n - 1] + 1 : places[n - 1] + 2]) not in _LETTERS and c not in _DIGITS
+    known = IBAN_LENGTHS.get(account[:2])
+    lengths = [known] if known else range(len(places), 14, -1)
+    for n in lengths:
+        if n <= len(places) and whole(n) and right_iban(account[:n]):
+            return places[n - 1] + 1
+    return None
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in the order of the kinds, then of the starts."""
     found: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
@@ -119,9 +147,11 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                 found["login"].append((start, match.end()))
         else:
             match = _IBAN.match(text, end + 1)
-            if match and match.start(1) >= done["iban"] and right_iban(match[1].replace(" ", "")):
-                done["iban"] = match.end(1)
-                found["iban"].append(match.span(1))
+            if match and match.start(1) >= done["iban"]:
+                last = iban_end(text, *match.span(1))
+                if last is not None:
+                    done["iban"] = last
+                    found["iban"].append((match.start(1), done["iban"]))
     return [(kind, *span) for kind in KINDS for span in found[kind]]
 
 

@@ -1,6 +1,7 @@
 import random
 
 import corpus
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from skyledger.llm import pii
@@ -50,3 +51,20 @@ def test_luhn():
     for _ in range(200):
         digits = "".join(draw.choice("0123456789") for _ in range(draw.randrange(1, 20)))
         assert pii.luhn(digits) == corpus.luhn(digits)
+
+
+@pytest.mark.parametrize(
+    "text,account",
+    [
+        ("IBAN: DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89 3704 0044 0532 0130 00"),
+        ("IBAN DE89370400440532013000 BIC COBADEFF", "DE89370400440532013000"),
+        ("IBAN\tDE89370400440532013000", "DE89370400440532013000"),
+        ("Iban:\nGB82 WEST 1234 5698 7654 32 Bank", "GB82 WEST 1234 5698 7654 32"),
+        ("IBAN number: DE89370400440532013000.", "DE89370400440532013000"),
+        ("IBAN DE89370400440532013000X", None),
+        ("IBAN DE89370400440532013000x", None),
+        ("IBAN DE89370400440532013001 BIC", None),
+    ],
+)
+def test_accounts_end_at_their_country_length(text, account):
+    assert [text[s:e] for kind, s, e in pii.find_spans(text) if kind == "iban"] == ([account] if account else [])
