@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import decontaminate, licenses, line_dedup, near_dups, neighbours, packing, pii, quality, secrets, toxicity
+from skyledger.llm import bpe, decontaminate, licenses, line_dedup, near_dups, neighbours, packing, pii, quality, secrets, toxicity
 from skyledger.llm.common import table
 
 
@@ -59,11 +59,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
     run.__name__: run
     for run in (
         op1_pii, op2_line_dedup, op3_packing, op4_licenses, op5_decontamination, op5_proximity, op6_secrets,
-        op7_neighbours, op8_toxicity, op9_near_dups, op10_quality,
+        op7_neighbours, op8_toxicity, op9_near_dups, op10_quality, op12_bpe,
     )
 }
 
