@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import bpe, decontaminate, licenses, line_dedup, near_dups, neighbours, packing, pii, quality, secrets, toxicity
+from skyledger.llm import bpe, decontaminate, licenses, line_dedup, near_dups, neighbours, packing, pii, quality, secrets, toxicity, variants
 from skyledger.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_words(table(spark, sf_dir, "documents"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -67,7 +71,7 @@ QUERIES = {
     run.__name__: run
     for run in (
         op1_pii, op2_line_dedup, op3_packing, op4_licenses, op5_decontamination, op5_proximity, op6_secrets,
-        op7_neighbours, op8_toxicity, op9_near_dups, op10_quality, op12_bpe,
+        op7_neighbours, op8_toxicity, op9_near_dups, op10_quality, op11_variants, op12_bpe,
     )
 }
 
@@ -129,6 +133,30 @@ components AS (SELECT node, min(other) AS component_id FROM reached GROUP BY nod
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept,
   CASE WHEN whole IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY whole) END AS class_id
 FROM documents d JOIN components c ON d.doc_id = c.node LEFT JOIN sizes s ON d.doc_id = s.doc_id""",
+    "op11_variants": r"""
+WITH RECURSIVE bits(i, c, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS r FROM documents) e WHERE length(r) >= 5 GROUP BY 1, 2),
+coded AS (SELECT run, times, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs),
+checked AS (SELECT run, times, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))),
+    lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]))) AS h FROM coded, crc),
+made AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM checked),
+words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM made WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+skips AS (SELECT word, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM (SELECT word, unnest(range(0, length(word))) AS i FROM words) s),
+cuts AS (SELECT DISTINCT s.word AS long, w.word AS short FROM skips s JOIN words w ON w.word = s.a || s.b),
+near AS (SELECT x.word, y.word AS other FROM skips x JOIN skips y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT long, short FROM cuts UNION SELECT short, long FROM cuts),
+ranked AS (SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+    row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS place FROM near JOIN words o ON o.word = other),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form,
+    CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n FROM words w LEFT JOIN ranked r ON r.word = w.word AND place = 1),
+rooted AS (SELECT word, word AS root FROM formed WHERE form IS NULL
+  UNION ALL SELECT f.word, r.root FROM rooted r JOIN formed f ON f.form = r.word)
+SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN rooted r ON f.word = r.word""",
     "op2_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos
