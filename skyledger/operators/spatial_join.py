@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from skyledger.functions.polygons import polygon_covers
+from skyledger.functions.wkb import wkb_bounds
 from skyledger.operators.skew import MIN_PAIRS, SHARE, spread_join
 from skyledger.schema import quoted
 
@@ -163,6 +165,34 @@ def point_hits(
     return _pairs(a, b, image_keys, point_keys, share, min_pairs, points=True)
 
 
+def polygon_hits(
+    catalog: DataFrame,
+    points: DataFrame,
+    image_keys: list[str],
+    point_keys: list[str],
+    lon: str = "lon",
+    lat: str = "lat",
+    geometry: str = "geometry",
+    box: str | None = "bbox",
+    share: int = SHARE,
+    min_pairs: int = MIN_PAIRS,
+) -> DataFrame:
+    """Key columns of every footprint that holds a point, by its drawn polygons and not by its box; borders count.
+
+    The cell join of the boxes finds the pairs, and one Arrow function compares those. A NULL box is
+    computed from the geometry, with ``box=None`` every box is. Images without a polygon are hit by nothing.
+    """
+    outline = F.col(geometry)
+    edges = wkb_bounds(outline) if box is None else F.coalesce(F.col(box), wkb_bounds(F.when(F.col(box).isNull(), outline)))
+    images = catalog.where(outline.isNotNull()).select(*image_keys, outline.alias("_outline"), edges.alias("_box"))
+    spots = points.select(*point_keys, F.col(lon).alias("_lon"), F.col(lat).alias("_lat"))
+    pairs = point_hits(
+        images, spots, [*image_keys, "_outline"], [*point_keys, "_lon", "_lat"], "_lon", "_lat", "_box", share, min_pairs
+    )
+    held = pairs.where(polygon_covers(F.col("_outline"), F.col("_lon"), F.col("_lat")))
+    return held.select(*image_keys, *point_keys)
+
+
 def overlap_counts(hits: DataFrame, point_keys: list[str], image_key: str = "id") -> DataFrame:
     """Number of different images per point."""
     return hits.groupBy(*point_keys).agg(F.count_distinct(image_key).alias("images"))

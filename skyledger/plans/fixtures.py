@@ -6,9 +6,9 @@ dialects).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skyledger.functions.wkb import box_wkb
+from skyledger.functions.wkb import box_wkb, geojson_wkb
 from skyledger.schema import make_bbox, to_catalog_schema
 
 CATALOG = r"""
@@ -52,6 +52,39 @@ SELECT event_id, CAST((event_id * 7919) % 36000 AS DOUBLE) / 100 - 180 AS lon,
   CAST((event_id * 6007) % 16000 AS DOUBLE) / 100 - 80 AS lat FROM events
 """
 
+# Drawn footprints of four shapes by ``k % 4``: polygons as lists of rings, rings as lists of corners (x, y) around the
+# center (cx, cy), ``a`` wide and ``b`` high to each side.
+OUTLINES = [
+    [[[("cx - 0.6 * a + 0.8 * b", "cy - 0.8 * a - 0.6 * b"), ("cx + 0.6 * a + 0.8 * b", "cy + 0.8 * a - 0.6 * b"),
+       ("cx + 0.6 * a - 0.8 * b", "cy + 0.8 * a + 0.6 * b"), ("cx - 0.6 * a - 0.8 * b", "cy - 0.8 * a + 0.6 * b")]]],
+    [[[("cx - a", "cy"), ("cx", "cy - b"), ("cx + a", "cy"), ("cx", "cy + b")],
+      [("cx - 0.5 * a", "cy"), ("cx", "cy + 0.5 * b"), ("cx + 0.5 * a", "cy"), ("cx", "cy - 0.5 * b")]]],
+    [[[("cx - a", "cy - b"), ("cx", "cy - b"), ("cx - a", "cy + b")]], [[("cx + a", "cy + b"), ("cx", "cy + b"), ("cx + a", "cy - b")]]],
+    [[[("cx - a", "cy - b"), ("cx + a", "cy - b"), ("cx + a", "cy + b"), ("cx + 0.5 * a", "cy + b"), ("cx + 0.5 * a", "cy"),
+       ("cx - 0.5 * a", "cy"), ("cx - 0.5 * a", "cy + b"), ("cx - a", "cy + b")]]],
+]
+
+CENTERS = r"""
+SELECT id, k, gx AS cx, gy AS cy, w * 6 AS a, h * 5 AS b FROM (
+  SELECT 'img-' || lpad(CAST(o_orderkey AS STRING), 10, '0') AS id, o_orderkey AS k,
+    CAST((o_orderkey * 37) % 35000 AS DOUBLE) / 100 - 175 AS gx, CAST((o_orderkey * 91) % 15000 AS DOUBLE) / 100 - 75 AS gy,
+    CAST(1 + o_orderkey % 40 AS DOUBLE) / 100 AS w, CAST(1 + o_orderkey % 30 AS DOUBLE) / 100 AS h FROM orders) c
+"""
+
+
+def outline_edges_sql() -> str:
+    """A row for each edge of each footprint: id, polygon, ring, x1, y1, x2, y2 (for the checking engine)."""
+    parts = []
+    for shape, polygons in enumerate(OUTLINES):
+        for polygon, rings in enumerate(polygons):
+            for ring, corners in enumerate(rings):
+                for (x1, y1), (x2, y2) in zip(corners, [*corners[1:], corners[0]]):
+                    parts.append(
+                        f"SELECT id, {polygon} AS polygon, {ring} AS ring, {x1} AS x1, {y1} AS y1, {x2} AS x2, {y2} AS y2 FROM centers WHERE k % 4 = {shape}"
+                    )
+    return " UNION ALL ".join(parts)
+
+
 VIEWPORTS = r"""
 SELECT n_nationkey AS view_id, n_name AS name,
   CAST((n_nationkey * 53) % 320 AS DOUBLE) - 170 AS west, CAST((n_nationkey * 29) % 120 AS DOUBLE) - 70 AS south,
@@ -151,6 +184,25 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, POINTS, events=table(spark, sf_dir, "events"))
 
 
+def outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id`` and the WKB ``geometry`` of drawn footprints, without a box."""
+    centers = derive(spark, CENTERS, orders=table(spark, sf_dir, "orders"))
+
+    def listed(parts: list) -> Column:
+        return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+
+    def corner(x: str, y: str) -> Column:
+        return listed([F.expr(x).cast("string"), F.expr(y).cast("string")])
+
+    shapes = F.lit(None).cast("string")
+    for number, polygons in enumerate(OUTLINES):
+        rings = [listed([listed([corner(*c) for c in [*ring, ring[0]]]) for ring in polygon]) for polygon in polygons]
+        kind, inside = ("Polygon", rings[0]) if len(rings) == 1 else ("MultiPolygon", listed(rings))
+        made = F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), inside, F.lit("}"))
+        shapes = F.when(F.col("k") % 4 == number, made).otherwise(shapes)
+    return centers.select("id", geojson_wkb(shapes).alias("geometry"))
+
+
 def viewports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, VIEWPORTS, nation=table(spark, sf_dir, "nation"))
 

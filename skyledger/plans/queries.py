@@ -354,6 +354,39 @@ def run_hit_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("event_id", "id", "title", "gsd", "producer_name")
 
 
+# Winding numbers: a ring holds what lies on its border or inside; a polygon holds what its first ring holds and no hole has inside.
+POLYGON_HITS = """boxes AS (SELECT id, min(x1) AS x0, min(y1) AS y0, max(x1) AS x3, max(y1) AS y3 FROM outlines GROUP BY id),
+sides AS (SELECT event_id, o.id, polygon, ring, lon, lat, x1, y1, x2, y2, (x2 - x1) * (lat - y1) - (lon - x1) * (y2 - y1) AS side
+  FROM points JOIN boxes b ON lon BETWEEN x0 AND x3 AND lat BETWEEN y0 AND y3 JOIN outlines o ON o.id = b.id),
+rings AS (SELECT event_id, id, polygon, ring, sum(CASE WHEN y1 <= lat AND y2 > lat AND side > 0 THEN 1 WHEN y1 > lat AND y2 <= lat AND side < 0 THEN -1 ELSE 0 END) <> 0 AS inside,
+    bool_or(side = 0 AND lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2)) AS border
+  FROM sides GROUP BY event_id, id, polygon, ring),
+held AS (SELECT event_id, id, polygon FROM rings GROUP BY event_id, id, polygon HAVING bool_and(CASE WHEN ring = 0 THEN inside OR border ELSE border OR NOT inside END)),
+drawn AS (SELECT DISTINCT event_id, id FROM held)"""
+
+
+def drawn_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial_join.polygon_hits(fx.outlined(spark, sf_dir), fx.points(spark, sf_dir), ["id"], ["event_id"], box=None)
+
+
+@query("polygon_hits", "SELECT event_id, id FROM drawn", ("points", "outlines"), POLYGON_HITS)
+def run_polygon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drawn_hits(spark, sf_dir)
+
+
+@query(
+    "polygon_features",
+    """SELECT d.event_id, d.id, c.title, c.gsd, c.producer_name, count(*) OVER (PARTITION BY d.event_id) AS images
+    FROM drawn d LEFT JOIN catalog c ON c.id = d.id""",
+    ("points", "outlines", "catalog"), POLYGON_HITS,
+)
+def run_polygon_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = drawn_hits(spark, sf_dir)
+    counts = spatial_join.overlap_counts(hits, ["event_id"])
+    full = spatial_join.hit_features(hits, fx.catalog(spark, sf_dir), ["event_id"])
+    return full.select("event_id", "id", "title", "gsd", "producer_name").join(counts, "event_id")
+
+
 @query(
     "viewport_counts",
     """SELECT v.view_id, v.name, count(c.id) AS images,

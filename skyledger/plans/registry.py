@@ -15,6 +15,8 @@ _TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
     "pending": (fixtures.PENDING, ("catalog",)),
     "href_updates": (fixtures.HREF_UPDATES, ("catalog",)),
     "points": (fixtures.POINTS, ()),
+    "centers": (fixtures.CENTERS, ()),
+    "outlines": (fixtures.outline_edges_sql(), ("centers",)),
     "viewports": (fixtures.VIEWPORTS, ()),
     "status_events": (fixtures.STATUS_EVENTS, ()),
     "raster_meta": (fixtures.RASTER_META, ()),
