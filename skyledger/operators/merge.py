@@ -10,6 +10,9 @@ from skyledger.functions.wkb import wkb_bounds
 from skyledger.schema import ARTIFACT_COLUMNS, to_catalog_schema
 
 
+TIE_BREAKERS = ("datetime", "title", "cog_href", "file_size", "gsd")
+
+
 def union_by_name(*sources: DataFrame) -> DataFrame:
     """All rows of all sources by column name, in the declared types; duplicates stay."""
     cast = [to_catalog_schema(df) for df in sources]
@@ -26,8 +29,16 @@ def latest_order(columns: list[str]) -> list[Column]:
     Rows that still tie differ in no ordered column; a hash of all ``columns`` decides then,
     so the outcome never depends on the order of rows.
     """
-    tie_breakers = ("datetime", "title", "cog_href", "file_size", "gsd")
-    return [*[F.desc_nulls_last(name) for name in ("uploaded_at", *tie_breakers)], F.xxhash64(*sorted(columns))]
+    return [*[F.desc_nulls_last(name) for name in ("uploaded_at", *TIE_BREAKERS)], F.xxhash64(*sorted(columns))]
+
+
+def _later(late: list[str], base: list[str]) -> Column:
+    """Does ``_late`` come before the row itself in ``latest_order``?"""
+    names = [n for n in ("uploaded_at", *TIE_BREAKERS) if n in base]
+    shared = sorted(c for c in base if c in late and c not in ARTIFACT_COLUMNS)
+    new, old = F.struct(*[F.col("_late").getField(n) for n in names]), F.struct(*names)
+    tied = F.xxhash64(*[F.col("_late").getField(c) for c in shared]) < F.xxhash64(*shared)
+    return (new > old) | ((new == old) & tied)
 
 
 def latest_per_id(df: DataFrame) -> DataFrame:
@@ -62,17 +73,31 @@ def merge_catalog(base: DataFrame, pending: DataFrame, base_unique: bool = False
 
     A bbox depends on nothing but its row, so it is filled in where that is cheapest: at
     the sources for a full merge. With ``base_unique`` (the base is itself the result of
-    a merge) only ids that occur in ``pending`` are compared. The other base rows skip
-    the shuffle by id; whether the id list is broadcast is Catalyst's choice from its size.
+    a merge) each base row meets at most one candidate, the latest pending row of its id, and the
+    later of the two stays: one pass over the base, and one over its ids for the new ones. Whether the
+    candidates are broadcast, so that no base row is shuffled, is Catalyst's choice from their size.
     """
     base, pending = to_catalog_schema(base), to_catalog_schema(pending)
     if not base_unique:
         return latest_per_id(union_by_name(backfill_bbox(base), backfill_bbox(pending)))
-    touched = pending.select(F.col("id").alias("_touched")).distinct()
-    same = F.col("id").eqNullSafe(F.col("_touched"))
-    untouched = backfill_bbox(base.join(touched, same, "left_anti"))
-    contested = latest_per_id(union_by_name(base.join(touched, same, "left_semi"), pending))
-    return untouched.unionByName(backfill_bbox(contested, split=False), allowMissingColumns=True)
+    base = backfill_bbox(base)
+    late = latest_per_id(backfill_bbox(pending, split=False))
+    columns = [*base.columns, *[c for c in late.columns if c not in base.columns]]
+    # One candidate an id: each base row meets at most one, and one of the two stays.
+    candidate = late.select(F.struct(*late.columns).alias("_late"))
+    met = base.join(candidate, F.col("id").eqNullSafe(F.col("_late.id")), "left")
+    wins = F.col("_late").isNotNull() & _later(late.columns, base.columns)
+    kept = met.select(
+        *[
+            F.when(wins, F.col("_late").getField(c) if c in late.columns else F.lit(None)).otherwise(
+                F.col(c) if c in base.columns else F.lit(None)
+            ).alias(c)
+            for c in columns
+        ]
+    )
+    held = base.select(F.col("id").alias("_held"))
+    added = late.join(held, F.col("id").eqNullSafe(F.col("_held")), "left_anti")
+    return kept.unionByName(added, allowMissingColumns=True)
 
 
 def merge_report(base: DataFrame, pending: DataFrame, merged: DataFrame, source: str = "source_file") -> DataFrame:

@@ -16,8 +16,8 @@ from skyledger.plans import fixtures as fx
 from skyledger.plans.registry import query
 from skyledger.schema import CATALOG_SCHEMA, to_catalog_schema
 from skyledger.session import scratch_path
+from skyledger.sources import buckets, clustered, jobs
 from skyledger.sources import catalog as store
-from skyledger.sources import jobs
 from skyledger.sources import pending as sidecars
 from skyledger.sources import records
 from skyledger.sources.sample import sample_catalog
@@ -823,8 +823,8 @@ def run_import_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def run_import_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "imports")
-    jobs.import_version(records.read_pages(spark, import_pages(spark, sf_dir)), root, BASE_URL)
-    return flat(store.read_version(spark, root)).select("id", "title", "cog_href", "bbox_xmin", "bbox_ymin")
+    jobs.import_catalog(records.read_pages(spark, import_pages(spark, sf_dir)), root, BASE_URL, buckets=8)
+    return flat(buckets.read_buckets(spark, root)).select("id", "title", "cog_href", "bbox_xmin", "bbox_ymin")
 
 
 @query(
@@ -835,21 +835,38 @@ def run_import_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def run_convert_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "addresses")
-    store.write_version(fx.catalog(spark, sf_dir), root, 0)
+    buckets.write_buckets(fx.catalog(spark, sf_dir), root, 8)
     own = F.substring("id", 5, 10).cast("bigint") % 12 == 0
-    jobs.convert_version(spark, root, "legacy-store", F.when(own, text.image_href(BASE_URL, F.col("id"))))
-    return store.read_version(spark, root).select("id", "title", "cog_href")
+    buckets.convert_buckets(spark, root, "legacy-store", F.when(own, text.image_href(BASE_URL, F.col("id"))))
+    return buckets.read_buckets(spark, root).select("id", "title", "cog_href")
+
+
+@query("search_ranges", f"SELECT {RESULT} FROM catalog WHERE {IN_VIEW}", ("catalog",))
+def run_search_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "places")
+    clustered.write_places(fx.catalog(spark, sf_dir), path, store.SMALL_ROW_GROUP)
+    return search(clustered.read_places(spark, path, VIEW), SearchParams(bbox=VIEW, limit=None))
+
+
+@query(
+    "search_ranges_wrap",
+    f"SELECT {RESULT} FROM catalog WHERE (bbox_xmax >= 165 OR bbox_xmin <= -170) AND bbox_ymax >= -40 AND bbox_ymin <= 40",
+    ("catalog",),
+)
+def run_search_ranges_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, view = scratch_path(spark, "places"), (165, -40, -170, 40)
+    clustered.write_places(fx.catalog(spark, sf_dir), path)
+    return search(clustered.read_places(spark, path, view, wrap=True), SearchParams(bbox=view, wrap=True, limit=None))
 
 
 @query("viewport_files", f"SELECT id, title, bbox_xmin, bbox_ymin FROM catalog WHERE {IN_VIEW}", ("catalog",))
 def run_viewport_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A clustered catalog with a record of its files' bounds, and files added after that."""
-    path = scratch_path(spark, "bounded")
+    """A catalog ordered by cells, and files added after that; the viewport as ranges of cells."""
+    path = scratch_path(spark, "places")
     rows, late = fx.catalog(spark, sf_dir), F.substring("id", 5, 10).cast("bigint") % 10 == 3
-    store.write_catalog(rows.where(~late), path, "hilbert", partitions=8)
-    store.write_file_bounds(spark, path)
-    rows.where(late).write.mode("append").parquet(path)
-    near = search(store.read_viewport(spark, path, VIEW), SearchParams(bbox=VIEW, limit=None))
+    clustered.write_places(rows.where(~late), path, partitions=8)
+    clustered.write_places(rows.where(late), path, partitions=2, mode="append")
+    near = search(clustered.read_places(spark, path, VIEW), SearchParams(bbox=VIEW, limit=None))
     return near.select("id", "title", F.col("bbox_west").alias("bbox_xmin"), F.col("bbox_south").alias("bbox_ymin"))
 
 
@@ -1258,10 +1275,9 @@ def run_stream_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_merge", f"SELECT {FLAT}, {FILLED} FROM latest", ("catalog", "pending"), MERGED)
 def run_stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = scratch_path(spark, "versions")
-    base = base_and_pending(spark, sf_dir)[0]
-    store.write_version(merge.backfill_bbox(to_catalog_schema(base)), root, 0)
+    root = scratch_path(spark, "merged")
+    buckets.write_buckets(merge.backfill_bbox(to_catalog_schema(base_and_pending(spark, sf_dir)[0])), root, 8)
     merge_stream.start_merge(
         spark, land_pending(spark, sf_dir), root, f"{root}/checkpoint", max_files=3
     ).awaitTermination()
-    return flat(store.read_version(spark, root))
+    return flat(buckets.read_buckets(spark, root))

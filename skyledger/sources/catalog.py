@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from urllib.parse import unquote, urlsplit
-
-import numpy as np
-import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skyledger.functions.geo import WORLD, with_hilbert_key
-from skyledger.operators.search import bbox_predicate
 from skyledger.schema import CATALOG_SCHEMA, to_catalog_schema
 
 # Rows per row group. The small size suits catalogs of some thousand
@@ -20,20 +13,6 @@ from skyledger.schema import CATALOG_SCHEMA, to_catalog_schema
 ROW_GROUP = 10_000
 SMALL_ROW_GROUP = 100
 
-BOUNDS_FOLDER = "_bounds"
-
-VERSION_SCHEMA = T.StructType(
-    [T.StructField("version", T.LongType()), T.StructField("path", T.StringType()), T.StructField("merged", T.BooleanType())]
-)
-
-# A version is the list of its files, with the ids they hold. It may name files of earlier versions.
-MANIFEST_SCHEMA = T.StructType(
-    [
-        T.StructField("file", T.StringType()), T.StructField("first_id", T.StringType()), T.StructField("last_id", T.StringType()),
-        T.StructField("rows", T.LongType()), T.StructField("without_id", T.LongType()),
-    ]
-)
-
 
 def missing_path(error: AnalysisException) -> bool:
     return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
@@ -84,7 +63,7 @@ def write_catalog(
 
     The order is global over the files. Every order ends in ``id``, so equal Hilbert
     keys or dates can still be divided over partitions. Never write to the path the
-    rows are read from; see ``write_version``.
+    rows are read from; ``sources/buckets.py`` replaces parts of a catalog.
     """
     if order == "id":
         ranged = _ranged(df, [F.asc_nulls_last("id"), F.desc_nulls_last("uploaded_at")], partitions)
@@ -98,191 +77,3 @@ def write_catalog(
         _write(ranged, path, row_group)
     else:
         raise ValueError(f"unknown order {order!r}")
-
-
-def write_file_bounds(spark: SparkSession, path: str) -> None:
-    """Record the extent of every data file of a written catalog next to the files.
-
-    Readers of ``path`` do not see the record. Worth having for the clustered layout, where
-    a viewport meets few files; each file's footer is then opened only if it matters.
-    """
-    bounds = (
-        spark.read.option("recursiveFileLookup", True).parquet(path)
-        .groupBy(F.col("_metadata.file_path").alias("file"))
-        .agg(
-            F.min("bbox.xmin").alias("xmin"), F.min("bbox.ymin").alias("ymin"),
-            F.max("bbox.xmax").alias("xmax"), F.max("bbox.ymax").alias("ymax"),
-        )
-    )
-    # The record of an earlier run lies below ``path`` too, but in a folder that readers skip.
-    bounds.write.mode("overwrite").parquet(f"{path}/{BOUNDS_FOLDER}")
-
-
-def _place(path: str) -> tuple[str, str]:
-    """Host and path: the parts of a file's address that are written in one way only."""
-    parts = urlsplit(path)
-    return parts.netloc, unquote(parts.path)
-
-
-def read_viewport(
-    spark: SparkSession, path: str, bbox: tuple[float, float, float, float], wrap: bool = False
-) -> DataFrame:
-    """The rows of those files that can hold images in the viewport; ``search`` does the rest.
-
-    Files that the record doesn't know are read in any case, files that are gone are not
-    missed. Only file names come to the driver, which lists them for any scan anyway.
-    """
-    whole = spark.read.option("recursiveFileLookup", True).parquet(path)
-    record = spark.read.parquet(f"{path}/{BOUNDS_FOLDER}").select("file", F.struct("xmin", "ymin", "xmax", "ymax").alias("bbox"))
-    outside = record.where(~F.coalesce(bbox_predicate(bbox, wrap=wrap), F.lit(False))).select("file").collect()
-    known = {_place(r.file) for r in outside}
-    files = [f for f in whole.inputFiles() if _place(f) not in known]
-    return to_catalog_schema(spark.read.schema(whole.schema).parquet(*files) if files else spark.createDataFrame([], whole.schema))
-
-
-def _newest(spark: SparkSession, root: str, before: int | None) -> Row | None:
-    try:
-        log = spark.read.schema(VERSION_SCHEMA).json(f"{root}/versions")
-        if before is not None:
-            log = log.where(F.col("version") < before)
-        row = log.agg(F.max(F.struct("version", "path", "merged")).alias("newest")).first()
-    except AnalysisException as error:
-        if missing_path(error):
-            return None
-        raise
-    return row.newest if row else None
-
-
-def current_version(spark: SparkSession, root: str, before: int | None = None) -> tuple[int, str] | None:
-    """Number and path of the newest complete version, optionally below ``before``."""
-    found = _newest(spark, root, before)
-    return (found.version, found.path) if found else None
-
-
-def is_merged(spark: SparkSession, root: str, before: int | None = None) -> bool:
-    """Was the newest version written by a merge, so that its ids are unique? No version has none."""
-    found = _newest(spark, root, before)
-    return found is None or bool(found.merged)
-
-
-def manifest_path(root: str, version: int) -> str:
-    return f"{root}/manifests/version={version}"
-
-
-def read_manifest(spark: SparkSession, root: str, version: int) -> DataFrame | None:
-    """The files of a version; ``None`` if it was written without a list."""
-    try:
-        return spark.read.schema(MANIFEST_SCHEMA).parquet(manifest_path(root, version))
-    except AnalysisException as error:
-        if missing_path(error):
-            return None
-        raise
-
-
-def read_files(spark: SparkSession, files: list[str]) -> DataFrame:
-    return to_catalog_schema(spark.read.parquet(*files)) if files else empty_catalog(spark)
-
-
-def read_version(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """Rows of the newest version, or none. The driver gets the file names, as for any scan."""
-    found = current_version(spark, root, before)
-    if found is None:
-        return empty_catalog(spark)
-    manifest = read_manifest(spark, root, found[0])
-    return read_catalog(spark, found[1]) if manifest is None else read_files(spark, [r.file for r in manifest.collect()])
-
-
-def write_version(
-    df: DataFrame,
-    root: str,
-    version: int,
-    order: str = "id",
-    row_group: int = ROW_GROUP,
-    frame: tuple[float, float, float, float] = WORLD,
-    carried: DataFrame | None = None,
-    merged: bool = False,
-    partitions: int | None = None,
-) -> str:
-    """Write a new version folder and the list of its files, then record it.
-
-    ``carried`` lists files of earlier versions that belong to this one unchanged (rows of a
-    manifest). Readers see a version only once its record exists, so a crash in between leaves the
-    previous one current, and the same number can be written again.
-    """
-    spark = df.sparkSession
-    path = f"{root}/data/version={version}"
-    write_catalog(df, path, order, row_group, partitions, frame)
-    files = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("rows"),
-        F.count_if(F.col("id").isNull()).alias("without_id"),
-    )
-    listed = files if carried is None else files.unionByName(carried)
-    listed.coalesce(1).write.mode("overwrite").parquet(manifest_path(root, version))
-    known = current_version(spark, root)
-    if known is None or known[0] < version:
-        record = spark.createDataFrame([(version, path, merged)], VERSION_SCHEMA)
-        record.coalesce(1).write.mode("append").json(f"{root}/versions")
-    return path
-
-
-def touched_files(rows: DataFrame, manifest: DataFrame) -> set[str]:
-    """Files of ``manifest`` whose range of ids holds an id of ``rows``.
-
-    Each task compares its sorted ids with all ranges at once; a task sends a row for each file at most.
-    """
-    listed = manifest.select("file", "first_id", "last_id", "without_id").collect()
-    known = [r for r in listed if r.first_id is not None]
-    firsts, lasts = [r.first_id for r in known], [r.last_id for r in known]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hit = np.zeros(len(firsts), bool)
-        for batch in batches:
-            held = np.array(sorted(batch.column("id").to_pylist()), object)
-            if len(held):
-                hit |= np.searchsorted(held, np.array(lasts, object), "right") > np.searchsorted(held, np.array(firsts, object))
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(hit), pa.int64())], ["n"])
-
-    ids = rows.select("id").where(F.col("id").isNotNull()).distinct()
-    found = {known[r.n].file for r in ids.mapInArrow(run, "n bigint").distinct().collect()} if known else set()
-    if any(r.without_id for r in listed) and rows.where(F.col("id").isNull()).take(1):
-        found |= {r.file for r in listed if r.without_id}
-    return found
-
-
-def _hadoop(spark: SparkSession, path: str):
-    """The path's file system and the path, as the cluster's storage layer sees them."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def archive_files(spark: SparkSession, files: list[str], archive: str) -> None:
-    """Move files away; those that are gone already are not missed."""
-    system, folder = _hadoop(spark, archive)
-    system.mkdirs(folder)
-    for name in files:
-        system, path = _hadoop(spark, name)
-        if system.exists(path):
-            system.rename(path, _hadoop(spark, f"{archive}/{path.getName()}")[1])
-
-
-def expire_versions(spark: SparkSession, root: str, keep: int = 2) -> int:
-    """Delete the data files that none of the newest ``keep`` versions lists; gives their number.
-
-    Readers of an older version fail from then on. ``keep`` must cover the batches that may be replayed.
-    """
-    log = spark.read.schema(VERSION_SCHEMA).json(f"{root}/versions").select("version", "path").distinct()
-    versions = sorted(log.collect(), key=lambda r: r.version, reverse=True)
-    kept = [read_manifest(spark, root, r.version) for r in versions[:keep]]
-    if any(m is None for m in kept):
-        return 0  # a version without a list needs its whole folder
-    used = {_hadoop(spark, r.file)[1].toUri().getPath() for m in kept for r in m.collect()}
-    gone = 0
-    for version in versions[keep:]:
-        system, folder = _hadoop(spark, version.path)
-        if not system.exists(folder):
-            continue
-        for status in system.listStatus(folder):
-            if status.getPath().getName().endswith(".parquet") and status.getPath().toUri().getPath() not in used:
-                gone += bool(system.delete(status.getPath(), False))
-        system.delete(_hadoop(spark, manifest_path(root, version.version))[1], True)
-    return gone

@@ -1,22 +1,21 @@
-"""Jobs that write a new catalog version from an import or a change of addresses."""
+"""Jobs that fill a catalog from an import."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from skyledger.functions.geo import WORLD
 from skyledger.operators.ingest import import_records
-from skyledger.operators.merge import update_hrefs
-from skyledger.operators.search import legacy_hrefs
 from skyledger.operators.stats import catalog_extent
 from skyledger.session import scratch_path
-from skyledger.sources.catalog import SMALL_ROW_GROUP, current_version, read_version, write_version
+from skyledger.sources.buckets import BUCKETS, write_buckets
+from skyledger.sources.catalog import SMALL_ROW_GROUP
 
 
-def import_version(
-    records: DataFrame, root: str, base_url: str, acquired_from: str = "", row_group: int = SMALL_ROW_GROUP
-) -> str:
-    """Import records as a new version, clustered on a Hilbert curve over the extent of the data itself.
+def import_catalog(
+    records: DataFrame, root: str, base_url: str, acquired_from: str = "", row_group: int = SMALL_ROW_GROUP, buckets: int = BUCKETS
+) -> None:
+    """Import records as a new catalog, its buckets clustered on a Hilbert curve over the extent of the data itself.
 
     The mapped rows are landed once, because the extent is needed before they can be ordered.
     """
@@ -26,24 +25,4 @@ def import_version(
     rows = spark.read.parquet(landed)
     box = catalog_extent(rows).first()
     known = box.xmin is not None and box.xmin < box.xmax and box.ymin < box.ymax
-    found = current_version(spark, root)
-    return write_version(rows, root, found[0] + 1 if found else 0, "hilbert", row_group, tuple(box) if known else WORLD)
-
-
-def convert_version(spark: SparkSession, root: str, pattern: str, new_href: Column, order: str = "id") -> int:
-    """Give every address that contains ``pattern`` a new one and write the catalog as a new version.
-
-    ``new_href`` makes the new address, a column, from the columns ``id`` and ``cog_href``; rows for
-    which it is NULL stay as they are. Gives the number of changed addresses; without any,
-    no version is written.
-    """
-    catalog = read_version(spark, root)
-    found = legacy_hrefs(catalog, pattern).select("id", "cog_href")
-    landed = scratch_path(spark, "addresses")
-    found.withColumn("new_href", new_href).where("new_href IS NOT NULL").select("id", "new_href").write.parquet(landed)
-    updates = spark.read.parquet(landed)
-    changed = updates.count()
-    if changed:
-        write_version(update_hrefs(catalog, updates), root, current_version(spark, root)[0] + 1, order)
-    return changed
-
+    write_buckets(rows, root, buckets, "hilbert", row_group, tuple(box) if known else WORLD)

@@ -1,49 +1,22 @@
-"""Merge of pending sidecars into the versioned catalog, as a stream or in one go."""
+"""Merge of pending sidecars into the partitioned catalog, as a stream or in one go."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from skyledger.operators.merge import merge_catalog
-from skyledger.sources.catalog import (
-    archive_files, current_version, is_merged, read_files, read_manifest, read_version, touched_files, write_version,
-)
-from skyledger.sources.pending import read_pending, stream_pending
+from skyledger.sources.buckets import BUCKETS, merge_buckets
+from skyledger.sources.pending import stream_pending
 
 
-def merge_version(rows: DataFrame, root: str, version: int, order: str = "id") -> None:
-    """Version ``version`` = the one before it + ``rows``.
+def merge_batch(root: str, order: str = "id", buckets: int = BUCKETS):
+    """``foreachBatch`` function: the catalog in ``root`` with the batch merged in.
 
-    If that one was written by a merge, only its files whose ids overlap the new rows are read and written
-    again; the new version lists the others as they are. Otherwise its ids may repeat, and all is merged.
-    With order ``id`` the files' id ranges are narrow; in other orders most of them overlap.
-    """
-    spark = rows.sparkSession
-    found = current_version(spark, root, before=version)
-    manifest = read_manifest(spark, root, found[0]) if found else None
-    if manifest is None or not is_merged(spark, root, before=version):
-        base = read_version(spark, root, before=version)
-        write_version(merge_catalog(base, rows, base_unique=found is None), root, version, order, merged=True)
-        return
-    touched = sorted(touched_files(rows, manifest))
-    again = spark.createDataFrame([(name,) for name in touched], "file string")
-    carried = manifest.join(again, "file", "left_anti")
-    merged = merge_catalog(read_files(spark, touched), rows, base_unique=True)
-    write_version(merged, root, version, order, carried=carried, merged=True)
-
-
-def merge_batch(root: str, order: str = "id", first_version: int = 1):
-    """``foreachBatch`` function: version ``first_version + batch id`` = previous version + batch.
-
-    A replayed batch starts from the same previous version and writes the same number,
-    so it gives the same catalog. An empty batch writes nothing. Versions below
-    ``first_version`` are those written by other means, such as an import.
+    A replayed batch merges rows that are there already, which changes nothing. An empty batch writes nothing.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            merge_version(batch, root, first_version + batch_id, order)
+        merge_buckets(batch, root, order, buckets)
 
     return apply
 
@@ -57,12 +30,16 @@ def start_merge(
     max_files: int | None = None,
     archive: str | None = None,
     every: str | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """Merge what is pending now and stop, or keep merging ``every`` interval (such as ``1 hour``)."""
+    """Merge what is pending now and stop, or keep merging ``every`` interval (such as ``1 hour``).
+
+    The checkpoint remembers the merged sidecars. With ``archive`` Spark moves them there, once the batch after theirs begins.
+    """
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return (
         stream_pending(spark, pending, max_files, archive)
-        .writeStream.foreachBatch(merge_batch(root, order))
+        .writeStream.foreachBatch(merge_batch(root, order, buckets))
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()
@@ -70,21 +47,12 @@ def start_merge(
 
 
 def rebuild_catalog(
-    spark: SparkSession, pending: str, root: str, order: str = "id", archive: str | None = None
+    spark: SparkSession, pending: str, root: str, order: str = "id", archive: str | None = None, buckets: int = BUCKETS
 ) -> int:
-    """Merge everything pending into a new version; gives the number of sidecar files merged.
+    """Merge everything that is pending and not merged yet; gives the number of sidecar rows merged.
 
-    With nothing pending no version is written. With ``archive`` the sidecars are moved there once the
-    version is recorded. Otherwise they stay: merging them again changes nothing, so they may be
-    removed any time after this returns.
+    The list of merged sidecars is the checkpoint below ``root``. Sidecars may be removed any time after this returns.
     """
-    late = read_pending(spark, pending)
-    # The driver has listed these files already.
-    files = [r.source_file for r in late.select("source_file").distinct().collect()]
-    if not files:
-        return 0
-    found = current_version(spark, root)
-    merge_version(late.drop("source_file"), root, found[0] + 1 if found else 0, order)
-    if archive:
-        archive_files(spark, files, archive)
-    return len(files)
+    query = start_merge(spark, pending, root, f"{root}/merged", order, archive=archive, buckets=buckets)
+    query.awaitTermination()
+    return sum(p.numInputRows for p in query.recentProgress)

@@ -89,19 +89,6 @@ def test_clustered_layout_reads_fewer_row_groups(spark, tmp_path):
     assert ids(found[0]) == ids(found[1]) and found[0].count() > 0
 
 
-def test_viewport_read_opens_few_files(spark, tmp_path):
-    path = str(tmp_path / "bounded")
-    df = scattered(spark, 5000).withColumn("bbox", F.when(F.col("id") > "i000009", F.col("bbox")))
-    store.write_catalog(df, path, "hilbert", partitions=16)
-    store.write_file_bounds(spark, path)
-    assert store.read_catalog(spark, path).count() == 5000
-    for view, wrap in [((10.0, 10.0, 40.0, 40.0), False), ((170.0, -90.0, -170.0, 90.0), True), ((400.0, 0.0, 401.0, 1.0), False)]:
-        params = SearchParams(bbox=view, wrap=wrap, limit=None)
-        near = store.read_viewport(spark, path, view, wrap)
-        assert ids(search(near, params)) == ids(search(store.read_catalog(spark, path), params))
-        assert len(near.inputFiles()) < 12
-
-
 def test_equal_hilbert_keys_spread_over_files(spark, tmp_path):
     same = scattered(spark, 4000).withColumn(
         "bbox", F.when(F.col("id") < "i003000", F.expr("named_struct('xmin', 1d, 'ymin', 1d, 'xmax', 2d, 'ymax', 2d)")).otherwise(F.col("bbox"))
@@ -127,21 +114,6 @@ def test_search_plan(spark, tmp_path):
     assert "ReadSchema: struct<bbox:struct<xmin:double>>" in narrow
 
 
-def test_versions(spark, tmp_path):
-    root = str(tmp_path / "versions")
-    assert store.current_version(spark, root) is None and store.read_version(spark, root).count() == 0
-    store.write_version(catalog(spark, image("a")), root, 0)
-    # Reading the current version while writing the next one is safe.
-    grown = store.read_version(spark, root).unionByName(catalog(spark, image("b")))
-    store.write_version(grown, root, 1)
-    store.write_version(grown, root, 1)
-    assert ids(store.read_version(spark, root)) == ["a", "b"]
-    assert ids(store.read_version(spark, root, before=1)) == ["a"]
-    # A folder without a record, left by a crash, is not seen.
-    store.write_catalog(catalog(spark, image("z")), f"{root}/data/version=2")
-    assert store.current_version(spark, root)[0] == 1
-
-
 def test_pending_files_of_different_shape(spark, tmp_path):
     folder = tmp_path / "pending"
     (folder / "deep").mkdir(parents=True)
@@ -200,37 +172,6 @@ def test_scratch_is_the_shared_folder(spark):
     assert os.path.isabs(scratch_root(spark))
 
 
-def test_viewport_reads_files_added_after_the_record(spark, tmp_path):
-    path = str(tmp_path / "grown")
-    df = scattered(spark, 600)
-    store.write_catalog(df.where("id < 'i000300'"), path, "hilbert", partitions=4)
-    store.write_file_bounds(spark, path)
-    df.where("id >= 'i000300' AND id < 'i000500'").write.mode("append").parquet(path)
-    df.where("id >= 'i000500'").write.parquet(f"{path}/more")
-    view = (-60.0, -60.0, 60.0, 60.0)
-    params = SearchParams(bbox=view, limit=None)
-    assert ids(search(store.read_viewport(spark, path, view), params)) == ids(search(df, params))
-
-
-def test_import_and_conversion_write_versions(spark, tmp_path):
-    from skyledger.sources import jobs
-    from skyledger.sources.records import parse_pages
-
-    shape = '{"type":"Polygon","coordinates":[[[%d,0],[%d,0],[%d,1],[%d,1],[%d,0]]]}'
-    lines = [
-        '{"_id":"%d","uuid":"http://legacy/%d.tif","uploaded_at":"2024","geojson":%s}' % (i, i, shape % (i, i + 1, i + 1, i, i)) for i in range(40)
-    ]
-    page = '{"results":[' + ",".join([*lines, '{"_id":"99","geojson":{}}']) + "]}"
-    root = str(tmp_path / "root")
-    jobs.import_version(parse_pages(spark.createDataFrame([(page,)], "page string")), root, "https://x.example", row_group=10)
-    assert store.read_version(spark, root).count() == 40
-    changed = jobs.convert_version(spark, root, "legacy", F.when(F.col("id") != "7", F.concat(F.lit("new/"), "id")))
-    rows = {r.id: r.cog_href for r in store.read_version(spark, root).collect()}
-    assert changed == 39 and rows["7"] == "http://legacy/7.tif" and rows["8"] == "new/8" and len(rows) == 40
-    assert jobs.convert_version(spark, root, "nowhere", F.lit("x")) == 0
-    assert store.current_version(spark, root)[0] == 1
-
-
 def test_lost_values_are_counted(spark):
     from skyledger.schema import lost_values
 

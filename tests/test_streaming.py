@@ -1,13 +1,15 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from rows import catalog, ids, image
+from rows import catalog, ids, image, plan
 from skyledger.functions.wkb import box_wkb
 from skyledger.operators import merge, status
-from skyledger.sources import catalog as store
-from skyledger.sources import pending
+from skyledger.sources import buckets as store
+from skyledger.sources import jobs, pending
+from skyledger.sources.records import parse_pages
 from skyledger.streaming import merge as merge_stream
 from skyledger.streaming import status as status_stream
 
@@ -23,29 +25,38 @@ def run(spark, folder, root, **options):
     return query
 
 
+def files(root):
+    """Data file -> time of its last change."""
+    return {f"{where}/{name}": os.stat(f"{where}/{name}").st_mtime_ns for where, _, names in os.walk(f"{root}/catalog") for name in names if name.endswith(".parquet")}
+
+
+def rows_of(spark, root):
+    return sorted(store.read_buckets(spark, root).collect(), key=str)
+
+
 def test_merge_stream(spark, tmp_path):
     folder, root, archive = str(tmp_path / "pending"), str(tmp_path / "root"), str(tmp_path / "archive")
     first = sidecars(spark, image("a", uploaded_at="2024-01-01", title="one"), image("b", uploaded_at="2024-01-01"))
     pending.append_sidecars(first.coalesce(1), folder)
     run(spark, folder, root, archive=archive)
-    assert ids(store.read_version(spark, root)) == ["a", "b"]
+    assert ids(store.read_buckets(spark, root)) == ["a", "b"]
     before = {name for _, _, names in os.walk(folder) for name in names if name.endswith(".parquet")}
 
-    # Nothing new: no version is written.
-    version = store.current_version(spark, root)
+    # Nothing new: nothing is written.
+    held = files(root)
     run(spark, folder, root, archive=archive)
-    assert store.current_version(spark, root) == version
+    assert files(root) == held
 
     second = sidecars(spark, image("a", uploaded_at="2024-02-01", title="two"), image("c", uploaded_at="2024-02-01"))
     pending.append_sidecars(second.coalesce(1), folder)
     run(spark, folder, root, archive=archive)
-    rows = {r.id: (r.title, r.bbox is not None) for r in store.read_version(spark, root).collect()}
+    rows = {r.id: (r.title, r.bbox is not None) for r in store.read_buckets(spark, root).collect()}
     assert rows == {"a": ("two", True), "b": (None, True), "c": (None, True)}
 
     third = sidecars(spark, image("a", uploaded_at="2023-01-01", title="late and old"))
     pending.append_sidecars(third.coalesce(1), folder)
     run(spark, folder, root, archive=archive)
-    assert {r.id: r.title for r in store.read_version(spark, root).collect()}["a"] == "two"
+    assert {r.id: r.title for r in store.read_buckets(spark, root).collect()}["a"] == "two"
     # Merged sidecars were moved away after their batch had been committed.
     archived = {name for _, _, names in os.walk(archive) for name in names if name.endswith(".parquet")}
     assert before <= archived
@@ -53,75 +64,97 @@ def test_merge_stream(spark, tmp_path):
 
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     root = str(tmp_path / "root")
-    store.write_version(merge.backfill_bbox(sidecars(spark, image("a", uploaded_at="1"))), root, 0)
-    batch = sidecars(spark, image("a", uploaded_at="2", title="new"), image("b", uploaded_at="2"))
+    store.write_buckets(merge.backfill_bbox(sidecars(spark, image("a", uploaded_at="1"))), root, 4)
+    batch = sidecars(spark, image("a", uploaded_at="2", title="new"), image("b", uploaded_at="2"), image(None, uploaded_at="2"))
     apply = merge_stream.merge_batch(root)
     apply(batch, 0)
-    once = sorted(store.read_version(spark, root).collect(), key=str)
+    once = rows_of(spark, root)
     apply(batch, 0)
-    assert sorted(store.read_version(spark, root).collect(), key=str) == once
+    assert rows_of(spark, root) == once and len(once) == 3
+    held = files(root)
     apply(batch.limit(0), 1)
-    assert store.current_version(spark, root)[0] == 1
+    assert files(root) == held
 
 
 def test_rebuild(spark, tmp_path):
     folder, root = str(tmp_path / "pending"), str(tmp_path / "root")
+    os.makedirs(folder)
     assert merge_stream.rebuild_catalog(spark, folder, root) == 0
-    assert store.current_version(spark, root) is None
+    assert rows_of(spark, root) == [] and store.bucket_count(spark, root) is None
     for name in ("a", "b"):
         pending.append_sidecars(sidecars(spark, image(name, uploaded_at="1")).coalesce(1), folder)
-    assert merge_stream.rebuild_catalog(spark, folder, root) == 2
-    once = sorted(store.read_version(spark, root).collect(), key=str)
-    assert merge_stream.rebuild_catalog(spark, folder, root, order="hilbert") == 2
-    assert sorted(store.read_version(spark, root).collect(), key=str) == once and len(once) == 2
-    assert store.current_version(spark, root)[0] == 1
+    assert merge_stream.rebuild_catalog(spark, folder, root, buckets=4) == 2
+    once = rows_of(spark, root)
+    assert merge_stream.rebuild_catalog(spark, folder, root) == 0
+    assert rows_of(spark, root) == once and len(once) == 2 and store.bucket_count(spark, root) == 4
 
 
-def manifest(spark, root, version):
-    return {r.file: (r.first_id, r.last_id, r.rows) for r in store.read_manifest(spark, root, version).collect()}
+@pytest.mark.parametrize("order", ["id", "hilbert", "datetime"])
+def test_merge_rewrites_touched_partitions_only(spark, tmp_path, order):
+    root = str(tmp_path / "root")
+    rows = [image(f"i{i:04d}", bbox=(i % 90, 0, i % 90 + 1, 1), uploaded_at="1") for i in range(400)]
+    store.write_buckets(catalog(spark, *rows), root, 16, order)
+    first = files(root)
+    bucket = {r.id: r.b for r in catalog(spark, *rows, image("zz")).select("id", store.bucket_of(F.col("id"), 16).alias("b")).collect()}
+    late = catalog(spark, image("i0005", uploaded_at="2", title="new"), image("i0006", uploaded_at="0", title="old"), image("zz", uploaded_at="2"))
+    changed = {bucket[name] for name in ("i0005", "i0006", "zz")}
+    assert store.merge_buckets(late, root, order) == len(changed) < 16
+    second = files(root)
+    touched = lambda name: any(f"/bucket={b}/" in name for b in changed)
+    assert {f: t for f, t in first.items() if not touched(f)} == {f: t for f, t in second.items() if not touched(f)}
+    assert not {f for f in first if touched(f)} & second.keys()
+    merged = {r.id: r.title for r in store.read_buckets(spark, root).collect()}
+    assert len(merged) == 401 and merged["i0005"] == "new" and merged["i0006"] is None and "zz" in merged
+    once = rows_of(spark, root)
+    store.merge_buckets(late, root, order)
+    assert rows_of(spark, root) == once
+    assert [r.title for r in store.get_from_buckets(spark, root, "i0005").collect()] == ["new"]
+    assert store.get_from_buckets(spark, root, "nobody").collect() == []
+    partition = next(line for line in plan(store.get_from_buckets(spark, root, "i0005")).splitlines() if "PartitionFilters" in line)
+    assert "bucket" in partition
+
+
+def test_incremental_merge_equals_full_merge(spark):
+    draw = random.Random(3)
+    pick = lambda *values: draw.choice([None, *values])
+
+    def some(n, unique):
+        names = [f"i{i}" for i in range(n)] if unique else [f"i{draw.randrange(40)}" for _ in range(n)]
+        return [image(name, uploaded_at=pick("1", "2"), title=pick("s", "t"), gsd=pick(1.0, 2.0), datetime=pick("2020")) for name in [*names, None]]
+
+    base, late = some(30, True), some(60, False)
+    merged = [merge.merge_catalog(catalog(spark, *base), catalog(spark, *late), base_unique=u) for u in (True, False)]
+    full = [sorted(map(str, (r.asDict() for r in m.select("id", "uploaded_at", "title", "gsd", "datetime").collect()))) for m in merged]
+    assert full[0] == full[1] and len(full[0]) == len({r[0] for r in [*base, *late]})
+    extra = catalog(spark, *late).withColumn("source_file", F.lit("f"))
+    assert merge.merge_catalog(catalog(spark, *base), extra, base_unique=True).where("source_file = 'f'").count() > 0
+
+
+def test_duplicates_of_an_import_go(spark, tmp_path):
+    root = str(tmp_path / "root")
+    store.write_buckets(sidecars(spark, image("x", uploaded_at="1"), image("x", uploaded_at="2")), root)
+    assert [(r.id, r.uploaded_at) for r in store.read_buckets(spark, root).collect()] == [("x", "2")]
+    merge_stream.merge_batch(root)(sidecars(spark, image("y", uploaded_at="1")), 3)
+    assert ids(store.read_buckets(spark, root)) == ["x", "y"]
 
 
-def test_merge_rewrites_touched_files_only(spark, tmp_path):
-    folder, root, archive = str(tmp_path / "pending"), str(tmp_path / "root"), str(tmp_path / "archive")
-    rows = [image(f"i{i:04d}", uploaded_at="1") for i in range(800)]
-    store.write_version(merge.backfill_bbox(sidecars(spark, *rows)), root, 0, merged=True, partitions=8)
-    first = manifest(spark, root, 0)
-    assert len(first) > 3 and sum(n for *_, n in first.values()) == 800
-    pending.append_sidecars(sidecars(spark, image("i0005", uploaded_at="2", title="new"), image("zz", uploaded_at="2")).coalesce(1), folder)
-    assert merge_stream.rebuild_catalog(spark, folder, root, archive=archive) == 1
-    second = manifest(spark, root, 1)
-    kept = first.keys() & second.keys()
-    assert len(kept) == len(first) - 1 and all(first[f] == second[f] for f in kept)
-    merged = {r.id: r.title for r in store.read_version(spark, root).collect()}
-    assert len(merged) == 801 and merged["i0005"] == "new" and "zz" in merged
-    # The sidecar is gone from the folder, so nothing is merged again.
-    assert merge_stream.rebuild_catalog(spark, folder, root, archive=archive) == 0 and os.listdir(archive)
-
-    batch = sidecars(spark, image("i0700", uploaded_at="3", title="again"))
-    merge_stream.merge_batch(root)(batch, 1)
-    once = sorted(store.read_version(spark, root).collect(), key=str)
-    merge_stream.merge_batch(root)(batch, 1)
-    assert sorted(store.read_version(spark, root).collect(), key=str) == once and len(once) == 801
-    assert store.expire_versions(spark, root, keep=1) >= 1
-    assert sorted(store.read_version(spark, root).collect(), key=str) == once
-    assert store.expire_versions(spark, root, keep=1) == 0
-
-
-def test_touched_files(spark):
-    listed = [("a", "b", "d", 3, 0), ("b", "e", "e", 1, 0), ("c", None, None, 2, 2), ("d", "f", "k", 9, 0)]
-    files = spark.createDataFrame(listed, store.MANIFEST_SCHEMA)
-
-    def touched(*names):
-        return store.touched_files(spark.createDataFrame([(n,) for n in names], "id string"), files)
-
-    assert touched("c", "a", "z") == {"a"} and touched("e", "k") == {"b", "d"} and touched(None) == {"c"} and touched("l") == set()
-
-
-def test_duplicates_in_an_imported_base_go_with_the_first_merge(spark, tmp_path):
+def test_import_and_conversion(spark, tmp_path):
+    shape = '{"type":"Polygon","coordinates":[[[%d,0],[%d,0],[%d,1],[%d,1],[%d,0]]]}'
+    lines = [
+        '{"_id":"%d","uuid":"http://legacy/%d.tif","uploaded_at":"2024","geojson":%s}' % (i, i, shape % (i, i + 1, i + 1, i, i)) for i in range(40)
+    ]
+    page = '{"results":[' + ",".join([*lines, '{"_id":"99","geojson":{}}']) + "]}"
     root = str(tmp_path / "root")
-    store.write_version(sidecars(spark, image("x", uploaded_at="1"), image("x", uploaded_at="2")), root, 0)
-    merge_stream.merge_batch(root)(sidecars(spark, image("y", uploaded_at="1")), 3)
-    assert ids(store.read_version(spark, root)) == ["x", "y"]
+    assert store.convert_buckets(spark, root, "legacy", F.lit("x")) == 0
+    jobs.import_catalog(parse_pages(spark.createDataFrame([(page,)], "page string")), root, "https://x.example", row_group=10, buckets=8)
+    assert store.read_buckets(spark, root).count() == 40
+    changed = store.convert_buckets(spark, root, "legacy", F.when(F.col("id") != "7", F.concat(F.lit("new/"), "id")))
+    rows = {r.id: r.cog_href for r in store.read_buckets(spark, root).collect()}
+    assert changed == 39 and rows["7"] == "http://legacy/7.tif" and rows["8"] == "new/8" and len(rows) == 40
+    held = files(root)
+    assert store.convert_buckets(spark, root, "legacy", F.when(F.col("id") == "7", F.lit("seven"))) == 1
+    assert len(held.keys() - files(root).keys()) == 1
+    assert store.convert_buckets(spark, root, "nowhere", F.lit("x")) == 0
 
 
 def status_files(spark, path, batches):
