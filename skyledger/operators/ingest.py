@@ -90,29 +90,40 @@ def with_mercator_bounds(rasters: DataFrame) -> DataFrame:
     )
 
 
-def sidecar_rows(rasters: DataFrame, metadata: DataFrame, key: str, processed_at: str, base_url: str) -> DataFrame:
-    """Catalog rows for processed uploads.
-
-    Every raster with ``bounds`` gives a row; user metadata is optional and may lack any
-    field. A JSON null counts as missing; of several metadata rows for one upload the largest
-    by its fields in turn counts. ``bbox`` stays NULL: the merge fills it in.
-    """
+def given_metadata(metadata: DataFrame, key: str, *others: str) -> DataFrame:
+    """``key``, the fields of user metadata as ``_meta_…`` (NULL if the source lacks them) and ``others``."""
     wanted = {"title": "string", "platform": "string", "license": "string", "acquired": "string", "provider": "string"}
-    given = metadata.select(
+    return metadata.select(
         key,
         *[
             (F.col(n) if n in metadata.columns else F.lit(None).cast(t)).alias(f"_meta_{n}")
             for n, t in wanted.items()
         ],
+        *others,
     )
 
+
+def sidecar_rows(rasters: DataFrame, metadata: DataFrame, key: str, processed_at: str, base_url: str) -> DataFrame:
+    """Catalog rows for processed uploads.
+
+    Every raster with ``bounds`` gives a row; user metadata is optional and may lack any
+    field. A JSON null counts as missing; of several metadata rows for one upload the largest
+    by its fields in turn counts. ``bbox`` stays NULL: the merge fills it in.
+    """
+    joined = rasters.join(one_per_key(given_metadata(metadata, key), key), key, "left")
+    return sidecar_columns(joined, key, processed_at, base_url)
+
+
+def sidecar_columns(joined: DataFrame, key: str, processed_at: str, base_url: str) -> DataFrame:
+    """Catalog rows of rasters with their ``given_metadata``, of a batch or of a stream."""
+
     def meta(name: str, default: str) -> Column:
         return F.coalesce(F.col(f"_meta_{name}"), F.lit(default))
 
     upload_id = F.col(key).cast("string")
     box = F.col("bounds")
     return to_catalog_schema(
-        rasters.join(one_per_key(given, key), key, "left").select(
+        joined.select(
             upload_id.alias("id"),
             meta("title", UPLOAD_TITLE).alias("title"),
             meta("acquired", processed_at[:10]).alias("datetime"),

@@ -22,6 +22,8 @@ from skyledger.sources import pending as sidecars
 from skyledger.sources import records
 from skyledger.sources.sample import sample_catalog
 from skyledger.streaming import merge as merge_stream
+from skyledger.streaming import sidecars as sidecar_stream
+from skyledger.streaming import state
 from skyledger.streaming import status as status_stream
 
 VIEW = (-20.0, -40.0, 60.0, 40.0)
@@ -1241,23 +1243,39 @@ def run_poll_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.poll_timeouts(fx.status_events(spark, sf_dir), as_of_status())
 
 
+# A write after the time-out, however late, raises no second error.
 @query(
     "stream_poll_timeouts",
-    f"""SELECT upload_id, 'error' AS status, {TIMED_OUT} AS error
-    FROM (SELECT upload_id || '/' || strftime(ts, '%Y-%m-%d') AS upload_id, min(ts) AS started,
-        min(ts) FILTER (WHERE status IN ('complete', 'error')) AS ended
-      FROM status_events GROUP BY 1) spans
+    f"""SELECT CAST(upload_id AS VARCHAR) AS upload_id, 'error' AS status, {TIMED_OUT} AS error, epoch_us(started) AS started FROM spans
     WHERE started + {LIMIT} < (SELECT max(ts) FROM status_events) AND (ended IS NULL OR ended > started + {LIMIT})""",
-    ("status_events",),
+    ("status_events",), TIMED,
 )
 def run_stream_poll_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One upload per user and day, so that all its writes fall into the default retention."""
     path = scratch_path(spark, "timeouts")
-    day = F.date_format("ts", "yyyy-MM-dd")
-    feed = status_feed(spark, sf_dir).withColumn("upload_id", F.concat(F.col("upload_id").cast("string"), F.lit("/"), day))
-    late = status_stream.poll_timeout_stream(feed.withColumn("ts", F.col("ts").cast("timestamp")))
+    feed = status_feed(spark, sf_dir)
+    late = state.poll_timeout_stream(feed.withColumn("ts", F.col("ts").cast("timestamp")))
     status_stream.start_append(late, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return spark.read.schema(late.schema).parquet(f"{path}/out").select("upload_id", "status", "error")
+    told = spark.read.schema(late.schema).parquet(f"{path}/out")
+    return told.select("upload_id", "status", "error", F.unix_micros("started").alias("started"))
+
+
+@query(
+    "stream_funnel",
+    f"""SELECT CAST(i AS INTEGER) AS position, ({STEP_LIST})[i + 1] AS step, count(*) FILTER (WHERE reached > i) AS done,
+      count(*) FILTER (WHERE reached = i) AS active, count(*) FILTER (WHERE reached < i) AS pending
+    FROM (SELECT coalesce(list_position({STEP_LIST}, step), 0) - 1 AS reached, unnest(range(7)) AS i FROM newest) s GROUP BY i""",
+    ("status_events",), LATEST,
+)
+def run_stream_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status writes in five files by their time, so that most uploads move on several times."""
+    path = scratch_path(spark, "funnel")
+    events = fx.status_events(spark, sf_dir)
+    for day in range(5):
+        events.where((F.dayofmonth("ts") % 5 == day)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    feed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    moves = state.step_funnel_stream(feed)
+    status_stream.start_append(moves, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return state.read_funnel(spark, f"{path}/out")
 
 
 @query(
@@ -1273,6 +1291,69 @@ def run_stream_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(arrived.withColumn("bbox", wkb_bounds(F.col("geometry"))))
 
 
+@query(
+    "stream_sidecar_join",
+    f"""SELECT CAST(r.upload_key AS VARCHAR) AS id, coalesce(m.title, 'Untitled') AS title, '2024-03-01' AS datetime,
+      round(res_x, 4) AS gsd, coalesce(m.platform, '') AS platform_type, '' AS producer_name,
+      coalesce(m.license, 'CC-BY 4.0') AS license,
+      'https://store.example/imagery/' || r.upload_key || '.tif' AS cog_href,
+      'https://store.example/thumbnails/' || r.upload_key || '.webp' AS thumbnail_href,
+      file_size, width, height, bands, 3857 AS epsg, '' AS uploaded_by, '2024-03-01T09:30:00+00:00' AS uploaded_at,
+      round(lon0, 6) AS xmin, round(lat0, 6) AS ymin, round(lon1, 6) AS xmax, round(lat1, 6) AS ymax
+    FROM placed r LEFT JOIN upload_meta m ON r.upload_key = m.upload_key WHERE ({REASON} END) IS NULL""",
+    ("raster_meta", "upload_meta"), BOUNDS,
+)
+def run_stream_sidecar_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters in three files by time; metadata up to two minutes off, a quarter one file later, a third never."""
+    path = scratch_path(spark, "join")
+    key, start = F.col("upload_key"), 1_700_000_000
+    valid, _ = ingest.split_valid(ingest.validate(fx.raster_meta(spark, sf_dir)))
+    staged = ingest.with_mercator_bounds(valid).withColumn("staged_at", F.timestamp_seconds(start + key % 3000))
+    written = fx.upload_meta(spark, sf_dir).withColumn("written_at", F.timestamp_seconds(start + key % 3000 + (key % 5 - 2) * 60))
+    turn, later = F.floor(key % 3000 / 1000), F.when(key % 4 == 1, 1).otherwise(0)
+    streams = []
+    for name, rows, at, number in (("rasters", staged, "staged_at", turn), ("uploads", written, "written_at", turn + later)):
+        for n in range(4):
+            rows.where(number == n).coalesce(1).write.mode("append").parquet(f"{path}/{name}")
+        # A last raster and upload, days later, that close the time before them and are left out below.
+        rows.limit(1).withColumns({"upload_key": F.lit(-1).cast("bigint"), at: F.timestamp_seconds(F.lit(start + 10**6))}).coalesce(
+            1).write.mode("append").parquet(f"{path}/{name}")
+        streams.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/{name}"))
+    made = sidecar_stream.stream_sidecar_rows(*streams, "upload_key", PROCESSED_AT, BASE_URL, delay="1 hour")
+    status_stream.start_append(made, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    rows = spark.read.schema(made.schema).parquet(f"{path}/out").where("id <> '-1'")
+    plain = [n for n in CATALOG_SCHEMA.names if n not in ("geometry", "bbox")]
+    return rows.select(*plain, wkb_bounds(F.col("geometry")).alias("around")).select(*plain, *rounded("around"))
+
+
+@query(
+    "merge_first",
+    f"SELECT {FLAT}, {', '.join(f'geom_{n} AS bbox_{n}' for n in EDGES)} FROM pending",
+    ("pending",),
+)
+def run_merge_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sidecars merged where there is no catalog yet."""
+    root = scratch_path(spark, "first")
+    base = store.read_catalog_or_empty(spark, f"{root}/catalog")
+    late = sidecars.read_pending(spark, land_pending(spark, sf_dir)).drop("source_file")
+    buckets.write_buckets(merge.merge_catalog(base, late), root, 8)
+    return flat(buckets.read_buckets(spark, root))
+
+
+@query(
+    "sidecar_files",
+    f"SELECT {FLAT}, geom_xmin AS xmin, geom_ymin AS ymin, geom_xmax AS xmax, geom_ymax AS ymax FROM pending",
+    ("pending",),
+)
+def run_sidecar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sidecars appended in three batches of uploads and read again."""
+    path, rows = scratch_path(spark, "sidecars"), base_and_pending(spark, sf_dir)[1]
+    for n in range(3):
+        sidecars.append_sidecars(to_catalog_schema(rows.where(F.substring("id", 5, 10).cast("bigint") % 3 == n)), path)
+    plain = [n for n in CATALOG_SCHEMA.names if n not in ("geometry", "bbox")]
+    return sidecars.read_pending(spark, path).select(*plain, wkb_bounds(F.col("geometry")).alias("around")).select(*plain, "around.*")
+
+
 @query("stream_merge", f"SELECT {FLAT}, {FILLED} FROM latest", ("catalog", "pending"), MERGED)
 def run_stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "merged")

@@ -1,28 +1,14 @@
-"""Status streams: latest state per upload and polling time-outs."""
+"""Status streams: the latest state per upload."""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from skyledger.operators.status import TERMINAL, TIMEOUT_MESSAGE, latest_status, time_limit
+from skyledger.operators.status import latest_status
 from skyledger.sources.catalog import missing_path
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-TIMEOUT_SCHEMA = "upload_id string, started bigint, status string, error string"
-# Microseconds since the epoch; ``ended`` is NEVER until a final status was seen.
-_STATE_SCHEMA = "started bigint, ended bigint, reported boolean"
-NEVER = 2**62
-
-
 def write_batch(path: str):
     """``foreachBatch`` sink with one folder per batch; a replay replaces its own folder."""
 
@@ -60,66 +46,6 @@ def read_latest_status(spark: SparkSession, path: str, schema) -> DataFrame:
     return latest_status(log)
 
 
-def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per Arrow batch and upload: first write, first final write, last write."""
-    for batch in batches:
-        at = batch["at"]
-        ended = at.where(batch["status"].isin(TERMINAL), NEVER)
-        marked = pd.DataFrame({"upload_id": batch["upload_id"].astype(str), "at": at, "ended": ended})
-        yield marked.groupby("upload_id", as_index=False).agg(
-            started=("at", "min"), ended=("ended", "min"), seen=("at", "max")
-        )
-
-
-def poll_timeout_stream(
-    events: DataFrame, limit_seconds: int = time_limit(), delay: str = "0 seconds", retention_seconds: int = 86400
-) -> DataFrame:
-    """Emit one error row per upload that got no final status within the limit of its first.
-
-    Event-time timers raise the error when the watermark passes the limit. Writes are
-    combined before the shuffle, so a very chatty upload sends a few rows per task. State
-    per upload is two times and a flag, and goes ``retention_seconds`` after the outcome: a
-    write that comes later still counts as a new upload's first, and may raise an error of its own.
-    Python sees times as microseconds only, so the session time zone has no influence.
-    ``events`` has ``upload_id, ts, status``; ``ts`` is a timestamp.
-    """
-
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        started, ended, reported = state.get if state.exists else (NEVER, NEVER, False)
-        if state.hasTimedOut:
-            if reported or ended < NEVER:
-                state.remove()
-                return
-            late = True
-        else:
-            for batch in batches:
-                started = min(started, int(batch["started"].min()))
-                ended = min(ended, int(batch["ended"].min()))
-            late = started + limit_seconds * 1_000_000 < ended < NEVER
-        if late and not reported:
-            reported = True
-            yield pd.DataFrame(
-                {"upload_id": [key[0]], "started": [started], "status": ["error"], "error": [TIMEOUT_MESSAGE]}
-            )
-        state.update((started, ended, reported))
-        settled = reported or ended < NEVER
-        due = started // 1000 + (limit_seconds + (retention_seconds if settled else 0)) * 1000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    spans = events.select("upload_id", F.unix_micros("ts").alias("at"), "status").mapInPandas(
-        _spans, "upload_id string, started bigint, ended bigint, seen bigint"
-    )
-    late = (
-        spans.withColumn("seen", F.timestamp_micros("seen"))
-        .withWatermark("seen", delay)
-        .groupBy("upload_id")
-        .applyInPandasWithState(
-            watch, TIMEOUT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
-    return late.withColumn("started", F.timestamp_micros("started"))
-
-
 def start_append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream's rows to Parquet until the source is drained."""
     return (

@@ -11,6 +11,7 @@ from skyledger.sources import buckets as store
 from skyledger.sources import jobs, pending
 from skyledger.sources.records import parse_pages
 from skyledger.streaming import merge as merge_stream
+from skyledger.streaming import state
 from skyledger.streaming import status as status_stream
 
 
@@ -197,7 +198,7 @@ def zone(spark, request):
 def test_timeouts_equal_batch(spark, tmp_path, zone):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     status_files(spark, source, BATCHES)
-    late = status_stream.poll_timeout_stream(feed(spark, source), delay="10 minutes", retention_seconds=10**6)
+    late = state.poll_timeout_stream(feed(spark, source), delay="10 minutes", retention_seconds=10**6)
     status_stream.start_append(late, out, str(tmp_path / "cp")).awaitTermination()
     rows = spark.read.schema(late.schema).parquet(out).selectExpr("upload_id", "unix_seconds(started) AS s").collect()
     got = sorted(r.upload_id for r in rows)
@@ -208,7 +209,8 @@ def test_timeouts_equal_batch(spark, tmp_path, zone):
     assert sorted(r.upload_id for r in status.poll_timeouts(batch, F.timestamp_seconds(F.lit(1400))).collect()) == ["b"]
 
 
-def test_write_after_expiry_is_a_new_upload(spark, tmp_path):
+@pytest.mark.parametrize("retention, told", [(None, []), (86400, [("a", "error")])])
+def test_write_after_the_outcome(spark, tmp_path, retention, told):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     day = 86400
     status_files(spark, source, [
@@ -219,10 +221,10 @@ def test_write_after_expiry_is_a_new_upload(spark, tmp_path):
         [("z", 2000 + 3 * day, "done", "complete")],
         [("w", 2001 + 3 * day, "done", "complete")],
     ])
-    late = status_stream.poll_timeout_stream(feed(spark, source))
+    late = state.poll_timeout_stream(feed(spark, source), retention_seconds=retention)
     status_stream.start_append(late, out, str(tmp_path / "cp")).awaitTermination()
     rows = spark.read.schema(late.schema).parquet(out).collect()
-    assert [(r.upload_id, r.status) for r in rows] == [("a", "error")]
+    assert [(r.upload_id, r.status) for r in rows] == told
 
 
 def test_compacted_log_has_the_same_state(spark, tmp_path):
@@ -233,3 +235,51 @@ def test_compacted_log_has_the_same_state(spark, tmp_path):
     status_stream.compact_latest_status(spark, out, small, stream.schema)
     whole, compact = (status_stream.read_latest_status(spark, p, stream.schema) for p in (out, small))
     assert sorted(whole.collect()) == sorted(compact.collect()) and spark.read.parquet(small).count() == whole.count()
+
+
+def test_funnel_takes_back_old_steps(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    draw = random.Random(6)
+    steps = [*status.STEPS, "unknown", None]
+    batches = [
+        [(f"u{draw.randrange(30)}", draw.randrange(40), draw.choice(steps), draw.choice(["processing", "complete", "error"])) for _ in range(60)]
+        for _ in range(5)
+    ]
+    status_files(spark, source, batches)
+    moves = state.step_funnel_stream(feed(spark, source))
+    assert {(r.done, r.active, r.pending) for r in state.read_funnel(spark, out).collect()} == {(0, 0, 0)}
+    for _ in range(2):  # the second run finds nothing new
+        status_stream.start_append(moves, out, str(tmp_path / "cp")).awaitTermination()
+        batch = spark.read.option("recursiveFileLookup", True).schema(feed(spark, source).schema).parquet(source)
+        want = status.step_funnel(status.latest_status(batch))
+        assert sorted(map(tuple, state.read_funnel(spark, out).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    # Every batch changed the numbers, so that steps were left again.
+    assert max(r.version for r in spark.read.parquet(out).collect()) >= 5
+
+
+def test_sidecars_of_two_streams(spark, tmp_path):
+    from skyledger.streaming.sidecars import stream_sidecar_rows
+
+    def landed(name, kind, batches):
+        for number, rows in enumerate(batches):
+            made = spark.createDataFrame(rows, kind.replace("bounds double", "west double"))
+            if "west" in made.columns:
+                box = "named_struct('xmin', west, 'ymin', 0D, 'xmax', west + 1, 'ymax', 1D)"
+                made = made.selectExpr("k", "timestamp_seconds(s) AS staged_at", f"{box} AS bounds", "0.5D AS res_x", "3 AS bands", "9 AS width", "9 AS height", "7L AS file_size")
+            else:
+                made = made.selectExpr("k", "timestamp_seconds(s) AS written_at", "title")
+            made.coalesce(1).write.parquet(f"{tmp_path}/{name}/{number}")
+        return spark.readStream.schema(made.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+
+    hour = 3600
+    rasters = landed("rasters", "k long, s long, bounds double", [
+        [(1, 100, 1.0), (2, 200, 2.0), (3, 300, 3.0), (4, 400, 4.0)], [(5, 500, 5.0)], [(6, 600, 6.0)], [(99, 50 * hour, 0.0)],
+    ])
+    uploads = landed("uploads", "k long, s long, title string", [
+        [(1, 90, "early"), (3, 300 + 2 * hour, "too late"), (5, 400, "before its raster")], [(2, 900, "after")], [(6, 700, None), (2, 901, "again")], [(98, 50 * hour, "x")],
+    ])
+    made = stream_sidecar_rows(rasters, uploads, "k", "2024-03-01T00:00:00+00:00", "https://x.example", delay="30 minutes")
+    status_stream.start_append(made, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    rows = {r.id: r.title for r in spark.read.schema(made.schema).parquet(str(tmp_path / "out")).collect()}
+    # 3 and 4 have no metadata in time and are told without, once the time is over; 99 still waits for its own.
+    assert rows == {"1": "early", "2": "after", "3": "Untitled", "4": "Untitled", "5": "before its raster", "6": "Untitled"}
