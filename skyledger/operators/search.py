@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skyledger.functions.dates import end_of_day, parse_timestamp
+from skyledger.schema import quoted
+from skyledger.session import scratch_path
 
 DEFAULT_LIMIT = 200
 PAGE_SIZE = 10
@@ -140,22 +143,62 @@ def legacy_hrefs(catalog: DataFrame, host: str) -> DataFrame:
     return catalog.where(F.col("cog_href").contains(host)).select("id", "cog_href")
 
 
-def number_pages(results: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Rank, page and remaining count of a result list already cut to its limit.
+def ranked(results: DataFrame, order: Sequence[Column] | None = None) -> tuple[DataFrame, int]:
+    """``results`` with their ``rank`` (from 1) in ``order``, newest first by default, and their number.
 
-    Meant for ``search`` results: the window has one partition, whose size is the
-    search limit. Pages of an unlimited result come from ``page_of``.
+    Rows are range-sorted and landed once with their place in their partition. The number of rows in each partition
+    comes to the driver, one for each partition, and gives the rank its partition starts behind. No task sees more than its range.
     """
-    ordered = Window.orderBy(*newest_first())
-    ranked = results.select("*", F.row_number().over(ordered).alias("rank"), F.count("*").over(
-        ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    spark = results.sparkSession
+    keys = list(order or newest_first())
+    landed = scratch_path(spark, "ranked")
+    # The whole row decides among equal keys, as far as it can be compared, so that equal keys spread as well.
+    rest = [F.col(quoted(f.name)) for f in results.schema if f.dataType.typeName() not in ("map", "variant")]
+    ordered = results.repartitionByRange(*keys, *rest).sortWithinPartitions(*keys, *rest)
+    ordered.withColumn("_row", F.monotonically_increasing_id()).write.parquet(landed)
+    rows = spark.read.parquet(landed)
+    part = F.shiftright("_row", 33)
+    counts = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    starts, total = [], 0
+    for count in counts:
+        starts.append((count.part, total))
+        total += count.n
+    offsets = spark.createDataFrame(starts, "_part bigint, _start bigint")
+    # As many rows as the sort had partitions.
+    placed = rows.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    rank = F.col("_start") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.select(*[F.col(quoted(c)) for c in results.columns], rank.alias("rank")), total
+
+
+def number_pages(results: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
+    """Rank, page and remaining count of a result of any size, newest first."""
+    rows, total = ranked(results)
     page = F.floor((F.col("rank") - 1) / page_size).cast("int") + 1
-    shown = F.least(page * page_size, F.col("total"))
-    return ranked.select(
-        "*", page.alias("page"), (F.col("total") - shown).cast("bigint").alias("remaining")
+    shown = F.least(page * page_size, F.lit(total))
+    return rows.select(
+        *[F.col(quoted(c)) for c in results.columns], F.col("rank").cast("int").alias("rank"), F.lit(total).cast("bigint").alias("total"),
+        page.alias("page"), (F.lit(total) - shown).cast("bigint").alias("remaining"),
     )
 
 
+def after_row(datetime: str | None, image_id: str | None) -> Column:
+    """Rows that come behind this one, newest first: the last row of a page gives the predicate of the next.
+
+    Plain comparisons, which reach the Parquet scan; ids stand once in a catalog.
+    """
+    when, image = F.col("datetime"), F.col("id")
+    behind = ((image > image_id) | image.isNull()) if image_id is not None else F.lit(False)
+    if datetime is None:
+        return when.isNull() & behind
+    return (when < datetime) | when.isNull() | ((when == datetime) & behind)
+
+
+def next_page(results: DataFrame, last: tuple[str | None, str | None] | None, page_size: int = PAGE_SIZE) -> DataFrame:
+    """The page behind the row ``last`` (datetime, id), or the first: a top-k of one page however deep it lies."""
+    rows = results if last is None else results.where(after_row(*last))
+    return rows.orderBy(*newest_first()).limit(page_size)
+
+
 def page_of(results: DataFrame, page: int, page_size: int = PAGE_SIZE) -> DataFrame:
     """One page, by distributed top-k with offset."""
     return results.orderBy(*newest_first()).offset((page - 1) * page_size).limit(page_size)
@@ -174,14 +217,16 @@ def visible_count(total: int, loads: int = 0, selected_index: int | None = None,
 def visible_rows(
     results: DataFrame, loads: int = 0, selected_id: str | None = None, page_size: int = PAGE_SIZE
 ) -> DataFrame:
-    """The rows shown, as ``visible_count`` but decided in the plan from the selected id."""
-    ranked = number_pages(results, page_size)
+    """The rows shown, as ``visible_count``; the selected id's rank is looked up first."""
+    rows = number_pages(results, page_size)
+    index = None
+    if selected_id is not None:
+        index = rows.where(F.col("id") == selected_id).agg(F.min("rank") - 1).first()[0]
+    return rows.where(F.col("rank") <= _shown(rows, loads, index, page_size))
+
+
+def _shown(rows: DataFrame, loads: int, index: int | None, page_size: int) -> Column:
     shown = F.lit(page_size)
     if loads:
         shown = F.when(F.col("total") > 0, F.least(F.lit(page_size * (loads + 1)), F.col("total")))
-    if selected_id is not None:
-        everything = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        index = F.min(F.when(F.col("id") == selected_id, F.col("rank") - 1)).over(everything)
-        ranked = ranked.select("*", index.alias("_index"))
-        shown = F.when(F.col("_index") >= shown, F.col("_index") + 5).otherwise(shown)
-    return ranked.where(F.col("rank") <= shown).drop("_index")
+    return shown if index is None else F.when(F.lit(index) >= shown, F.lit(index + 5)).otherwise(shown)

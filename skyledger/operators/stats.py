@@ -20,6 +20,24 @@ def catalog_stats(catalog: DataFrame) -> DataFrame:
     )
 
 
+def stats_partials(catalog: DataFrame, keys: list[str]) -> DataFrame:
+    """Numbers for each part (``keys``) and platform, from which ``merge_partials`` makes the statistics."""
+    return catalog.groupBy(*keys, "platform_type").agg(
+        F.count("*").alias("images"), F.min("datetime").alias("earliest"), F.max("datetime").alias("latest"),
+        F.sum("file_size").alias("bytes"),
+    )
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """``catalog_stats`` from the parts' numbers. The platforms themselves are kept, so that they are counted exactly."""
+    return partials.agg(
+        F.coalesce(F.sum("images"), F.lit(0)).cast("bigint").alias("total_images"),
+        F.min("earliest").alias("earliest"), F.max("latest").alias("latest"),
+        F.count_distinct("platform_type").alias("platform_count"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("total_size_bytes"),
+    )
+
+
 def catalog_summary(catalog: DataFrame) -> DataFrame:
     """One row: record count and first and last day."""
     return catalog.agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -10,13 +11,13 @@ from skyledger.functions import dates, geo, text
 from skyledger.functions.wkb import wkb_bounds
 from skyledger.operators import features, ingest, merge, raster, spatial_join, stats, status
 from skyledger.operators.search import (
-    SearchParams, get_item, legacy_hrefs, number_pages, page_of, search,
+    SearchParams, get_item, legacy_hrefs, next_page, number_pages, page_of, search,
 )
 from skyledger.plans import fixtures as fx
 from skyledger.plans.registry import query
 from skyledger.schema import CATALOG_SCHEMA, to_catalog_schema
 from skyledger.session import scratch_path
-from skyledger.sources import buckets, clustered, jobs
+from skyledger.sources import buckets, clustered, jobs, kept
 from skyledger.sources import catalog as store
 from skyledger.sources import pending as sidecars
 from skyledger.sources import records
@@ -138,6 +139,29 @@ def run_search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("id", "datetime", "rank", "page", "remaining")
 
 
+@query(
+    "search_all_pages",
+    """SELECT id, datetime, rank, CAST((rank - 1) // 10 + 1 AS INTEGER) AS page,
+      total - least(((rank - 1) // 10 + 1) * 10, total) AS remaining
+    FROM (SELECT id, datetime, CAST(row_number() OVER (ORDER BY datetime DESC, id) AS INTEGER) AS rank, count(*) OVER () AS total
+      FROM catalog) r""",
+    ("catalog",),
+)
+def run_search_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = number_pages(search(fx.catalog(spark, sf_dir), SearchParams(limit=None)))
+    return pages.select("id", "datetime", "rank", "page", "remaining")
+
+
+@query(
+    "search_next_page",
+    f"SELECT id, datetime FROM catalog WHERE datetime < '1997-03-01' OR (datetime = '1997-03-01' AND id > 'img-0000000100') {NEWEST} LIMIT 10",
+    ("catalog",),
+)
+def run_search_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = search(fx.catalog(spark, sf_dir), SearchParams(limit=None))
+    return next_page(results, ("1997-03-01", "img-0000000100")).select("id", "datetime")
+
+
 @query("search_page_3", f"SELECT id, datetime FROM catalog {NEWEST} LIMIT 10 OFFSET 20", ("catalog",))
 def run_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_of(search(fx.catalog(spark, sf_dir), SearchParams(limit=None)), 3).select("id", "datetime")
@@ -1354,6 +1378,51 @@ def run_sidecar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sidecars.read_pending(spark, path).select(*plain, wkb_bounds(F.col("geometry")).alias("around")).select(*plain, "around.*")
 
 
+def kept_catalog(spark: SparkSession, sf_dir: str) -> str:
+    """A catalog with postings and partial statistics, renewed where a merge has touched it."""
+    root = scratch_path(spark, "kept")
+    base, late = base_and_pending(spark, sf_dir)
+    buckets.write_buckets(merge.backfill_bbox(to_catalog_schema(base)), root, 8)
+    kept.renew(spark, root)
+    some = late.where(F.substring("id", 5, 10).cast("bigint") % 5 == 0)
+    kept.renew(spark, root, buckets.merge_buckets(some, root))
+    return root
+
+
+KEPT = """fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY uploaded_at DESC, title DESC NULLS LAST) AS rn
+    FROM (SELECT * FROM catalog UNION ALL BY NAME SELECT * FROM pending WHERE CAST(substr(id, 5) AS BIGINT) % 5 = 0) m) r WHERE rn = 1)"""
+
+
+@query(
+    "kept_stats",
+    """SELECT count(*) AS total_images, min(datetime) AS earliest, max(datetime) AS latest,
+      count(DISTINCT platform_type) AS platform_count, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS total_size_bytes
+    FROM fresh""",
+    ("catalog", "pending"), KEPT,
+)
+def run_kept_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept.kept_stats(spark, kept_catalog(spark, sf_dir))
+
+
+@query(
+    "search_text_kept",
+    """SELECT id, title, license, 'wildcards' AS how FROM fresh WHERE lower(title) LIKE '%0% mosaic_a%'
+    UNION ALL SELECT id, title, license, 'literal' FROM fresh WHERE contains(lower(title), '0% mosaic_a')
+    UNION ALL SELECT id, title, license, 'new' FROM fresh WHERE lower(title) LIKE '%urgent%v2%'
+    UNION ALL SELECT id, title, license, 'short' FROM fresh WHERE lower(title) LIKE '%v2%'
+    UNION ALL SELECT id, title, license, 'license' FROM fresh WHERE lower(license) LIKE '%cc-by-4.0%'""",
+    ("catalog", "pending"), KEPT,
+)
+def run_search_text_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = kept_catalog(spark, sf_dir)
+    wanted = {
+        "wildcards": ("0% Mosaic_A", "title", False), "literal": ("0% Mosaic_A", "title", True), "new": ("Urgent%v2", "title", False),
+        "short": ("V2", "title", False), "license": ("CC-BY-4.0", "license", False),
+    }
+    found = [kept.search_kept(spark, root, *how).select("id", "title", "license", F.lit(name).alias("how")) for name, how in wanted.items()]
+    return reduce(DataFrame.unionAll, found)
+
+
 @query("stream_merge", f"SELECT {FLAT}, {FILLED} FROM latest", ("catalog", "pending"), MERGED)
 def run_stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "merged")

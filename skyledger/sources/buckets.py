@@ -104,8 +104,8 @@ def _touched(rows: DataFrame, root: str, buckets: int) -> tuple[list[int], DataF
 
 def merge_buckets(
     rows: DataFrame, root: str, order: str = "id", buckets: int = BUCKETS, row_group: int = ROW_GROUP
-) -> int:
-    """Merge pending ``rows`` into the catalog; gives the number of buckets rewritten.
+) -> list[int]:
+    """Merge pending ``rows`` into the catalog; gives the buckets written, a number each.
 
     The pending rows are landed once, as they are read for their buckets and for the merge. Only partitions that hold
     one of their ids' buckets are listed, read and replaced; the files of all others stay. Merging the same rows again
@@ -116,15 +116,14 @@ def merge_buckets(
     rows.write.parquet(landed)
     late = spark.read.schema(rows.schema).parquet(landed)
     if late.isEmpty():
-        return 0
+        return []
     known = bucket_count(spark, root)
     if known is None:
         write_buckets(merge_catalog(empty_catalog(spark), late), root, buckets, order, row_group)
-        known = buckets
-        return known
+        return list(range(buckets))
     numbers, held = _touched(late, root, known)
     _write(merge_catalog(held, late, base_unique=True), root, known, "dynamic", order, row_group, WORLD)
-    return len(numbers)
+    return numbers
 
 
 def convert_buckets(spark: SparkSession, root: str, pattern: str, new_href: Column, order: str = "id") -> int:

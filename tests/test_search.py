@@ -1,12 +1,13 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from rows import catalog, ids, image
+from rows import catalog, ids, image, plan
 from skyledger.functions import dates
 from skyledger.operators.search import (
-    SearchParams, get_item, number_pages, page_of, search, visible_count, visible_rows,
+    SearchParams, get_item, newest_first, next_page, number_pages, page_of, search, visible_count, visible_rows,
 )
 
 
@@ -92,6 +93,33 @@ def test_pages(spark):
     assert len(ids(visible_rows(search(many), selected_id="i03"))) == 10
 
 
+def test_pages_of_any_result(spark):
+    draw = random.Random(8)
+    rows = [image(None if n % 50 == 0 else f"i{n:04}", (n % 9, 0, 1, 1), datetime=draw.choice([None, "2024-01-01", "2024-01-02", f"20{n % 90:02}"])) for n in range(700)]
+    rows += [image("same", datetime="2024")] * 30
+    results = search(catalog(spark, *rows), SearchParams(limit=None))
+    got = sorted(number_pages(results, 7).select("rank", "datetime", "id", "total", "page", "remaining").collect())
+    want = sorted(((r.datetime, r.id) for r in results.collect()), key=lambda r: ([-ord(c) for c in r[0]] + [1] if r[0] is not None else [9], r[1] is None, r[1] or ""))
+    assert [(r.datetime, r.id) for r in got] == want and [r.rank for r in got] == list(range(1, 731))
+    assert all(r.total == 730 and r.page == (r.rank - 1) // 7 + 1 and r.remaining == 730 - min(r.page * 7, 730) for r in got)
+    text = plan(number_pages(results))
+    assert "Window" not in text and "SinglePartition" not in text
+    assert number_pages(results.limit(0)).collect() == [] == visible_rows(results.limit(0)).collect()
+
+
+def test_next_page_reads_on_from_the_last_row(spark, tmp_path):
+    rows = [image(None if n == 7 else f"i{n:03}", datetime=[None, "2024-01-01", f"2023-{n:03}"][n % 3]) for n in range(60)]
+    results = search(catalog(spark, *rows), SearchParams(limit=None))
+    whole = [(r.datetime, r.id) for r in results.orderBy(*newest_first()).collect()]
+    seen, last = [], None
+    while page := [(r.datetime, r.id) for r in next_page(results, last, 7).collect()]:
+        seen, last = seen + page, page[-1]
+    assert seen == whole
+    catalog(spark, *rows).write.parquet(str(tmp_path / "c"))
+    text = plan(next_page(search(spark.read.parquet(str(tmp_path / "c")), SearchParams(limit=None)), ("2024-01-01", "i004")))
+    assert "TakeOrderedAndProject" in text and "LessThan(datetime,2024-01-01)" in text
+
+
 def test_presets_and_their_labels(spark):
     as_of = dt.date(2024, 3, 1)
     assert dates.date_preset("week", as_of) == ("2024-02-23", "2024-03-01")
