@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skyledger.functions import dates, geo, text
+from skyledger.functions import dates, geo, text, tiles, utm
 from skyledger.functions.wkb import wkb_bounds
 from skyledger.operators import features, ingest, merge, raster, spatial_join, stats, status
 from skyledger.operators.search import (
@@ -15,7 +15,7 @@ from skyledger.operators.search import (
 )
 from skyledger.plans import fixtures as fx
 from skyledger.plans.registry import query
-from skyledger.schema import CATALOG_SCHEMA, to_catalog_schema
+from skyledger.schema import CATALOG_SCHEMA, make_bbox, to_catalog_schema
 from skyledger.session import scratch_path
 from skyledger.sources import buckets, clustered, jobs, kept
 from skyledger.sources import catalog as store
@@ -709,6 +709,82 @@ def run_tile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.explode_tiles(fx.catalog(spark, sf_dir).select("id", "bbox"), 6).select("id", "z", "x", "y")
 
 
+PYRAMID = """edges AS (SELECT id, (bbox_xmin + 180) / 360 AS w, (bbox_xmax + 180) / 360 AS e,
+    (1 - ln(tan(radians(bbox_ymax)) + 1 / cos(radians(bbox_ymax))) / pi()) / 2 AS n,
+    (1 - ln(tan(radians(bbox_ymin)) + 1 / cos(radians(bbox_ymin))) / pi()) / 2 AS s FROM wide),
+deep AS (SELECT *, CAST(least(14, 3 + least(14, floor(-log2(greatest(e - w, s - n))))) AS INTEGER) AS deepest FROM edges),
+grids AS (SELECT *, CAST(1 << z AS DOUBLE) AS size FROM (SELECT *, unnest(range(0, deepest + 1)) AS z FROM deep) d),
+touched AS (SELECT *, unnest(range(CAST(least(size - 1, floor(w * size)) AS BIGINT), CAST(least(size - 1, floor(e * size)) AS BIGINT) + 1)) AS x FROM grids),
+cells AS (SELECT *, unnest(range(CAST(least(size - 1, floor(n * size)) AS BIGINT), CAST(least(size - 1, floor(s * size)) AS BIGINT) + 1)) AS y FROM touched),
+kept_cells AS (SELECT id, z, x, y, deepest, x >= w * size AND x + 1 <= e * size AND y >= n * size AND y + 1 <= s * size AS whole FROM cells
+  WHERE z = 0 OR NOT (x >> 1 >= w * size / 2 AND (x >> 1) + 1 <= e * size / 2 AND y >> 1 >= n * size / 2 AND (y >> 1) + 1 <= s * size / 2)),
+wide AS (SELECT 0)"""
+WIDE = """wide AS (SELECT id, bbox_xmin, bbox_ymin, CASE WHEN k % 300 = 0 THEN least(bbox_xmin + 50 + k % 90, 180) ELSE bbox_xmax END AS bbox_xmax,
+    CASE WHEN k % 300 = 0 THEN least(bbox_ymin + 20 + k % 50, 85) ELSE bbox_ymax END AS bbox_ymax
+  FROM (SELECT *, CAST(substr(id, 5) AS BIGINT) AS k FROM catalog) c WHERE bbox_xmin IS NOT NULL AND k % 4 = 0)"""
+PYRAMID = WIDE + ",\n" + PYRAMID.replace(",\nwide AS (SELECT 0)", "")
+
+
+@query(
+    "tile_pyramid",
+    """SELECT id, CAST(z AS INTEGER) AS z, count(*) AS tiles, count(*) FILTER (whole) AS whole, count(*) FILTER (whole OR z = deepest) AS leaves,
+      CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y, CAST(sum(x * y) AS BIGINT) AS sum_xy FROM kept_cells GROUP BY id, z""",
+    ("catalog",), PYRAMID,
+)
+def run_tile_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the footprints, of which one in 75 is as large as a country."""
+    k, box = F.substring("id", 5, 10).cast("bigint"), F.col("bbox")
+    grown = make_bbox(
+        box["xmin"], box["ymin"], F.least(box["xmin"] + 50 + k % 90, F.lit(180.0)), F.least(box["ymin"] + 20 + k % 50, F.lit(85.0))
+    )
+    wide = fx.catalog(spark, sf_dir).where((k % 4 == 0) & box.isNotNull()).select("id", F.when(k % 300 == 0, grown).otherwise(box).alias("bbox"))
+    rows = tiles.tile_pyramid(wide, detail=3)
+    x, y = F.col("x").cast("bigint"), F.col("y").cast("bigint")
+    return rows.groupBy("id", "z").agg(
+        F.count("*").alias("tiles"), F.count_if("whole").alias("whole"), F.count_if("leaf").alias("leaves"),
+        F.sum(x).alias("sum_x"), F.sum(y).alias("sum_y"), F.sum(x * y).alias("sum_xy"),
+    )
+
+
+def utm_sql(x: str, y: str) -> str:
+    """Longitude and latitude of a UTM position in ``zone``, north or ``south``."""
+    xi, eta = f"(({y}) - CASE WHEN south THEN 10000000.0 ELSE 0.0 END) / {utm.RADIUS_M!r}", f"(({x}) - 500000.0) / {utm.RADIUS_M!r}"
+    beta = [f"{b!r}" for b in utm.BETA]
+    xi1 = "xi" + "".join(f" - {b} * sin({2 * j} * xi) * (exp({2 * j} * eta) + exp(-{2 * j} * eta)) / 2" for j, b in enumerate(beta, 1))
+    eta1 = "eta" + "".join(f" - {b} * cos({2 * j} * xi) * (exp({2 * j} * eta) - exp(-{2 * j} * eta)) / 2" for j, b in enumerate(beta, 1))
+    lat = "chi" + "".join(f" + {d!r} * sin({2 * j} * chi)" for j, d in enumerate(utm.DELTA, 1))
+    return f"""SELECT upload_key, zone * 6 - 183 + degrees(atan2((exp(eta1) - exp(-eta1)) / 2, cos(xi1))) AS lon, degrees({lat}) AS lat
+      FROM (SELECT *, asin(sin(xi1) / ((exp(eta1) + exp(-eta1)) / 2)) AS chi
+      FROM (SELECT *, {xi1} AS xi1, {eta1} AS eta1 FROM (SELECT *, {xi} AS xi, {eta} AS eta FROM sides) a) b) c"""
+
+
+UTM = f"""rasters AS (SELECT upload_key, 1 + upload_key % 60 AS zone, upload_key % 2 = 1 AS south,
+    180000.0 + upload_key * 9973 % 600000 AS x0, CASE WHEN upload_key % 2 = 1 THEN 1200000.0 ELSE 0.0 END + upload_key * 7817 % 8700000 AS y0,
+    (100 + upload_key % 900) * 20.0 AS w, (100 + upload_key % 700) * 20.0 AS h FROM raster_meta),
+steps AS (SELECT *, CAST(i AS DOUBLE) / 21 AS t FROM (SELECT *, unnest(range(0, 22)) AS i FROM rasters) r),
+sides AS (SELECT upload_key, zone, south, x0 + w * t AS px, y0 AS py FROM steps UNION ALL SELECT upload_key, zone, south, x0 + w * t, y0 + h FROM steps
+  UNION ALL SELECT upload_key, zone, south, x0, y0 + h * t FROM steps UNION ALL SELECT upload_key, zone, south, x0 + w, y0 + h * t FROM steps),
+spots AS ({utm_sql("px", "py")})"""
+
+
+@query(
+    "utm_bounds",
+    """SELECT upload_key, round(min(lon), 6) AS xmin, round(min(lat), 6) AS ymin, round(max(lon), 6) AS xmax, round(max(lat), 6) AS ymax
+    FROM spots GROUP BY upload_key""",
+    ("raster_meta",), UTM,
+)
+def run_utm_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters of 20 m pixels in all zones, north and south."""
+    key = F.col("upload_key")
+    rasters = fx.raster_meta(spark, sf_dir).select(
+        "upload_key", (F.when(key % 2 == 1, 32701).otherwise(32601) + key % 60).alias("epsg"),
+        (180000.0 + key * 9973 % 600000).alias("x0"), (F.when(key % 2 == 1, 1200000.0).otherwise(0.0) + key * 7817 % 8700000).alias("y0"),
+        ((100 + key % 900) * 20.0).alias("w"), ((100 + key % 700) * 20.0).alias("h"),
+    )
+    bounds = utm.projected_bounds(F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h"), F.col("epsg"))
+    return rasters.withColumn("bounds", bounds).select("upload_key", *rounded("bounds"))
+
+
 # --- ingest ---------------------------------------------------------------------------
 
 REASON = """CASE WHEN bands IS NULL OR width IS NULL OR height IS NULL OR file_size IS NULL THEN 'Image metadata missing'
