@@ -4,17 +4,18 @@ Words become classes: insult, threat, target, negation, reported speech, other.
 read the classes of a clause and put out a factor for each word: an insult is full only where
 it isn't negated or reported, a threat only with a target in the clause, before or behind it, and a target
 before it strengthens an insult. What a threat weighs is put out late: its weight is held until a target or the end of
-the clause is read. They are composed into one table, and a clause's weight
+the clause is read. A negation may be a word or the end of one (``aren't``, ``n'es``). A colon ends a clause, but not one with a verb of
+reporting, which reaches over it. They are composed into one table, and a clause's weight
 is the sum of its words' weights times their factors. A logistic function of the weights
 of all matched clauses, fitted on labels, is the document's score.
 
 Insults are learned: whole words and stems (first 4 to 7 letters) that are far more frequent in
 toxic than in other labelled texts. Threats, targets, negations and verbs of reporting are closed
-classes, given as fixed values.
+classes, given as fixed values; threats are stems with the endings of their language.
 
 Only texts are inputs of a score. Labels are learned from at most ``SAMPLE`` rows with
 crc32(doc_id as text) mod ``FOLDS`` other than ``HELD``, in the order of a hash of ``doc_id``;
-equal texts count once. A null text counts as empty and is scored like any other; a null ``doc_id`` is
+equal texts count once, as 0 if their labels differ, so no order of rows matters. A null text counts as empty and is scored like any other; a null ``doc_id`` is
 never learned from and not held out. With labels of one class only, or none, all scores are the
 share of ones, or 0.5. Repeated rows give repeated results.
 """
@@ -37,20 +38,28 @@ FOLDS, HELD = 3, 1
 SAMPLE = 30_000
 THRESHOLD = 0.7
 STEMS = range(4, 8)
-MOST_ENTRIES = 5_000
-LEAST_SHARE, LEAST_ODDS = 0.01, 2.5  # of the toxic texts that hold an entry; log of the odds against other texts
+#: Of the toxic texts that hold an entry; log of the odds against other texts. The share bounds the entries: a hundred for each
+#: word and stem that a toxic text of the sample has on average.
+LEAST_SHARE, LEAST_ODDS = 0.01, 2.5
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
-# The closed word classes.
+# The closed word classes, and stems of threats with the endings they take in their language.
 CLOSED = {
-    THREAT: "kill hurt destroy murder beat stab shoot hang töten umbringen schlagen tuer frapper détruire matar golpear destruir",
     TARGET: "you your yours yourself u he him his she her they them du dich dir dein ihr euch tu te toi vous tú ti usted ustedes",
-    NEGATION: "not no never neither nor without nicht kein keine nie niemals ne pas jamais sans nunca jamás sin",
+    NEGATION: "not no never neither nor without cannot nicht kein keine nie niemals ne pas jamais sans nunca jamás sin n't n'",
     REPORT: "said says wrote quoted reported called claimed sagte schrieb zitierte berichtete dit écrit cité dijo escribió citó",
 }
-
-_PARTS = re.compile(r"[^\W\d_]+|[.!?;:\n]")
+THREATS = [
+    ("kill hurt destroy murder beat stab stabb shoot hang", "- s ed ing"),
+    ("töt umbring schlag schläg schlug verprügel", "- e en n est st et t"),
+    ("tu frapp cogn", "e es er ez ons erai era erons ant é"),
+    ("détrui", "re s t rai ra sant"),
+    ("mat golpe", "ar o as a an aré ará arte aros ando"),
+    ("destru", "ir yo yes ye iré irá irte yendo"),
+]
+
+_PARTS = re.compile(r"[^\W\d_]+(?=n['’]t\b)|n['’]t\b|\bn['’]|[^\W\d_]+|[.!?;:\n]")
 _ENDS = frozenset(".!?;:\n")
 _LETTERS = r"[^\p{L}]+"
 
@@ -102,13 +111,19 @@ def targeted(bonus: float = 1.25, untargeted: float = 0.1) -> Transducer:
 GRAMMAR = targeted().compose(negation()).compose(reported())
 
 
+def closed_words() -> dict[str, int]:
+    """Every word of a closed class and its class; of two classes the one listed first in ``CLOSED``, threats last."""
+    words = {w: THREAT for stems, ends in THREATS for stem in stems.split() for end in ends.split() for w in [stem + end.strip("-")]}
+    return words | {w: c for c, listed in CLOSED.items() for w in listed.split()}
+
+
 @dataclass
 class Lexicon:
     """Class and weight of words; insults are entries (whole words) and stems."""
 
     entries: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
-    closed: dict[str, int] = field(default_factory=lambda: {w: c for c, words in CLOSED.items() for w in words.split()})
+    closed: dict[str, int] = field(default_factory=closed_words)
 
     def __post_init__(self):
         self.memo = Memo(self._look_up)
@@ -129,7 +144,7 @@ class Lexicon:
         if found:
             weight, entry = max(found)
             return (INSULT, weight, entry)
-        kind = self.closed.get(word)
+        kind = self.closed.get(word.replace("’", "'"))
         return None if kind is None else (kind, 2.0 if kind == THREAT else 0.0, word)
 
 
@@ -140,17 +155,20 @@ def clause_weights(text: str, lexicon: Lexicon) -> tuple[list[float], int]:
     weights, matched, table, final = [], set(), GRAMMAR.table, GRAMMAR.final
     if not any(x is not None and x[0] in (INSULT, THREAT) for x in looked):
         return weights, 0
-    state, weight, held, hit = 0, 0.0, 0.0, False
+    state, weight, held, hit, said = 0, 0.0, 0.0, False, False
     for x in looked:
         if x is None:
             state = table[state][OTHER][0]
             continue
         kind, value, entry = x
         if kind == -1:
+            if entry == ":" and said:
+                continue
             if hit:
                 weights.append(weight + final[state] * held)
-            state, weight, held, hit = 0, 0.0, 0.0, False
+            state, weight, held, hit, said = 0, 0.0, 0.0, False, False
             continue
+        said |= kind == REPORT
         state, factor = table[state][kind]
         if kind == TARGET:
             weight, held = weight + held, 0.0
@@ -175,7 +193,7 @@ def measures(text: str, lexicon: Lexicon) -> tuple[float, float, float]:
 
 def learn_lexicon(labelled: DataFrame) -> Lexicon:
     """From ``text`` and ``label``: per label, the texts that hold each word or stem, counted by Spark."""
-    once = labelled.dropDuplicates(["text"])
+    once = labelled.groupBy("text").agg(F.min("label").alias("label"))
     totals = {r.label: r.n for r in once.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
@@ -193,7 +211,7 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
     )
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     # An entry of each class has at least that share of the toxic texts.
-    top = counted.withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), "entry").limit(MOST_ENTRIES).collect()
+    top = counted.withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).collect()
     lexicon = Lexicon()
     for r in top:
         (lexicon.stems if r.entry.startswith("^") else lexicon.entries)[r.entry.removeprefix("^")] = float(r.odds)

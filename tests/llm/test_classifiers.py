@@ -125,3 +125,67 @@ def test_composition_multiplies_factors():
         state, factor = both.table[state][kind]
         total.append(factor)
     assert total == [1, 1, pytest.approx(0.3), 1, pytest.approx(0.6)]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("you aren't an idiot", [3.0 * 1.25 * 0.5]), ("you AREN’T an idiot", [3.0 * 1.25 * 0.5]), ("I won't kill you", [1.0]), ("I cannot kill you", [1.0]),
+        ("tu n'es pas un idiot", [3.0 * 1.25 * 0.5]), ("il n’est idiot", [1.5]), ("je ne vais pas te frapper", [1.0]), ("no voy a matarte a ti", [1.0]),
+        ("nunca idiot", [1.5]), ("ich werde dich nicht töten", [1.0]), ("du bist kein idiot", [3.0 * 1.25 * 0.5]), ("l'idiot", [3.0]), ("can nt idiot", [3.0]),
+        ("he said: you are an idiot", [3.0 * 1.25 * 0.6]), ("she wrote: “idiot”", [3.0 * 1.25 * 0.6]), ("note: idiot", [3.0]), ("he said. idiot", [3.0]),
+        ("er sagte: idiot", [1.8]), ("il a dit: idiot", [1.8]), ("dijo: idiot", [1.8]), ("he said: fine. you idiot", [3.0 * 1.25]),
+        ("killing you", [2.0]), ("they killed him", [2.0]), ("er tötet dich", [2.0]), ("je tuerai vous", [2.0]), ("mataré a ustedes", [2.0]),
+        ("tu es là", []), ("a hangar, a mate, the material", []),
+    ],
+)
+def test_contractions_colons_and_forms(text, want):
+    assert weight(text) == [pytest.approx(w) for w in want]
+
+
+def by_rules(words):
+    """Weights of the clauses, each word judged from the words before and behind it."""
+    clauses, clause = [], []
+    for word in [*words, "."]:
+        if word == "." or (word == ":" and "said" not in clause):
+            clauses.append(clause)
+            clause = []
+        elif word != ":":
+            clause.append(word)
+    out = []
+    for clause in clauses:
+        total, hit = 0.0, False
+        for i, word in enumerate(clause):
+            if word not in ("idiot", "kill"):
+                continue
+            hit = True
+            value = {"idiot": 3.0, "kill": 2.0}[word]
+            value *= 0.5 if "not" in clause[max(0, i - 3) : i] else 1
+            value *= 0.6 if "said" in clause[:i] else 1
+            if word == "idiot":
+                value *= 1.25 if "you" in clause[:i] else 1
+            else:
+                value *= 1 if "you" in clause else 0.1
+            total += value
+        if hit:
+            out.append(total)
+    return out
+
+
+def test_grammar_equals_its_rules():
+    draw = np.random.default_rng(3)
+    vocabulary = ["idiot", "kill", "you", "not", "said", "word", "other", ".", ":"]
+    for _ in range(4_000):
+        words = list(draw.choice(vocabulary, draw.integers(0, 14)))
+        assert weight(" ".join(words)) == [pytest.approx(w) for w in by_rules(words)], words
+
+
+def test_learned_words_do_not_depend_on_the_order_of_rows(spark):
+    texts = ["slime number", "slime number", "slime", "number", "quiet day", "quiet day", "a day", "slime pit", "slime bog", "number one"] * 3
+    labels = [1, 0, 1, 1, 0, 1, 0, 1, 1, 0] * 3
+    rows = list(zip(texts, labels))
+    made = [
+        toxicity.learn_lexicon(spark.createDataFrame(order, "text string, label int").repartition(n))
+        for order, n in ((rows, 1), (rows[::-1], 3))
+    ]
+    assert (made[0].entries, made[0].stems) == (made[1].entries, made[1].stems)
