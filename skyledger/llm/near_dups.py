@@ -2,8 +2,9 @@
 
 1. One pass makes each document's set of word shingles and its signature. Two permutations
    serve for all coordinates: the first places shingle hashes in a ring of ``RING`` slots, the
-   second is a random table over the ring; coordinate k is the least value that the table, shifted by k,
-   has at the document's slots. So a shingle's values are ``COORDINATES`` neighbours in the table.
+   second is a random table over the ring; coordinate k is the shingle whose slot has the least value in the table, shifted by k.
+   So a shingle's values are ``COORDINATES`` neighbours in the table. Of shingles in one slot the one with
+   the least hash stands for it, so sets that fill the ring still differ.
 2. Rows with equal sets form a class with the smallest ``doc_id`` as representative; only
    representatives go on. Banding gives buckets of representatives.
 3. Each bucket's members are compared with its smallest one: full sets, exact Jaccard. Links give
@@ -12,6 +13,10 @@
    of ``BLOCK`` members against each other; tasks return only the links that join components. So no
    link between members of a bucket is lost, and no bucket is one task or a list of all pairs.
 
+Hot keys: a class, bucket or hub with more than a ``SHARE``-th of a table's rows (there are fewer than ``SHARE`` of them)
+is looked up by a broadcast of that bounded list, all others by a join on the key; and the pairs of such a pivot are dealt to
+several groups, each with one copy of its text.
+
 At a similarity of 0.85 a pair shares no bucket with probability (1 - 0.85^7)^34 = 2e-6.
 
 Definitions: A-Z in lower case; words are ``[^\\x20\\x09-\\x0D]+``; a set holds the different shingles of
@@ -40,6 +45,7 @@ BANDS, ROWS = 34, 7
 COORDINATES = BANDS * ROWS
 RING = 1 << 20
 BLOCK = 256
+SHARE = 1000
 SEED = 5
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -70,21 +76,28 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
 _tables: list[np.ndarray] = []
 
 
-def ring_rows() -> np.ndarray:
-    """Row s: the table's values at the slots s, s + 1, ... for all coordinates."""
+def ring_rows() -> tuple[np.ndarray, np.ndarray]:
+    """Row s: the table's values at the slots s, s + 1, ... for all coordinates; and the slot of each value."""
     if not _tables:
         table = np.random.default_rng(SEED).permutation(RING).astype(np.int32)
         _tables.append(np.lib.stride_tricks.sliding_window_view(np.r_[table, table[:COORDINATES]], COORDINATES))
-    return _tables[0]
+        _tables.append(np.argsort(table).astype(np.int64))
+    return _tables[0], _tables[1]
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    slots = np.unique((found * _ODD) >> np.uint64(64 - RING.bit_length() + 1)).astype(np.int64)
-    rows, least = ring_rows(), None
+    """For each coordinate the hash of the shingle that comes first in its order."""
+    slot = ((found * _ODD) >> np.uint64(64 - RING.bit_length() + 1)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    slot = slot[order]
+    starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+    slots, first = slot[starts], np.minimum.reduceat(mixed(found[order] + _ODD), starts)
+    (rows, place), least = ring_rows(), None
     for at in range(0, len(slots), 1024):
         low = rows[slots[at : at + 1024]].min(axis=0)
         least = low if least is None else np.minimum(least, low)
-    return least
+    chosen = (place[least] - np.arange(COORDINATES)) % RING
+    return first[np.searchsorted(slots, chosen)]
 
 
 def band_hashes(sign: np.ndarray) -> np.ndarray:
@@ -133,24 +146,53 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: int = SIMILARITY) -> bool:
     return 100 * shared >= similarity * (len(a) + len(b) - shared)
 
 
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns that ``found`` has for their key; ``found`` has each key once, with ``n``, its number of ``rows``.
+
+    Keys with more than a ``SHARE``-th of ``total`` rows are fewer than ``SHARE``, and are broadcast; the rest is joined on the key.
+    ``n`` is not kept.
+    """
+    limit = max(1, total // SHARE)
+    hot = F.broadcast(found.where(F.col("n") > limit).drop("n"))
+    rest = found.where(F.col("n") <= limit).drop("n")
+    few = hot.select(*keys)
+    return rows.join(hot, keys, "inner").unionByName(rows.join(F.broadcast(few), keys, "left_anti").join(rest, keys, how))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
-    """The pairs (``a``, ``b``) that are links by their full sets."""
+    """The pairs (``a``, ``b``) that are links by their full sets.
+
+    The texts of ``b`` travel to groups of one ``a`` and a share of its pairs, where one copy of ``a``'s text comes first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        pivot: int | None = None
+        held: list[np.ndarray] = []  # an id that several rows share has several texts
         for batch in batches:
             right = []
-            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                if x != last[0]:  # a pivot's rows often follow each other
-                    last = (x, shingles(x, width))
-                right.append(alike(last[1], shingles(y, width), similarity))
-            pairs = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
-            yield pairs.filter(pa.array(right, pa.bool_()))
-
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(other, "b").select("a", "b", "text_a", "text_b")
-    return map_in_arrow(both, run, "a bigint, b bigint")
+            for a, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text")), strict=True):
+                if b is None:
+                    held = [*held, shingles(text, width)] if a == pivot else [shingles(text, width)]
+                    pivot = a
+                    right.append(False)
+                else:
+                    own = shingles(text, width)
+                    right.append(any(alike(x, own, similarity) for x in held))
+            rows = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
+            yield rows.filter(pa.array(right, pa.bool_()))
+
+    pairs = stored(pairs, "pairs")
+    total = pairs.count()
+    share = max(1, total // SHARE)
+    # A hot pivot's pairs go to several groups, as many as it has shares; there are fewer than ``SHARE`` such pivots.
+    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share).select("a", F.ceil(F.col("n") / share).alias("groups"))
+    group = F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1).cast("bigint")))
+    dealt = stored(pairs.join(F.broadcast(hot), "a", "left").select("a", "b", group.alias("part")), "dealt")
+    other = dealt.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "part", "b", "text")
+    heads = dealt.select("a", "part").distinct().join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
+    met = heads.select("a", "part", F.lit(None).cast("bigint").alias("b"), "text").unionByName(other)
+    sorted_ = met.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    return map_in_arrow(sorted_.select("a", "b", "text"), run, "a bigint, b bigint")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -166,10 +208,12 @@ def components(links: DataFrame) -> DataFrame:
     before = mark(edges)
     while before.n:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        # A hub of very many neighbours is one key: ``n`` tells it apart.
+        least = both.groupBy("u").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "v").alias("m"), "n")
+        large = looked_up(both.where("v > u"), least, ["u"], before.n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(large, "stars")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = looked_up(large, low, ["u"], before.n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = stored(small.where("u > v").distinct(), "edges")
         now = mark(edges)
         if now == before:
@@ -182,23 +226,24 @@ def components(links: DataFrame) -> DataFrame:
 def buckets(signed: DataFrame) -> DataFrame:
     """``bucket``, ``pivot`` (smallest member) and ``member`` of the buckets with several members; of equal buckets only one."""
     rows = signed.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("member"))
+    total = BANDS * signed.count()
     # Most buckets have one member, so this aggregate carries as little as it can.
-    several = (
-        rows.groupBy("bucket").agg(F.min("member").alias("pivot"), F.max("member").alias("last"))
-        .where(F.col("pivot") < F.col("last")).select("bucket", "pivot")
+    several = stored(
+        rows.groupBy("bucket").agg(F.min("member").alias("pivot"), F.max("member").alias("last"), F.count(F.lit(1)).alias("n"))
+        .where(F.col("pivot") < F.col("last")).select("bucket", "pivot", "n"), "several",
     )
-    return different(stored(rows.join(several, "bucket").select("bucket", "pivot", "member"), "buckets"))
+    return different(stored(looked_up(rows, several, ["bucket"], total).select("bucket", "pivot", "member"), "buckets"))
 
 
 def different(members: DataFrame) -> DataFrame:
-    """``members`` (``bucket``, ``member`` and more) without buckets that hold the same members as another."""
+    """``members`` (``bucket``, ``member`` and more, stored) without buckets that hold the same members as another."""
     # Sums of hashes tell the member lists of buckets apart.
     lists = members.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("member"), 20)).alias("s1"),
         F.bit_xor(F.xxhash64(F.lit(1), "member")).alias("s2"),
     )
-    one = lists.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return members.join(one, "bucket")
+    one = stored(lists.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "different")
+    return looked_up(members, one, ["bucket"], members.count())
 
 
 def cross_links(members: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
@@ -207,8 +252,8 @@ def cross_links(members: DataFrame, texts: DataFrame, width: int, similarity: in
     A bucket's members are dealt into blocks; each pair of blocks is a group of at most about
     2 * ``BLOCK`` rows. A group returns links until its members' components are joined.
     """
-    sized = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sized, "bucket").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    sized = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
+    dealt = looked_up(members, sized, ["bucket"], members.count()).withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     paired = dealt.select("bucket", "member", "component", "block", F.explode(others).alias("other"))
     grouped = paired.select(
@@ -244,9 +289,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     """A row for each row of ``docs``: ``doc_id``, ``n_shingles``, ``class_id``, ``component_id``, ``kept``."""
     signed = stored(signatures(docs, width), "signed")
     linked = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = linked.groupBy("n_shingles", "c1", "c2").agg(F.min("doc_id").alias("class_id"))
-    # The class is joined by value: a class of very many copies is one row on this side.
-    classed = stored(linked.join(classes, ["n_shingles", "c1", "c2"]).select("doc_id", "n_shingles", "class_id", "bands"), "classed")
+    key, total = ["n_shingles", "c1", "c2"], linked.count()
+    classes = stored(linked.groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")), "classes")
+    classed = stored(looked_up(linked, classes, key, total).select("doc_id", "n_shingles", "class_id", "bands"), "classed")
     members = stored(buckets(classed.where("doc_id = class_id").select("doc_id", "bands").distinct()), "members")
     texts = stored(some_texts(docs, members.select(F.col("member").alias("doc_id")).distinct()), "texts")
     stars = members.where("member > pivot").select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct()
@@ -254,18 +299,23 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     found = components(links)
 
     # The pivots' pairs are done; the others of a bucket may still be in several components.
-    others = members.where("member > pivot").join(found.withColumnRenamed("node", "member"), "member", "left").select(
-        "bucket", "member", F.coalesce("component", "member").alias("component")
-    )
-    open_ = others.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    left = different(stored(others.join(open_, "bucket"), "open"))
+    others = stored(
+        members.where("member > pivot").join(found.withColumnRenamed("node", "member"), "member", "left").select(
+            "bucket", "member", F.coalesce("component", "member").alias("component")
+        ), "others",
+    )
+    spans = others.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
+    open_ = stored(spans.where("x < y").select("bucket", "n"), "open")
+    left = different(stored(looked_up(others, open_, ["bucket"], others.count()), "left"))
     more = stored(cross_links(left, texts, width, similarity), "links")
     if more.take(1):
         found = components(links.unionAll(more))
 
-    placed = classed.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(
-        "doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id")
+    sizes = classes.groupBy("class_id").agg(F.sum("n").alias("n"))
+    reached = sizes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(
+        "class_id", F.coalesce("component", "class_id").alias("component_id"), "n"
     )
+    placed = looked_up(classed, stored(reached, "reached"), ["class_id"], total).select("doc_id", "n_shingles", "class_id", "component_id")
     alone = signed.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select(
         "doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")
     )

@@ -2,6 +2,8 @@ import random
 
 import corpus
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from skyledger.llm import near_dups
 
@@ -84,3 +86,53 @@ def test_signatures_estimate_similarity():
 def test_long_text(spark):
     text = " ".join(f"w{i % 7001}" for i in range(60_000))
     check(spark, [(2, text), (1, text + " end"), (3, "short")])
+
+
+def test_texts_that_fill_the_ring_share_no_bands():
+    draw = np.random.default_rng(4)
+    a, b = (np.unique(draw.integers(0, 1 << 63, 3_000_000).astype(np.uint64)) for _ in range(2))
+    x, y = near_dups.signature(a), near_dups.signature(b)
+    assert (x == y).sum() == 0 and not set(near_dups.band_hashes(x)) & set(near_dups.band_hashes(y))
+    near = np.unique(np.r_[a[60_000:], b[:60_000]])
+    assert np.mean(x == near_dups.signature(near)) > 0.9
+
+
+@pytest.fixture
+def without_help(spark):
+    """No broadcast by size, no adaptive split of skewed partitions."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.enabled": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def rows_of_tasks(df):
+    counts = sorted(r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect())
+    return counts[len(counts) // 2], counts[-1]
+
+
+def test_one_hot_key_is_spread(spark, without_help):
+    rows = spark.range(300_000).select(F.when(F.col("id") < 250_000, 7).otherwise(F.col("id")).alias("key"), F.col("id").alias("row")).repartition(16, "row")
+    found = rows.groupBy("key").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n"))
+    joined = near_dups.looked_up(rows, found, ["key"], 300_000)
+    median, most = rows_of_tasks(joined)
+    assert joined.count() == 300_000 and joined.columns == ["key", "row", "least"]
+    assert most <= 4 * max(median, 300_000 // 16)
+    assert joined.where("least <> IF(row < 250000, 0, row)").count() == 0
+
+
+def test_one_hub_keeps_its_component(spark, without_help):
+    links = spark.range(1, 60_000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).unionAll(spark.range(1).select((F.col("id") + 70_000).alias("a"), (F.col("id") + 70_001).alias("b")))
+    found = near_dups.components(links)
+    assert {tuple(r) for r in found.groupBy("component").count().collect()} == {(0, 60_000), (70_000, 2)}
+
+
+def test_a_hot_pivots_pairs_go_to_many_groups(spark, without_help, monkeypatch):
+    monkeypatch.setattr(near_dups, "SHARE", 20)
+    texts = spark.range(2_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 == 4, "q r s t u v").otherwise("a b c d e f").alias("text"))
+    pairs = spark.range(1, 2_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    linked = near_dups.confirmed(pairs, texts, 5, 85)
+    assert sorted(r.b for r in linked.collect()) == [i for i in range(1, 2_001) if i % 5 != 4]
