@@ -1049,12 +1049,13 @@ def sample_sql() -> str:
           CAST(1 + floor({md5_draw(15)} * 48) AS BIGINT) AS later FROM orders) a) b"""
 
 
-@query("sample_catalog", sample_sql())
+@query("sample_catalog", f"SELECT *, xmin AS wkb_xmin, ymin AS wkb_ymin, xmax AS wkb_xmax, ymax AS wkb_ymax FROM ({sample_sql()}) made")
 def run_sample_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = fx.table(spark, sf_dir, "orders").select("o_orderkey")
-    rows = sample_catalog(keys, "o_orderkey", AS_OF, BASE_URL, geometry=False)
+    rows = sample_catalog(keys, "o_orderkey", AS_OF, BASE_URL).withColumn("around", wkb_bounds(F.col("geometry")))
     plain = [n for n in CATALOG_SCHEMA.names if n not in ("geometry", "bbox")]
-    return rows.select(*plain, *rounded("bbox", 9))
+    drawn = [c.alias(f"wkb_{n}") for n, c in zip(EDGES, rounded("around", 9), strict=True)]
+    return rows.select(*plain, *rounded("bbox", 9), *drawn)
 
 
 # --- rasters --------------------------------------------------------------------------
@@ -1499,6 +1500,23 @@ def run_search_text_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionAll, found)
 
 
+@query(
+    "upload_metadata",
+    """SELECT CAST(upload_key AS VARCHAR) AS upload_id, CASE WHEN upload_key % 40 <> 0 THEN title END AS title,
+      CASE WHEN upload_key % 40 <> 0 THEN platform END AS platform, CASE WHEN upload_key % 40 <> 0 THEN license END AS license
+    FROM upload_meta WHERE upload_key % 10 = 0""",
+    ("upload_meta",),
+)
+def run_upload_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth upload's metadata as a JSON file in a folder of its own, one in four of them unreadable."""
+    path, key = scratch_path(spark, "staging"), F.col("upload_key")
+    text_of = F.when(key % 40 == 0, F.lit('{"title": ')).otherwise(F.to_json(F.struct("title", "platform", "license")))
+    rows = fx.upload_meta(spark, sf_dir).where(key % 10 == 0).select(key.alias("upload"), text_of.alias("value"))
+    rows.repartition("upload").write.partitionBy("upload").text(path)
+    read = records.read_upload_metadata(spark, path, "part-*.txt")
+    return read.select(F.regexp_replace("upload_id", "^upload=", "").alias("upload_id"), "title", "platform", "license")
+
+
 @query("stream_merge", f"SELECT {FLAT}, {FILLED} FROM latest", ("catalog", "pending"), MERGED)
 def run_stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "merged")

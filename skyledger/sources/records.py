@@ -29,8 +29,8 @@ def parse_pages(pages: DataFrame, column: str = "page") -> DataFrame:
     return pages.select(F.from_json(column, PAGE_SCHEMA).alias("_page")).select(F.inline("_page.results"))
 
 
-def read_upload_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """User metadata from ``staging/<id>/meta.json`` files.
+def read_upload_metadata(spark: SparkSession, path: str, names: str = "meta.json") -> DataFrame:
+    """User metadata from ``staging/<id>/meta.json`` files, or files of other ``names``.
 
     The upload id comes from the path. An unreadable file counts as empty metadata.
     """
@@ -39,7 +39,7 @@ def read_upload_metadata(spark: SparkSession, path: str) -> DataFrame:
         .option("mode", "PERMISSIVE")
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "meta.json")
+        .option("pathGlobFilter", names)
         .json(path)
     )
     folder = F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1)
