@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from skyledger.session import ship_package
+from skyledger.session import scratch_path, ship_package
 
+#: Keys of rows that are broadcast: two numbers each, some 50 MB.
+MOST_KEYS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,6 +40,25 @@ def attach(texts: DataFrame, found: DataFrame) -> DataFrame:
     return texts.join(right, same, "left").drop("found_id", "found_key")
 
 
+def row_texts(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` (stored; each ``doc_id`` and ``row_key`` once, null ids too) with the texts of its rows; equal rows each come.
+
+    The keys alone pick the texts first: up to ``MOST_KEYS`` of them (counted) go to the texts, more meet them in a shuffle.
+    """
+    keys = found.select(F.col("doc_id").alias("found_id"), F.col("row_key").alias("found_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("row_key") == F.col("found_key"))
+    few = F.broadcast(keys) if found.count() <= MOST_KEYS else keys
+    picked = stored(texts.join(few, same, "left_semi"), "texts")
+    return attach(picked, found)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else as it is; plain ASCII texts take the quick way."""
     plain = F.octet_length(text) == F.length(text)

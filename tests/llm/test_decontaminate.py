@@ -88,3 +88,63 @@ def test_proximity_with_a_replaced_word(spark):
     docs = corpus.frame(spark, [*absent, "gamma " * 3], [0, 1, 2, None, 4])
     rows = decontaminate.proximity_digest(docs, bench).collect()
     assert sorted(map(tuple, rows), key=str) == sorted([(0, 1, "5"), (1, 0, ""), (2, 0, ""), (None, 1, "5"), (4, 0, "")], key=str)
+
+
+def near_by_rules(rows, items, slop=8, window=13, terms=6):
+    """(doc_id, items) by the definition: all but one of a window's rarest occurring words within ``slop`` of one shift."""
+    texts = [corpus.words(t) for _, t in rows]
+    counts = corpus.Counter(w for words in texts for w in words)
+    out = []
+    for (i, _), words in zip(rows, texts, strict=True):
+        found = set()
+        for item, text in items:
+            own = corpus.words(text)
+            size = min(len(own), window, terms)
+            enough = size - 1 if size >= 4 else size
+            for start in range(max(1, len(own) - window + 1)) if own else ():
+                places = [(counts[w], p, w) for p, w in enumerate(own[start : start + window], start) if counts[w]]
+                asked = [(p, w) for _, p, w in sorted(places)[:terms]]
+                hits = sorted({(pos - p, p) for p, w in asked for pos, x in enumerate(words) if x == w})
+                if len(asked) >= enough and any(len({p for s, p in hits if first <= s <= first + slop}) >= enough for first, _ in hits):
+                    found.add("" if item is None else str(item))
+        out.append((i, len(found), ",".join(sorted(found))))
+    return corpus.bag(out)
+
+
+def test_proximity_equals_its_rules(spark, made):
+    rows, items = made
+    draw = random.Random(1)
+    changed = []
+    for i, text in rows[:70]:
+        words = (text or "").split()
+        for _ in range(draw.randrange(4)):
+            if words:
+                words[draw.randrange(len(words))] = draw.choice(["x", "two words", ""])
+        changed.append((i, None if text is None else " ".join(words)))
+    changed.append((900, ("filler " * 3_000) + (items[6][1] or "") + " filler" * 3_000))
+    docs = corpus.frame(spark, [t for _, t in changed], [i for i, _ in changed])
+    want = near_by_rules(changed, items)
+    assert corpus.bag(decontaminate.proximity_digest(docs, items_frame(spark, items)).collect()) == want
+    assert sum(n > 0 for _, n, _ in want.elements()) > 10
+
+
+def test_proximity_of_empty_tables(spark):
+    docs, bench = corpus.frame(spark, ["some text", None]), items_frame(spark, [(1, "some text"), (2, None)])
+    assert decontaminate.proximity_digest(docs.limit(0), bench).collect() == []
+    assert {tuple(r) for r in decontaminate.proximity_digest(docs, bench.limit(0)).collect()} == {(0, 0, ""), (1, 0, "")}
+
+
+def test_a_shared_passage_is_asked_for_once(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    docs = corpus.frame(spark, [f"before {passage} behind"] * 4)
+    rows = []
+    for n in (1, 40):
+        items = decontaminate.items_of(items_frame(spark, [(i, f"own{i} words{i} {passage}") for i in range(n)]))
+        texts = decontaminate.keyed_texts(docs)
+        firsts = decontaminate.twins_of(items, 13)
+        counts = decontaminate.corpus_counts(texts, items.select(decontaminate.F.explode("item_words").alias("term")).distinct(), 100)
+        asked = decontaminate.windows_of(items, counts, firsts, 13, 3)
+        rows.append(decontaminate.aligned(decontaminate.build_index(texts, asked, 100), asked, 100).count())
+    assert rows[0] == rows[1] > 0
+    got = decontaminate.contamination_digest(docs, items_frame(spark, [(i, f"own{i} words{i} {passage}") for i in range(40)])).collect()
+    assert {(r.n_hit, r.n_items, r.contaminated) for r in got} == {(20, 40, True)}
