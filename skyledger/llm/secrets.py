@@ -3,10 +3,10 @@
 From each rule's pattern a Boolean trigram query is derived: the literal texts that a match
 must begin with, each the AND of its trigrams, joined by OR. Postings (trigram, document)
 are kept for the trigrams that some query asks for, and intersected per document; a rule is
-verified only in the documents its query finds. A rule without mandatory trigrams
-scans every text.
+verified only in the documents its query finds, and only their texts travel. A rule without mandatory trigrams
+scans every text where it is read.
 
-A null or empty text has no spans. Offsets are code points, the end is exclusive. Repeated
+Texts may be of any length: no pattern looks at a place more than a bounded number of times. A null or empty text has no spans. Offsets are code points, the end is exclusive. Repeated
 rows and ids give repeated results.
 """
 
@@ -19,9 +19,10 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skyledger.llm.common import attach, keyed_texts, let, running_sum
+from skyledger.llm.common import attach, keyed_texts, let, row_texts, running_sum, stored
 
 _MOST_LITERALS = 64  # beyond so many alternatives a pattern counts as one without literals
+_BITS = 63  # trigrams to a word of a document's set
 
 
 @dataclass(frozen=True)
@@ -45,7 +46,7 @@ RULES = (
     Rule("hex", r"[0-9a-f]{16,}"),  # runs are maximal, so the least length can stand in the pattern
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", base=False),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", base=False),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", base=False),
+    Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", base=False),
 )
 
 
@@ -56,6 +57,8 @@ def literals(pattern: str) -> set[str] | None:
         """The texts extended by ``nodes``, and whether what follows still adjoins them."""
         for op, what in nodes:
             name = str(op)
+            if name == "AT":
+                continue  # a border has no width
             if name == "LITERAL":
                 heads = {h + chr(what).lower() for h in heads}
             elif name == "IN" and all(str(o) == "LITERAL" for o, _ in what):
@@ -102,13 +105,24 @@ def postings(texts: DataFrame, trigrams: list[str]) -> DataFrame:
 
 def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]], trigrams: list[str]) -> DataFrame:
     """Documents with the kinds whose query their postings fulfil."""
-    place = {t: 1 << i for i, t in enumerate(trigrams)}
-    bit = F.element_at(F.create_map(*[F.lit(x) for pair in place.items() for x in pair]), F.col("trigram")).cast("long")
-    held = index.select("doc_id", "row_key", bit.alias("bit")).groupBy("doc_id", "row_key").agg(F.bit_or("bit").alias("held"))
+    # A document's set takes as many words as the trigrams asked for need.
+    place = {t: divmod(i, _BITS) for i, t in enumerate(trigrams)}
+    number = F.element_at(F.create_map(*[F.lit(x) for t, (word, bit) in place.items() for x in (t, word * 64 + bit)]), F.col("trigram"))
+    words = range(-(-len(trigrams) // _BITS))
+    placed = index.select("doc_id", "row_key", number.alias("number")).selectExpr(
+        "doc_id", "row_key", "shiftright(number, 6) AS word", "shiftleft(1L, number & 63) AS bit"
+    )
+    none = F.lit(0).cast("long")
+    held = placed.groupBy("doc_id", "row_key").agg(
+        *[F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(none)).alias(f"held{w}") for w in words]
+    )
 
     def fulfilled(sets: list[frozenset[str]]) -> Column:
-        masks = [F.lit(sum(place[t] for t in s)).cast("long") for s in sets]
-        return reduce(Column.__or__, [F.col("held").bitwiseAND(m) == m for m in masks])
+        def within(s: frozenset[str]) -> Column:
+            masks = [F.lit(sum(1 << bit for word, bit in map(place.get, s) if word == w)).cast("long") for w in words]
+            return reduce(Column.__and__, [F.col(f"held{w}").bitwiseAND(m) == m for w, m in zip(words, masks)])
+
+        return reduce(Column.__or__, [within(s) for s in sets])
 
     kinds = F.array_compact(F.array(*[F.when(fulfilled(sets), F.lit(kind)) for kind, sets in queries.items()]))
     return held.select("doc_id", "row_key", kinds.alias("kinds")).where(F.size("kinds") > 0)
@@ -145,22 +159,17 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
     asked = {kind: sets for kind, sets in queries.items() if sets is not None}
     trigrams = sorted({t for sets in asked.values() for s in sets for t in s})
-    if len(trigrams) > 63:
-        raise ValueError(f"{len(trigrams)} trigrams are asked for; a document's set holds 63")
-    hits = candidates(postings(texts, trigrams), asked, trigrams) if asked else None
-    if hits is None:
-        joined = texts.withColumn("kinds", F.array().cast("array<string>"))
-    else:
-        joined = attach(texts, hits)
-    columns = []
-    for order, rule in enumerate(rules):
-        spans = spans_of(F.col("text"), rule, order)
-        if rule.kind in asked:
-            spans = F.when(F.array_contains("kinds", rule.kind), spans)
-        columns.append(spans.alias(rule.kind))
-    each = joined.select("doc_id", *columns)
+    order = {rule.kind: n for n, rule in enumerate(rules)}
+    found = lambda rule: spans_of(F.col("text"), rule, order[rule.kind]).alias(rule.kind)
+    # Rules without a query look at every text; the others at those of their candidates.
+    joined = texts.select("doc_id", "row_key", *[found(rule) for rule in rules if rule.kind not in asked])
+    if asked:
+        hits = stored(candidates(postings(texts, trigrams), asked, trigrams), "candidates")
+        looked = row_texts(texts, hits)
+        verified = [F.when(F.array_contains("kinds", rule.kind), found(rule)).alias(rule.kind) for rule in rules if rule.kind in asked]
+        joined = attach(joined, looked.select("doc_id", "row_key", *verified).dropDuplicates(["doc_id", "row_key"]))
     every = F.flatten(F.array_compact(F.array(*[F.col(rule.kind) for rule in rules])))
-    return each.select("doc_id", F.array_sort(every).alias("spans"))
+    return joined.select("doc_id", F.array_sort(every).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

@@ -1,5 +1,8 @@
+import time
+
 import corpus
 
+from rows import plan
 from skyledger.llm import secrets
 
 PARTS = [
@@ -53,3 +56,27 @@ def test_added_kinds_texts_and_empty_table(spark):
 def test_rules_without_index(spark):
     rows = secrets.secret_spans(corpus.frame(spark, ["0123456789abcdef", None]), (secrets.RULES[2],)).collect()
     assert sorted(len(r.spans) for r in rows) == [0, 1]
+
+
+def test_long_runs_of_token_heads(spark):
+    head = "eyJ" * 350_000  # a megabyte
+    token = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKKF2QT"
+    began = time.monotonic()
+    rows = secrets.secret_spans(corpus.frame(spark, [head, f"x {token}", f"x{token}", f"-{token}."])).collect()
+    assert time.monotonic() - began < 30
+    assert [[s.value for s in r.spans if s.kind == "jwt"] for r in rows] == [[], [token], [], [token]]
+
+
+def test_more_trigrams_than_a_word_holds(spark):
+    names = [f"{a}{b}key{b}{a}" for a in "abcdefghij" for b in "klmnopqrst"]
+    rules = tuple(secrets.Rule(name, f"{name}[0-9]+") for name in names)
+    assert len({t for rule in rules for s in secrets.trigram_query(rule.pattern) for t in s}) > 126
+    texts = [f"{names[i]}{i} {names[(i * 7) % 100]}x {names[99 - i]}5" for i in range(100)]
+    rows = secrets.secret_spans(corpus.frame(spark, texts), rules).collect()
+    got = {r.doc_id: sorted((s.kind, s.value) for s in r.spans) for r in rows}
+    assert got == {i: sorted({(names[i], f"{names[i]}{i}"), (names[99 - i], f"{names[99 - i]}5")}) for i in range(100)}
+
+
+def test_only_candidates_texts_are_verified(spark):
+    text = plan(secrets.secret_spans(corpus.frame(spark, ["token: abcdefghijklmnop", "none"])))
+    assert not any(name in text for name in ("EvalPython", "MapIn", "Pandas"))
