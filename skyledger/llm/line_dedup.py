@@ -1,9 +1,9 @@
 """Lines that occur in several documents stay only in the first: DataFrame functions only.
 
-Line keys become 128-bit hashes. Range partitions of (hash, part of the documents), sorted by
-document and position, stream the first occurrence of each hash; parts split a hash that a third
-of all lines share. The first occurrences of the parts meet in an aggregate, and each
-document gets a compressed bitmap of the lines to keep. No line's text is shuffled.
+Line keys become 128-bit hashes. They are uniform, so their upper bits are the range and no sample is taken.
+Partitions of (range, part of the documents), sorted by hash, document and position, stream the first occurrence of each hash; parts
+split a hash that a third of all lines share. The first occurrences of the parts meet in an aggregate, and each
+document gets a compressed bitmap of the lines to keep. So lines travel as hashes; whole texts travel once, to meet their bitmaps.
 
 Definitions: a text is split at ``\\n``; a null or empty text is one empty line. A key is the line
 without white space ``[\\x20\\x09-\\x0D]`` at its ends and with A-Z in lower case. Keys of fewer than
@@ -20,6 +20,7 @@ from skyledger.llm.common import ascii_lower, attach, keyed_texts, let
 LEAST = 10
 _SPACE = " \t\n\x0b\f\r"
 _WORD = 64  # lines to a bitmap word
+_RANGE_BITS = 16
 
 
 def line_key(line: Column) -> Column:
@@ -46,8 +47,9 @@ def drop_bitmaps(texts: DataFrame, least: int = LEAST) -> DataFrame:
     A word that isn't listed keeps all its lines.
     """
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = line_hashes(texts, least, n).repartitionByRange(n, "h1", "h2", "part")
-    stream = Window.partitionBy("h1", "h2", "part").orderBy("doc_id", "pos")
+    hashes = line_hashes(texts, least, n).withColumn("range", F.shiftrightunsigned("h1", 64 - _RANGE_BITS).cast("int"))
+    ranged = hashes.repartition(n, "range", "part")
+    stream = Window.partitionBy("range", "part", "h1", "h2").orderBy("doc_id", "pos")
     firsts = F.first("doc_id").over(stream)
     ranged = ranged.withColumn("part_first", firsts)
     # Lines behind the first document of their part go in any case.
