@@ -58,11 +58,12 @@ def spread_join(
 
     The rows of a hot key are dealt over chunks by a hash of ``left_row`` or ``right_row``
     (columns that tell rows apart), and repeated once per chunk of the other side. Every
-    pair still meets exactly once. ``on`` must hold no NULL.
+    pair still meets exactly once. ``on`` must hold no NULL. Neither side is broadcast: the size of exploded
+    rows is estimated from the rows before, so millions of them would be gathered in the driver.
     """
     hot = hot_keys(left, right, on, share, min_pairs)
     if hot is None:
-        return left.join(right, on)
+        return left.join(right.hint("merge"), on)
     hot = F.broadcast(hot)  # fewer than ``share`` rows
     dealt_left = left.join(hot, on, "left").select(
         *left.columns, _chunk(left_row, "_lc").alias("_li"), _every("_rc").alias("_ri")
@@ -70,7 +71,7 @@ def spread_join(
     dealt_right = right.join(hot, on, "left").select(
         *right.columns, _chunk(right_row, "_rc").alias("_ri"), _every("_lc").alias("_li")
     )
-    return dealt_left.join(dealt_right, [*on, "_li", "_ri"]).drop("_li", "_ri")
+    return dealt_left.join(dealt_right.hint("merge"), [*on, "_li", "_ri"]).drop("_li", "_ri")
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, on: str, how: str = "left", salt: int = SALT) -> DataFrame:
