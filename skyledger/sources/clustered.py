@@ -23,6 +23,8 @@ from skyledger.sources.catalog import ROW_GROUP
 LEVELS = 16
 #: Levels of the grids: cells of 360, 22.5 and 1.4 degrees from west to east.
 CLASSES = (0, 4, 8)
+#: Rows for a task that writes the order, so that tasks become more with the catalog and not larger.
+TASK_ROWS = 250_000
 #: Intervals for one class; more of them read less beside the viewport.
 MOST_RANGES = 8
 
@@ -129,7 +131,7 @@ def write_places(df: DataFrame, path: str, row_group: int = ROW_GROUP, partition
     """Write the catalog in the order of its cells, with ``place`` as a column; equal places spread by ``id``."""
     order = [F.asc_nulls_last("place"), F.asc_nulls_last("id")]
     placed = with_place(df)
-    ranged = placed.repartitionByRange(partitions, *order) if partitions else placed.repartitionByRange(*order)
+    ranged = placed.repartitionByRange(partitions or math.ceil(df.count() / TASK_ROWS) or 1, *order)
     (
         ranged.sortWithinPartitions(*order).write.mode(mode)
         .option("compression", "zstd").option("parquet.block.row.count.limit", row_group).parquet(path)

@@ -6,6 +6,8 @@ from contextlib import redirect_stdout
 from pyspark.sql import functions as F
 
 from skyledger.operators import skew
+from skyledger.schema import make_bbox, to_catalog_schema
+from skyledger.sources import clustered
 
 
 def plan_of(frame):
@@ -23,3 +25,12 @@ def test_cells_are_never_broadcast(spark):
         pairs = skew.spread_join(side("a"), side("b"), ["k"], ["a"], ["b"], **limits)
         assert "SortMergeJoin" in plan_of(pairs)
         assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for a in range(40) for b in range(40) if a % 7 == b % 7}
+
+
+def test_tasks_of_the_order_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(clustered, "TASK_ROWS", 20)
+    box = make_bbox(F.col("id") * 3.0 - 170, F.lit(1.0), F.col("id") * 3.0 - 169, F.lit(2.0))
+    rows = to_catalog_schema(spark.range(100).select(F.col("id").cast("string").alias("id"), box.alias("bbox")))
+    clustered.write_places(rows, str(tmp_path / "places"))
+    assert len(list((tmp_path / "places").glob("part-*"))) == 5
+    assert clustered.read_places(spark, str(tmp_path / "places")).count() == 100
