@@ -152,7 +152,7 @@ def _located(records: DataFrame, acquired_from: str, limit: int | None) -> DataF
         records = records.where(acquired >= acquired_from)
     if limit is not None:
         records = records.orderBy(F.desc_nulls_last(acquired), F.asc_nulls_last("_id")).limit(limit)
-    return records.withColumn("_geometry", geojson_wkb(F.col("geojson")))
+    return records.withColumn("_geometry", geojson_wkb(F.col("geojson"), once=True))
 
 
 def import_rejects(records: DataFrame, acquired_from: str = "", limit: int | None = None) -> DataFrame:

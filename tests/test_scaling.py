@@ -5,9 +5,9 @@ from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
-from skyledger.operators import skew
+from skyledger.operators import ingest, skew
 from skyledger.schema import make_bbox, to_catalog_schema
-from skyledger.sources import clustered
+from skyledger.sources import clustered, records
 
 
 def plan_of(frame):
@@ -34,3 +34,11 @@ def test_tasks_of_the_order_grow_with_the_rows(spark, tmp_path, monkeypatch):
     clustered.write_places(rows, str(tmp_path / "places"))
     assert len(list((tmp_path / "places").glob("part-*"))) == 5
     assert clustered.read_places(spark, str(tmp_path / "places")).count() == 100
+
+
+def test_imported_geometries_are_read_once(spark):
+    text = '{"results":[{"_id":"a","geojson":{"type":"Point","coordinates":[1,2]}},{"_id":"b"}]}'
+    landed = records.parse_pages(spark.createDataFrame([(text,)], "page string"))
+    made = ingest.import_records(landed, "https://x.example")
+    assert plan_of(made.select("id", "geometry")).count("ArrowEvalPython") == 1
+    assert [r.id for r in made.collect()] == ["a"]
