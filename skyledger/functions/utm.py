@@ -7,6 +7,7 @@ zone's usual reach. A box is not a box in degrees: its sides bend. So its bounds
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -39,22 +40,49 @@ DELTA = (
 )
 
 
-def utm_point(east: Column, north: Column, epsg: Column) -> Column:
-    """``struct<lon,lat>`` of a position in the zone that ``epsg`` names; NULL for other systems. Longitudes are not wrapped at ±180°."""
+def _stages(epsg: Column) -> list[Callable[[Column], Column]]:
+    """The steps from a ``struct<x,y>`` to ``struct<lon,lat>``, a struct each: what a later step reads again is computed once."""
     south = epsg > SOUTH
     zone = epsg - F.when(south, SOUTH).otherwise(NORTH)
-    xi = (north - F.when(south, FALSE_NORTH_M).otherwise(0.0)) / RADIUS_M
-    eta = (east - FALSE_EAST_M) / RADIUS_M
-    xi1, eta1 = xi, eta
-    for j, beta in enumerate(BETA, 1):
-        xi1 = xi1 - beta * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        eta1 = eta1 - beta * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    lat = chi
-    for j, delta in enumerate(DELTA, 1):
-        lat = lat + delta * F.sin(2 * j * chi)
-    lon = (zone * 6 - 183) + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1)))
-    return F.when(is_utm(epsg), F.struct(lon.cast("double").alias("lon"), F.degrees(lat).alias("lat")))
+
+    def scaled(p: Column) -> Column:
+        xi = (p["y"] - F.when(south, FALSE_NORTH_M).otherwise(0.0)) / RADIUS_M
+        return F.struct(xi.alias("xi"), ((p["x"] - FALSE_EAST_M) / RADIUS_M).alias("eta"))
+
+    def unbent(p: Column) -> Column:
+        xi, eta = p["xi"], p["eta"]
+        xi1, eta1 = xi, eta
+        for j, beta in enumerate(BETA, 1):
+            xi1 = xi1 - beta * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+            eta1 = eta1 - beta * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        return F.struct(xi1.alias("xi"), eta1.alias("eta"))
+
+    def on_sphere(p: Column) -> Column:
+        chi = F.asin(F.sin(p["xi"]) / F.cosh(p["eta"]))
+        lon = (zone * 6 - 183) + F.degrees(F.atan2(F.sinh(p["eta"]), F.cos(p["xi"])))
+        return F.struct(lon.cast("double").alias("lon"), chi.alias("chi"))
+
+    def on_ellipsoid(p: Column) -> Column:
+        chi = p["chi"]
+        lat = chi
+        for j, delta in enumerate(DELTA, 1):
+            lat = lat + delta * F.sin(2 * j * chi)
+        return F.struct(p["lon"].alias("lon"), F.degrees(lat).alias("lat"))
+
+    return [scaled, unbent, on_sphere, on_ellipsoid]
+
+
+def _projected(spots: Column, epsg: Column) -> Column:
+    """Positions of an array of ``struct<x,y>``, an array for each step."""
+    for stage in _stages(epsg):
+        spots = F.transform(spots, stage)
+    return spots
+
+
+def utm_point(east: Column, north: Column, epsg: Column) -> Column:
+    """``struct<lon,lat>`` of a position in the zone that ``epsg`` names; NULL for other systems. Longitudes are not wrapped at ±180°."""
+    spot = F.struct(east.cast("double").alias("x"), north.cast("double").alias("y"))
+    return F.when(is_utm(epsg), _projected(F.array(spot), epsg)[0])
 
 
 def is_utm(epsg: Column) -> Column:
@@ -73,7 +101,7 @@ def utm_bounds(x0: Column, y0: Column, x1: Column, y1: Column, epsg: Column, poi
         side(lambda t: F.struct(across(t).alias("x"), y0.alias("y"))), side(lambda t: F.struct(across(t).alias("x"), y1.alias("y"))),
         side(lambda t: F.struct(x0.alias("x"), up(t).alias("y"))), side(lambda t: F.struct(x1.alias("x"), up(t).alias("y"))),
     )
-    spots = F.transform(around, lambda p: utm_point(p["x"], p["y"], epsg))
+    spots = _projected(around, epsg)
     # The array is made once and read for its four edges.
     box = F.transform(
         F.array(spots),

@@ -5,6 +5,7 @@ from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
+from skyledger.functions import utm
 from skyledger.operators import ingest, skew
 from skyledger.schema import make_bbox, to_catalog_schema
 from skyledger.sources import clustered, records
@@ -27,6 +28,13 @@ def test_cells_are_never_broadcast(spark):
         assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for a in range(40) for b in range(40) if a % 7 == b % 7}
 
 
+def test_utm_bounds_computes_shared_parts_once(spark):
+    row = spark.range(1).select(F.lit(32633).alias("e"), *[F.lit(float(x)).alias(n) for n, x in (("a", 4e5), ("b", 5e6), ("c", 5e5), ("d", 6e6))])
+    box = utm.utm_bounds(F.col("a"), F.col("b"), F.col("c"), F.col("d"), F.col("e"))
+    plan = row.select(box.alias("box"))._jdf.queryExecution().analyzed().toString()
+    assert plan.upper().count("COSH(") == len(utm.BETA) + 1
+
+
 def test_tasks_of_the_order_grow_with_the_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(clustered, "TASK_ROWS", 20)
     box = make_bbox(F.col("id") * 3.0 - 170, F.lit(1.0), F.col("id") * 3.0 - 169, F.lit(2.0))
