@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions import utm
 from skyledger.operators import ingest, skew
+from skyledger.plans import queries
 from skyledger.schema import make_bbox, to_catalog_schema
 from skyledger.sources import clustered, records
 
@@ -50,3 +51,14 @@ def test_imported_geometries_are_read_once(spark):
     made = ingest.import_records(landed, "https://x.example")
     assert plan_of(made.select("id", "geometry")).count("ArrowEvalPython") == 1
     assert [r.id for r in made.collect()] == ["a"]
+
+
+def test_upload_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k, f"part {k}") for k in range(10, 2_000, 10)], "p_partkey bigint, p_name string").write.parquet(
+        str(tmp_path / "part.parquet")
+    )
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, name: str(tmp_path / name))
+    made = queries.run_upload_metadata(spark, str(tmp_path))
+    tasks = {path.name[:10] for path in (tmp_path / "staging").glob("upload=*/part-*.txt")}
+    assert len(tasks) > 1
+    assert made.count() == len([k for k in range(10, 2_000, 10) if k % 3])
