@@ -65,3 +65,30 @@ def test_empty_catalog(spark, tmp_path):
     kept.renew(spark, root)
     kept.renew(spark, root, [])
     assert ids(kept.search_kept(spark, root, "abc")) == ["a"] and ids(kept.search_kept(spark, root, "abcd")) == []
+
+
+def test_postings_are_lists_and_shuffle_no_gram(spark, tmp_path, monkeypatch):
+    root, made = str(tmp_path / "lists"), [("a", "aaaa😀b"), ("b", "AAAA"), ("c", None), (None, "xaaa"), ("d", "ab"), ("e", "")]
+    buckets.write_buckets(catalog(spark, *[image(i, title=t) for i, t in made]), root, 1)
+    plans = []
+    monkeypatch.setattr(kept, "_store", lambda rows, path, mode, store=kept._store: (plans.append(plan(rows)), store(rows, path, mode)))
+    kept.renew(spark, root)
+    held = spark.read.parquet(f"{root}/postings")
+    assert {(r.field, r.gram, tuple(sorted(r.ids, key=str))) for r in held.collect()} == {
+        ("title", "aaa", (None, "a", "b")), ("title", "aa😀", ("a",)), ("title", "a😀b", ("a",)), ("title", "xaa", (None,)),
+    }
+    # What is dealt out is a row for each image; its grams never cross the network.
+    assert "MapInArrow" in plans[0] and "Generate" not in plans[0] and plans[0].index("Exchange") > plans[0].index("MapInArrow")
+
+
+def test_chunks_of_small_batches(spark, tmp_path):
+    root, batch = str(tmp_path / "small"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    buckets.write_buckets(catalog(spark, *[image(f"i{k}", title=f"no {k % 30} of {k}") for k in range(200)]), root, 3)
+    spark.conf.set(batch, 7)
+    try:
+        kept.renew(spark, root)
+    finally:
+        spark.conf.unset(batch)
+    assert spark.read.parquet(f"{root}/postings").agg(F.max(F.size("ids"))).first()[0] <= 7
+    for text in ("no 12 of", "o 1%of 1", " of "):
+        assert ids(kept.search_kept(spark, root, text)) == ids(search(buckets.read_buckets(spark, root), SearchParams(query=text, limit=None)))
