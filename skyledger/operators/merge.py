@@ -41,14 +41,19 @@ def _later(late: list[str], base: list[str]) -> Column:
     return (new > old) | ((new == old) & tied)
 
 
-def latest_per_id(df: DataFrame) -> DataFrame:
+def latest_per_id(df: DataFrame, dealt: dict[str, Column] | None = None) -> DataFrame:
     """One row per id, the one uploaded last.
 
     Catalyst turns the rank filter into a group limit that every task applies before
     the shuffle, so an id with many copies sends one row per task.
+
+    ``dealt`` names columns made from the id. The rows get them and are shuffled by them alone, so that what is written by them
+    needs no second shuffle. Copies of an id then travel to one task: for rows with few of them.
     """
     order = latest_order([c for c in df.columns if c not in ARTIFACT_COLUMNS])
-    ranked = df.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
+    if dealt:
+        df = df.withColumns(dealt).repartition(*dealt)
+    ranked = df.withColumn("rn", F.row_number().over(Window.partitionBy(*(dealt or ()), "id").orderBy(*order)))
     return drop_artifacts(ranked.where(F.col("rn") == 1))
 
 
@@ -68,7 +73,9 @@ def backfill_bbox(df: DataFrame, split: bool = True) -> DataFrame:
     return df.where("bbox IS NOT NULL OR geometry IS NULL").unionAll(filled.select(*df.columns))
 
 
-def merge_catalog(base: DataFrame, pending: DataFrame, base_unique: bool = False) -> DataFrame:
+def merge_catalog(
+    base: DataFrame, pending: DataFrame, base_unique: bool = False, dealt: dict[str, Column] | None = None
+) -> DataFrame:
     """Catalog after adding the pending rows: latest per id, bbox filled in.
 
     A bbox depends on nothing but its row, so it is filled in where that is cheapest: at
@@ -76,12 +83,17 @@ def merge_catalog(base: DataFrame, pending: DataFrame, base_unique: bool = False
     a merge) each base row meets at most one candidate, the latest pending row of its id, and the
     later of the two stays: one pass over the base, and one over its ids for the new ones. Whether the
     candidates are broadcast, so that no base row is shuffled, is Catalyst's choice from their size.
+
+    ``dealt`` is for a result that is written by columns made from the id, which it gets: base rows and candidates
+    are shuffled by these once, for the merge and the writing. An id has two rows at most then.
     """
     base, pending = to_catalog_schema(base), to_catalog_schema(pending)
     if not base_unique:
         return latest_per_id(union_by_name(backfill_bbox(base), backfill_bbox(pending)))
     base = backfill_bbox(base)
     late = latest_per_id(backfill_bbox(pending, split=False))
+    if dealt:
+        return latest_per_id(union_by_name(base, late), dealt)
     columns = [*base.columns, *[c for c in late.columns if c not in base.columns]]
     # One candidate an id: each base row meets at most one, and one of the two stays.
     candidate = late.select(F.struct(*late.columns).alias("_late"))

@@ -21,6 +21,10 @@ from skyledger.sources.catalog import ROW_GROUP, empty_catalog, missing_path
 BUCKETS = 64
 #: The number of buckets is a bound for what a merge collects: the numbers of those it touches.
 MOST_BUCKETS = 100_000
+#: An id with more copies than this is limited before the shuffle.
+MOST_COPIES = 1000
+#: Parts of the buckets for each shuffle partition; so many that the partitions come out alike.
+SPREAD = 4
 
 
 def bucket_of(image_id: Column, buckets: int) -> Column:
@@ -57,19 +61,23 @@ def get_from_buckets(spark: SparkSession, root: str, image_id: str) -> DataFrame
     return to_catalog_schema(rows.where(F.col("id") == F.lit(image_id)).drop("bucket"))
 
 
-def _write(rows: DataFrame, root: str, buckets: int, mode: str, order: str, row_group: int, frame: tuple) -> None:
-    """Write ``rows`` by bucket; a large bucket is dealt over several tasks and files."""
-    keyed = rows.withColumn("bucket", bucket_of(F.col("id"), buckets))
+def _dealt(spark: SparkSession, buckets: int) -> dict[str, Column]:
+    """The bucket and a part of it: what rows are dealt by, so that a bucket is written by several tasks."""
+    parts = -(-SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+    return {"bucket": bucket_of(F.col("id"), buckets), "_part": F.pmod(F.hash("id"), F.lit(parts))}
+
+
+def _write(dealt: DataFrame, root: str, mode: str, order: str, row_group: int, frame: tuple) -> None:
+    """Write rows that are dealt by their ``bucket``; a large bucket comes from several tasks, in a file each."""
     if order == "hilbert":
-        keyed = with_hilbert_key(keyed, frame=frame)
+        dealt = with_hilbert_key(dealt, frame=frame)
     elif order not in ("id", "datetime"):
         raise ValueError(f"unknown order {order!r}")
     sort = {"id": [F.asc_nulls_last("id")], "datetime": [F.desc_nulls_last("datetime"), F.asc_nulls_last("id")]}.get(
         order, [F.asc_nulls_last("hilbert"), F.asc_nulls_last("id")]
     )
-    dealt = keyed.hint("rebalance", "bucket").sortWithinPartitions("bucket", *sort).drop("hilbert")
     (
-        dealt.write.mode("overwrite").partitionBy("bucket")
+        dealt.sortWithinPartitions("bucket", *sort).drop("hilbert", "_part").write.mode("overwrite").partitionBy("bucket")
         .option("partitionOverwriteMode", mode).option("compression", "zstd").option("parquet.block.row.count.limit", row_group)
         .parquet(f"{root}/catalog")
     )
@@ -86,7 +94,11 @@ def write_buckets(
         raise ValueError(f"1 to {MOST_BUCKETS} buckets")
     spark = rows.sparkSession
     spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(f"{root}/layout")
-    _write(latest_per_id(to_catalog_schema(rows)), root, buckets, "static", order, row_group, frame)
+    rows = to_catalog_schema(rows)
+    copies = rows.groupBy("id").count().agg(F.max("count")).first()[0]
+    if copies and copies > MOST_COPIES:
+        rows = latest_per_id(rows)
+    _write(latest_per_id(rows, _dealt(spark, buckets)), root, "static", order, row_group, frame)
 
 
 def _touched(rows: DataFrame, root: str, buckets: int) -> tuple[list[int], DataFrame]:
@@ -122,7 +134,8 @@ def merge_buckets(
         write_buckets(merge_catalog(empty_catalog(spark), late), root, buckets, order, row_group)
         return list(range(buckets))
     numbers, held = _touched(late, root, known)
-    _write(merge_catalog(held, late, base_unique=True), root, known, "dynamic", order, row_group, WORLD)
+    merged = merge_catalog(held, late, base_unique=True, dealt=_dealt(spark, known))
+    _write(merged, root, "dynamic", order, row_group, WORLD)
     return numbers
 
 
@@ -142,5 +155,6 @@ def convert_buckets(spark: SparkSession, root: str, pattern: str, new_href: Colu
     changed = updates.count()
     if changed:
         _, held = _touched(updates, root, buckets)
-        _write(update_hrefs(held, updates), root, buckets, "dynamic", order, ROW_GROUP, WORLD)
+        updated = update_hrefs(held, updates).withColumn("bucket", bucket_of(F.col("id"), buckets)).hint("rebalance", "bucket")
+        _write(updated, root, "dynamic", order, ROW_GROUP, WORLD)
     return changed

@@ -283,3 +283,20 @@ def test_sidecars_of_two_streams(spark, tmp_path):
     rows = {r.id: r.title for r in spark.read.schema(made.schema).parquet(str(tmp_path / "out")).collect()}
     # 3 and 4 have no metadata in time and are told without, once the time is over; 99 still waits for its own.
     assert rows == {"1": "early", "2": "after", "3": "Untitled", "4": "Untitled", "5": "before its raster", "6": "Untitled"}
+
+
+def test_merge_and_write_shuffle_the_base_once(spark, tmp_path, monkeypatch):
+    root, plans = str(tmp_path / "once"), []
+    monkeypatch.setattr(store, "_write", lambda rows, *args, write=store._write: (plans.append(plan(rows, "simple")), write(rows, *args)))
+    made = [image(f"i{k % 90}" if k else None, (0, 0, 1, 1), uploaded_at=str(k), title=f"t{k}") for k in range(120)]
+    late = catalog(spark, image("i1", (0, 0, 1, 1), uploaded_at="999", title="new"), image("i2", uploaded_at="0"), image("n", uploaded_at=None), image(None, uploaded_at=None))
+    store.write_buckets(catalog(spark, *made), root, 3)
+    merged = rows_of(spark, root)
+    store.merge_buckets(late, root)
+    want = merge.merge_catalog(catalog(spark, *made), late)
+    assert len(merged) == 91 and rows_of(spark, root) == sorted(want.collect(), key=str) and len(rows_of(spark, root)) == 92
+    assert "Join" not in plans[1] and "hashpartitioning(bucket" in plans[0] and "hashpartitioning(id" not in plans[0]
+    # An id with very many copies sends one row per task.
+    monkeypatch.setattr(store, "MOST_COPIES", 1)
+    store.write_buckets(catalog(spark, *made), str(tmp_path / "hot"), 3)
+    assert rows_of(spark, str(tmp_path / "hot")) == merged and plans[2].count("WindowGroupLimit") > plans[0].count("WindowGroupLimit")
