@@ -81,7 +81,8 @@ def test_postings_are_lists_and_shuffle_no_gram(spark, tmp_path, monkeypatch):
     assert "MapInArrow" in plans[0] and "Generate" not in plans[0] and plans[0].index("Exchange") > plans[0].index("MapInArrow")
 
 
-def test_chunks_of_small_batches(spark, tmp_path):
+def test_chunks_of_small_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(kept, "IMAGES", 40)
     root, batch = str(tmp_path / "small"), "spark.sql.execution.arrow.maxRecordsPerBatch"
     buckets.write_buckets(catalog(spark, *[image(f"i{k}", title=f"no {k % 30} of {k}") for k in range(200)]), root, 3)
     spark.conf.set(batch, 7)
@@ -89,6 +90,9 @@ def test_chunks_of_small_batches(spark, tmp_path):
         kept.renew(spark, root)
     finally:
         spark.conf.unset(batch)
-    assert spark.read.parquet(f"{root}/postings").agg(F.max(F.size("ids"))).first()[0] <= 7
+    held = spark.read.parquet(f"{root}/postings")
+    assert held.agg(F.max(F.size("ids"))).first()[0] <= 7
+    # A bucket's postings come from several tasks.
+    assert held.select("bucket", F.shiftright("chunk", 32)).distinct().count() > 5
     for text in ("no 12 of", "o 1%of 1", " of "):
         assert ids(kept.search_kept(spark, root, text)) == ids(search(buckets.read_buckets(spark, root), SearchParams(query=text, limit=None)))
