@@ -84,18 +84,20 @@ def _write(dealt: DataFrame, root: str, mode: str, order: str, row_group: int, f
 
 
 def write_buckets(
-    rows: DataFrame, root: str, buckets: int = BUCKETS, order: str = "id", row_group: int = ROW_GROUP, frame: tuple = WORLD
+    rows: DataFrame, root: str, buckets: int = BUCKETS, order: str = "id", row_group: int = ROW_GROUP, frame: tuple = WORLD,
+    unique: bool = False,
 ) -> None:
     """Write a new catalog of the latest row of every id, or replace the one in ``root``.
 
     Inside a bucket rows go by ``id``, ``hilbert`` or ``datetime`` (newest first). ``rows`` must not come from ``root``.
+    The ids' copies are counted first, unless ``unique`` tells that ``rows`` have been merged already.
     """
     if not 0 < buckets <= MOST_BUCKETS:
         raise ValueError(f"1 to {MOST_BUCKETS} buckets")
     spark = rows.sparkSession
     spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(f"{root}/layout")
     rows = to_catalog_schema(rows)
-    copies = rows.groupBy("id").count().agg(F.max("count")).first()[0]
+    copies = None if unique else rows.groupBy("id").count().agg(F.max("count")).first()[0]
     if copies and copies > MOST_COPIES:
         rows = latest_per_id(rows)
     _write(latest_per_id(rows, _dealt(spark, buckets)), root, "static", order, row_group, frame)
@@ -131,7 +133,7 @@ def merge_buckets(
         return []
     known = bucket_count(spark, root)
     if known is None:
-        write_buckets(merge_catalog(empty_catalog(spark), late), root, buckets, order, row_group)
+        write_buckets(merge_catalog(empty_catalog(spark), late), root, buckets, order, row_group, unique=True)
         return list(range(buckets))
     numbers, held = _touched(late, root, known)
     merged = merge_catalog(held, late, base_unique=True, dealt=_dealt(spark, known))
