@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StructType
 
 # Ship these functions by value: workers need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -144,3 +144,36 @@ def polygon_covers(geometry: Column, lon: Column, lat: Column) -> Column:
     open. Heights and measures are passed over.
     """
     return _covers_udf(geometry, lon, lat)
+
+
+def _parts(data: bytes | None) -> tuple[bytes, bytes]:
+    """Corners (x, y) of all rings, and the number of corners of each ring, negative for holes."""
+    try:
+        found = [] if data is None else list(_polygons(data))
+    except _BROKEN:
+        found = []
+    corners, counts = [], []
+    for rings in found:
+        if not rings or not len(rings[0]):
+            continue  # holes of nothing
+        for n, ring in enumerate(rings):
+            # The last corner repeats the first one of a closed ring; next to infinite ones it stays, as they make no border.
+            if len(ring) > 1 and ring[0, 0] == ring[-1, 0] and ring[0, 1] == ring[-1, 1] and np.isfinite(ring).all():
+                ring = ring[:-1]
+            if len(ring):
+                corners.append(ring.astype("<f8").tobytes())
+                counts.append(-len(ring) if n else len(ring))
+    return b"".join(corners), struct.pack(f"<{len(counts)}i", *counts)
+
+
+def _batch_parts(blobs: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_parts(blob) for blob in blobs], columns=["xy", "rings"], dtype=object)
+
+
+PARTS_TYPE = StructType().add("xy", "binary").add("rings", "binary")
+_parts_udf = F.pandas_udf(_batch_parts, PARTS_TYPE)
+
+
+def outline_parts(geometry: Column) -> Column:
+    """The polygons of a WKB geometry, packed: ``xy`` has corners, ``rings`` numbers of corners. Both are empty without a polygon."""
+    return _parts_udf(geometry)

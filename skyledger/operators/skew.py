@@ -14,27 +14,45 @@ MIN_PAIRS = 4_000_000
 SALT = 8
 
 
+def key_loads(
+    left: DataFrame, right: DataFrame, on: list[str], share: int = SHARE, min_pairs: int = MIN_PAIRS,
+    most_right: int | None = None,
+) -> tuple[DataFrame | None, float]:
+    """Hot keys as ``hot_keys`` gives them, and the number of all pairs of rows.
+
+    With ``most_right`` keys of more rows than that on the right are in the list too, in chunks of at most so many.
+    """
+    sides = left.select(*on, F.lit(1).alias("_l")).unionAll(right.select(*on, F.lit(0).alias("_l")))
+    rows = sides.groupBy(*on).agg(F.sum("_l").cast("double").alias("_a"), F.sum(1 - F.col("_l")).cast("double").alias("_b"))
+    counts = rows.withColumn("_pairs", F.col("_a") * F.col("_b"))
+    seen = counts.agg(F.sum("_pairs").alias("total"), F.max("_pairs").alias("top"), F.max("_b").alias("right")).first()
+    total = seen.total or 0
+    bound = max(total / share, min_pairs)
+    many = most_right is not None and (seen.right or 0) > most_right
+    if (seen.top or 0) <= bound and not many:
+        return None, total
+    # Both sides in chunks of at most ``edge`` rows: no task has more than ``bound`` pairs of a key.
+    edge = bound**0.5
+    is_hot = F.col("_pairs") > bound
+    wanted = {"_lc": F.when(is_hot, F.ceil(F.col("_a") / edge)), "_rc": F.when(is_hot, F.ceil(F.col("_b") / edge))}
+    if many:
+        wanted["_rc"] = F.greatest(wanted["_rc"], F.ceil(F.col("_b") / most_right))
+        is_hot = is_hot | (F.col("_b") > most_right)
+    chunks = [F.coalesce(count, F.lit(1)).cast("int").alias(name) for name, count in wanted.items()]
+    hot = counts.where(is_hot).select(*on, *chunks)
+    return left.sparkSession.createDataFrame(hot.collect(), hot.schema), total
+
+
 def hot_keys(
     left: DataFrame, right: DataFrame, on: list[str], share: int = SHARE, min_pairs: int = MIN_PAIRS
 ) -> DataFrame | None:
     """Hot keys and the numbers of chunks, ``_lc`` and ``_rc``, for both sides' rows; ``None`` if there are none.
 
     What a key costs is the product of both sides' rows. One job counts both sides, combined
-    before the shuffle; only its sum and maximum come back. A second one fetches the list,
+    before the shuffle; only its sum and maxima come back. A second one fetches the list,
     fewer than ``share`` rows, when a key is hot.
     """
-    sides = left.select(*on, F.lit(1).alias("_l")).unionAll(right.select(*on, F.lit(0).alias("_l")))
-    rows = sides.groupBy(*on).agg(F.sum("_l").cast("double").alias("_a"), F.sum(1 - F.col("_l")).cast("double").alias("_b"))
-    counts = rows.withColumn("_pairs", F.col("_a") * F.col("_b"))
-    seen = counts.agg(F.sum("_pairs").alias("total"), F.max("_pairs").alias("top")).first()
-    bound = max((seen.total or 0) / share, min_pairs)
-    if (seen.top or 0) <= bound:
-        return None
-    # Both sides in chunks of at most ``edge`` rows: no task has more than ``bound`` pairs of a key.
-    edge = bound**0.5
-    chunks = [F.ceil(F.col(side) / edge).cast("int").alias(name) for side, name in (("_a", "_lc"), ("_b", "_rc"))]
-    hot = counts.where(F.col("_pairs") > bound).select(*on, *chunks)
-    return left.sparkSession.createDataFrame(hot.collect(), hot.schema)
+    return key_loads(left, right, on, share, min_pairs)[0]
 
 
 def _chunk(rows: list[str], chunks: str) -> Column:
@@ -45,6 +63,20 @@ def _every(chunks: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.coalesce(F.col(chunks), F.lit(1)) - 1))
 
 
+def deal(
+    left: DataFrame, right: DataFrame, on: list[str], left_row: list[str], right_row: list[str], hot: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with chunks ``_li`` and ``_ri``: rows of a hot key are in one of their side's, once for each of the other's."""
+    hot = F.broadcast(hot)  # fewer than ``share`` rows, or one in very many rows
+    dealt_left = left.join(hot, on, "left").select(
+        *left.columns, _chunk(left_row, "_lc").alias("_li"), _every("_rc").alias("_ri")
+    )
+    dealt_right = right.join(hot, on, "left").select(
+        *right.columns, _chunk(right_row, "_rc").alias("_ri"), _every("_lc").alias("_li")
+    )
+    return dealt_left, dealt_right
+
+
 def spread_join(
     left: DataFrame,
     right: DataFrame,
@@ -66,13 +98,7 @@ def spread_join(
     hot = hot_keys(left if counted is None else counted, right, on, share, min_pairs)
     if hot is None:
         return left.join(right.hint("merge"), on)
-    hot = F.broadcast(hot)  # fewer than ``share`` rows
-    dealt_left = left.join(hot, on, "left").select(
-        *left.columns, _chunk(left_row, "_lc").alias("_li"), _every("_rc").alias("_ri")
-    )
-    dealt_right = right.join(hot, on, "left").select(
-        *right.columns, _chunk(right_row, "_rc").alias("_ri"), _every("_lc").alias("_li")
-    )
+    dealt_left, dealt_right = deal(left, right, on, left_row, right_row, hot)
     return dealt_left.join(dealt_right.hint("merge"), [*on, "_li", "_ri"]).drop("_li", "_ri")
 
 

@@ -15,15 +15,23 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from skyledger.functions.polygons import polygon_covers
+from skyledger.functions.polygon_cells import cell_hits
+from skyledger.functions.polygons import outline_parts
 from skyledger.functions.wkb import wkb_bounds
-from skyledger.operators.skew import MIN_PAIRS, SHARE, spread_join
+from skyledger.operators.skew import MIN_PAIRS, SHARE, deal, key_loads, spread_join
 from skyledger.schema import quoted
+from skyledger.session import scratch_path
 
 MAX_LEVEL = 20
 
+# Points of a cell that a task holds at a time, pairs of rows of a cell that a task should get, and tasks for them at most.
+MOST_POINTS = 250_000
+TASK_PAIRS = 100_000_000
+MOST_TASKS = 2000
+
 
 # Expression text instead of column objects: these are long and built for every join.
 
@@ -186,6 +194,84 @@ def point_hits(
     return _pairs(a, b, image_keys, point_keys, share, min_pairs, points=True, widen=widen)
 
 
+def drawn_images(
+    catalog: DataFrame, image_keys: list[str], geometry: str = "geometry", box: str | None = "bbox"
+) -> DataFrame:
+    """Key columns, outline and box of the images that have a geometry, computed once and written to the scratch folder.
+
+    A NULL box is computed from the geometry, with ``box=None`` every box is.
+    """
+    outline = F.col(geometry)
+    edges = wkb_bounds(outline) if box is None else F.coalesce(F.col(box), wkb_bounds(F.when(F.col(box).isNull(), outline)))
+    images = catalog.where(outline.isNotNull()).select(*image_keys, outline.alias("_outline"), edges.alias("_box"))
+    path = scratch_path(catalog.sparkSession, "outlines")
+    images.write.parquet(path)
+    return catalog.sparkSession.read.schema(images.schema).parquet(path)
+
+
+def outline_hits(
+    images: DataFrame,
+    points: DataFrame,
+    image_keys: list[str],
+    point_keys: list[str],
+    lon: str = "lon",
+    lat: str = "lat",
+    share: int = SHARE,
+    min_pairs: int = MIN_PAIRS,
+    widen: Callable[[DataFrame], DataFrame] | None = None,
+    counted: bool = False,
+) -> DataFrame:
+    """``polygon_hits`` of ``drawn_images``; ``widen`` as in ``point_hits``.
+
+    Images and points of a cell come together as in ``point_hits``, but in one sorted stream, and one Arrow function finds
+    a cell's hits without a row for each pair of them. With ``counted`` the key columns of points that are hit, and the number of
+    images that hold them as ``images``, added up over points of equal keys.
+    """
+    a = _boxes(images, "_box", "a_", [*image_keys, "_outline"])
+    where = F.struct(F.col(lon).alias("xmin"), F.col(lat).alias("ymin"), F.col(lon).alias("xmax"), F.col(lat).alias("ymax"))
+    b = _boxes(points.select(*point_keys, where.alias("_spot")), "_spot", "b_", point_keys)
+    b = b.where("NOT isnan(b_xmin) AND NOT isnan(b_ymin)")
+    # A point is a box of no size at the finest level, so the footprint is the coarser side.
+    levels = sorted(r[0] for r in a.select("a_home").distinct().collect())
+    right, on = _at_levels(b, "b_", levels, False, True), ["_cell"]
+    hot, pairs = key_loads(_at_home(a, "a_", levels), right, on, share, min_pairs, MOST_POINTS)
+    wide = widen(a) if widen else a
+    shown = [] if counted else [*image_keys, *[c for c in wide.columns if c not in a.columns]]
+    left = _at_home(wide.withColumn("_parts", outline_parts(F.col("_outline"))), "a_", levels)
+    if hot is not None:
+        left, right = deal(left, right, on, image_keys, point_keys, hot)
+        on = ["_cell", "_li", "_ri"]
+    kinds = {f.name: f.dataType for f in [*left.schema.fields, *right.schema.fields]}
+
+    def none(columns: list[str]) -> list[Column]:
+        return [F.lit(None).cast(kinds[c]).alias(c) for c in columns]
+
+    def stream(side: int, box: list[str], parts: list[Column], of_images: list, of_points: list) -> list:
+        edges = [F.col(c) if c else F.lit(None).cast("double") for c in box]
+        named = [edge.alias(name) for edge, name in zip(edges, ("_x0", "_y0", "_x1", "_y1"))]
+        return [*on, F.lit(side).alias("_side"), *named, *parts, *of_images, *of_points]
+
+    nothing = F.lit(None).cast("binary")
+    parts = [F.col("_parts.xy").alias("_xy"), F.col("_parts.rings").alias("_rings")]
+    corners = ["a_xmin", "a_ymin", "a_xmax", "a_ymax"]
+    rows = left.select(*stream(1, corners, parts, shown, none(point_keys))).unionAll(
+        right.select(*stream(0, ["b_xmin", "b_ymin", "", ""], [nothing.alias("_xy"), nothing.alias("_rings")], none(shown), point_keys))
+    )
+    # Tasks by what they have to compare, not by what they read.
+    tasks = min(MOST_TASKS, int(pairs // TASK_PAIRS))
+    default = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(tasks, *on) if tasks > default else rows.repartition(*on)
+    keys = StructType([StructField(c, kinds[c]) for c in point_keys])
+    if counted:
+        made = StructType([*keys.fields, StructField("_images", LongType())])
+    else:
+        made = StructType([*[StructField(c, kinds[c]) for c in shown], StructField("_points", ArrayType(keys))])
+    found = dealt.sortWithinPartitions(*on, "_side").mapInArrow(cell_hits(on, shown, point_keys, counted), made)
+    if counted:
+        return found.groupBy(*point_keys).agg(F.sum("_images").alias("images"))
+    return found.select(*shown, F.inline("_points")).select(*image_keys, *shown[len(image_keys) :], *point_keys)
+
+
 def polygon_hits(
     catalog: DataFrame,
     points: DataFrame,
@@ -200,18 +286,11 @@ def polygon_hits(
 ) -> DataFrame:
     """Key columns of every footprint that holds a point, by its drawn polygons and not by its box; borders count.
 
-    The cell join of the boxes finds the pairs, and one Arrow function compares those. A NULL box is
+    The cells of the boxes bring images and points together, and one Arrow function compares those. A NULL box is
     computed from the geometry, with ``box=None`` every box is. Images without a polygon are hit by nothing.
     """
-    outline = F.col(geometry)
-    edges = wkb_bounds(outline) if box is None else F.coalesce(F.col(box), wkb_bounds(F.when(F.col(box).isNull(), outline)))
-    images = catalog.where(outline.isNotNull()).select(*image_keys, outline.alias("_outline"), edges.alias("_box"))
-    spots = points.select(*point_keys, F.col(lon).alias("_lon"), F.col(lat).alias("_lat"))
-    pairs = point_hits(
-        images, spots, [*image_keys, "_outline"], [*point_keys, "_lon", "_lat"], "_lon", "_lat", "_box", share, min_pairs
-    )
-    held = pairs.where(polygon_covers(F.col("_outline"), F.col("_lon"), F.col("_lat")))
-    return held.select(*image_keys, *point_keys)
+    images = drawn_images(catalog, image_keys, geometry, box)
+    return outline_hits(images, points, image_keys, point_keys, lon, lat, share, min_pairs)
 
 
 def overlap_counts(hits: DataFrame, point_keys: list[str], image_key: str = "id") -> DataFrame:
