@@ -12,7 +12,7 @@ the lower-left corner of the overlap, so no distinct is needed.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -209,24 +209,31 @@ def drawn_images(
     return catalog.sparkSession.read.schema(images.schema).parquet(path)
 
 
-def outline_hits(
-    images: DataFrame,
+def polygon_hits(
+    catalog: DataFrame,
     points: DataFrame,
     image_keys: list[str],
     point_keys: list[str],
     lon: str = "lon",
     lat: str = "lat",
+    geometry: str = "geometry",
+    box: str | None = "bbox",
     share: int = SHARE,
     min_pairs: int = MIN_PAIRS,
     widen: Callable[[DataFrame], DataFrame] | None = None,
     counted: bool = False,
+    drawn: bool = False,
 ) -> DataFrame:
-    """``polygon_hits`` of ``drawn_images``; ``widen`` as in ``point_hits``.
+    """Key columns of every footprint that holds a point, by its drawn polygons and not by its box; borders count.
 
     Images and points of a cell come together as in ``point_hits``, but in one sorted stream, and one Arrow function finds
-    a cell's hits without a row for each pair of them. With ``counted`` the key columns of points that are hit, and the number of
-    images that hold them as ``images``, added up over points of equal keys.
+    a cell's hits without a row for each pair of them. A NULL box is computed from the geometry, with ``box=None`` every
+    box is. Images without a polygon are hit by nothing.
+
+    ``widen`` as in ``point_hits``. With ``counted`` the key columns of points that are hit, and the number of rows of images that
+    hold them as ``images``, added up over points of equal keys. ``drawn`` says that ``catalog`` is from ``drawn_images``.
     """
+    images = catalog if drawn else drawn_images(catalog, image_keys, geometry, box)
     a = _boxes(images, "_box", "a_", [*image_keys, "_outline"])
     where = F.struct(F.col(lon).alias("xmin"), F.col(lat).alias("ymin"), F.col(lon).alias("xmax"), F.col(lat).alias("ymax"))
     b = _boxes(points.select(*point_keys, where.alias("_spot")), "_spot", "b_", point_keys)
@@ -272,32 +279,6 @@ def outline_hits(
     return found.select(*shown, F.inline("_points")).select(*image_keys, *shown[len(image_keys) :], *point_keys)
 
 
-def polygon_hits(
-    catalog: DataFrame,
-    points: DataFrame,
-    image_keys: list[str],
-    point_keys: list[str],
-    lon: str = "lon",
-    lat: str = "lat",
-    geometry: str = "geometry",
-    box: str | None = "bbox",
-    share: int = SHARE,
-    min_pairs: int = MIN_PAIRS,
-) -> DataFrame:
-    """Key columns of every footprint that holds a point, by its drawn polygons and not by its box; borders count.
-
-    The cells of the boxes bring images and points together, and one Arrow function compares those. A NULL box is
-    computed from the geometry, with ``box=None`` every box is. Images without a polygon are hit by nothing.
-    """
-    images = drawn_images(catalog, image_keys, geometry, box)
-    return outline_hits(images, points, image_keys, point_keys, lon, lat, share, min_pairs)
-
-
-def overlap_counts(hits: DataFrame, point_keys: list[str], image_key: str = "id") -> DataFrame:
-    """Number of different images per point."""
-    return hits.groupBy(*point_keys).agg(F.count_distinct(image_key).alias("images"))
-
-
 def viewport_counts(
     catalog: DataFrame, viewports: DataFrame, view_keys: list[str], share: int = SHARE, min_pairs: int = MIN_PAIRS
 ) -> DataFrame:
@@ -361,6 +342,39 @@ def unique_hits(
     return first.select(*[F.col(c) if c in keys else F.col("_first").getField(c).alias(c) for c in hits.columns])
 
 
+def _parted(hits: Hits, image_key: str = "id") -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Images whose id no other image has, points whose keys no other point has, and all hits of others, if there may be any."""
+    once, again = _split(hits.images, [image_key])
+    alone, together = _split(hits.points, hits.point_keys)
+    others = [(again, hits.points), (once, together)]
+    found = [hits.find(i, p, hits.image_keys, hits.point_keys) for i, p in others if i is not None and p is not None]
+    return once, alone, reduce(DataFrame.unionByName, found) if found else None
+
+
+def overlap_counts(hits: DataFrame | Hits, point_keys: list[str], image_key: str = "id") -> DataFrame:
+    """Number of different images per point.
+
+    Hits still to be found, by a ``find`` that counts them as ``polygon_hits`` does, are counted where they are found; only those of
+    ids or points that several rows have become rows. Their counts are computed once and written to the scratch folder.
+    """
+    if not isinstance(hits, Hits):
+        return hits.groupBy(*point_keys).agg(F.count_distinct(image_key).alias("images"))
+    missing = F.col(image_key).isNull()
+    once, alone, others = _parted(replace(hits, images=hits.images.where(~missing)), image_key)
+    parts = [hits.find(once, alone, hits.image_keys, hits.point_keys, counted=True)]
+    nameless = hits.images.where(missing)
+    if not nameless.isEmpty():
+        found = hits.find(nameless, hits.points, hits.image_keys, hits.point_keys)
+        others = found if others is None else others.unionByName(found)
+    if others is not None:
+        # A point that is alone has images of two kinds, and no id is of both; another one has none of the first.
+        parts.append(overlap_counts(others, point_keys, image_key))
+    counts = reduce(DataFrame.unionByName, parts).groupBy(*point_keys).agg(F.sum("images").alias("images"))
+    path = scratch_path(hits.images.sparkSession, "counts")
+    counts.write.parquet(path)
+    return counts.sparkSession.read.schema(counts.schema).parquet(path)
+
+
 def _lone_hit_features(
     hits: Hits, catalog: DataFrame, point_keys: list[str], fallback: dict[str, str]
 ) -> tuple[DataFrame, DataFrame | None]:
@@ -377,14 +391,11 @@ def _lone_hit_features(
         joined = images.join(rows, "id", "left")
         return joined.withColumns(filled) if filled else joined
 
-    once, again = _split(_named(hits.images), ["id"])
-    alone, together = _split(hits.points, point_keys)
+    once, alone, others = _parted(replace(hits, images=_named(hits.images)))
     full = hits.find(once, alone, hits.image_keys, hits.point_keys, widen=widen).select(
         "id", *point_keys, *[F.col(f"_full_{c}").alias(c) for c in names]
     )
-    others = [(again, hits.points), (once, together)]
-    found = [hits.find(i, p, hits.image_keys, hits.point_keys) for i, p in others if i is not None and p is not None]
-    return full, reduce(DataFrame.unionByName, found) if found else None
+    return full, others
 
 
 def hit_features(
@@ -393,6 +404,7 @@ def hit_features(
     point_keys: list[str],
     fallback: dict[str, str] | None = None,
     order: tuple[str, ...] = (),
+    of_points: DataFrame | None = None,
 ) -> DataFrame:
     """Full catalog row for every unique hit; what the hit itself carries fills the gaps.
 
@@ -402,8 +414,16 @@ def hit_features(
 
     Hits still to be found (``Hits``) give the same rows, but only those of ids or points that
     several rows have are shuffled; there may be far more hits than images and points.
+
+    ``of_points`` has a row of more columns for each of some ``point_keys``; the result has these columns, and only those points.
     """
     fallback = fallback or {}
+    if of_points is not None:
+        if not isinstance(hits, Hits):
+            return hit_features(hits, catalog, point_keys, fallback, order).join(of_points, point_keys)
+        more = [c for c in of_points.columns if c not in point_keys]
+        hits = replace(hits, points=hits.points.join(of_points, point_keys), point_keys=[*hits.point_keys, *more])
+        point_keys = [*point_keys, *more]
     if isinstance(hits, Hits):
         full, others = _lone_hit_features(hits, catalog, point_keys, fallback)
         return full if others is None else full.unionByName(hit_features(others, catalog, point_keys, fallback, order))

@@ -1,15 +1,18 @@
 """Hits of drawn polygons by streams of cells, against nested loops and against pairs compared one by one."""
 
+import functools
 import random
+import re
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
-from rows import plan
+from rows import catalog, image, plan
 from skyledger.functions import polygon_cells
 from skyledger.functions.polygons import polygon_covers
 from skyledger.operators import spatial_join as sj
+from skyledger.plans import queries
 from test_polygons import closed, holds, polygon, several, star
 
 
@@ -59,7 +62,7 @@ def test_small_batches_and_blocks(spark, monkeypatch, least):
 def test_counts_of_hits(spark):
     shapes, places = scene(random.Random(9), 60, 150)
     images, points = frames(spark, shapes, places)
-    counts = sj.outline_hits(sj.drawn_images(images, ["id"], box=None), points, ["id"], ["spot"], counted=True)
+    counts = sj.polygon_hits(images, points, ["id"], ["spot"], box=None, counted=True)
     want = {j: sum(any(holds(rings, *p) for rings in parts) for parts in shapes) for j, p in enumerate(places)}
     assert sorted(map(tuple, counts.collect())) == sorted((j, n) for j, n in want.items() if n)
 
@@ -93,3 +96,34 @@ def test_pairs_of_a_cell_are_not_rows(spark):
     images, points = frames(spark, *scene(random.Random(10), 20, 20))
     text = plan(sj.polygon_hits(images, points, ["id"], ["spot"], box=None))
     assert "MapInArrow" in text and "SortMergeJoin" not in text
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_counts_and_features_without_rows_of_pairs(spark, repeated):
+    shapes, places = scene(random.Random(11), 60, 100)
+    drawn, spots = frames(spark, shapes, places)
+    name = "CASE WHEN id = 7 THEN '' WHEN id = 8 THEN NULL ELSE 'i' || id END" if not repeated else (
+        "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 7 = 0 THEN '' WHEN id % 5 = 0 THEN 'i5' ELSE 'i' || id END"
+    )
+    images = drawn.selectExpr(f"{name} AS id", "geometry")
+    points = spots.selectExpr(("CASE WHEN spot % 9 = 0 THEN NULL WHEN spot % 4 = 0 THEN 4 ELSE spot END" if repeated else "nullif(spot, 3)") + " AS spot", "lon", "lat")
+    shown = catalog(spark, *[image(f"i{n}", title=f"t{n}", gsd=n / 2) for n in range(0, 60, 2)]).select("id", "title", "gsd")
+    found = sj.polygon_hits(images, points, ["id"], ["spot"], box=None).cache()
+    hits = sj.Hits(sj.drawn_images(images, ["id"], box=None), points, ["id"], ["spot"], functools.partial(sj.polygon_hits, drawn=True))
+    counts, want = sj.overlap_counts(hits, ["spot"]), sj.overlap_counts(found, ["spot"])
+    assert want.count() > 50 and counts.count() == want.count() and counts.exceptAll(want).count() == 0
+    columns = ["spot", "id", "title", "gsd", "images"]
+    full = sj.hit_features(hits, shown, ["spot"], of_points=counts).select(columns)
+    rows = sj.hit_features(found, shown, ["spot"]).join(want, "spot").select(columns)
+    assert sj.hit_features(found, shown, ["spot"], of_points=want).select(columns).exceptAll(rows).count() == 0
+    assert rows.count() > 100 and full.count() == rows.count() and full.exceptAll(rows).count() == 0
+
+
+def test_polygon_features_shuffle_no_hits(spark, tmp_path):
+    order = ["id AS o_orderkey", "id % 9 AS o_custkey", "timestamp '1996-02-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority"]
+    spark.range(300).selectExpr(*order).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(500).withColumnRenamed("id", "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    text = plan(queries.run_polygon_features(spark, str(tmp_path)), "simple")
+    # Above the function that finds hits nothing is exchanged, neither for the catalog's rows nor for the counts.
+    assert "Exchange" not in text[: text.index("MapInArrow")]
+    assert not re.search(r"hashpartitioning\(event_id#\d+L, id#", text)
